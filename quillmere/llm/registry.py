@@ -10,12 +10,16 @@ from .packing import op7_packing
 from .quality_rules import op10_quality_rules
 from .sql import ORACLES
 from .token_counts import op2_token_counts
+from .topk_search import op8_topk_search
+from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op5_warc": op5_warc,
         "op7_packing": op7_packing,
+        "op8_topk_search": op8_topk_search,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -28,4 +28,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 from f
 """
 
-ORACLES = {"op10_quality_rules": OP10}
+OP8 = """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+OP5 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (
+  select page_id, h, max(page_id) over (partition by h) as best,
+         string_agg_bits as bits
+  from (select *, list_aggregate(list_transform(range(1, 41), lambda i:
+          substr('0000000100100011010001010110011110001001101010111100110111101111', 1 + 4 * (strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 1), 4)), 'string_agg', '') as string_agg_bits from p))
+select page_id, strlen(h)::bigint as payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, 5 * k + 1, 1)::int + 8 * substr(bits, 5 * k + 2, 1)::int + 4 * substr(bits, 5 * k + 3, 1)::int
+           + 2 * substr(bits, 5 * k + 4, 1)::int + substr(bits, 5 * k + 5, 1)::int, 1)), 'string_agg', '') as payload_digest,
+       case when page_id = best then 'response' else 'revisit' end as record_type,
+       case when page_id < best then best end as refers_to
+from d
+"""
+
+ORACLES = {"op5_warc": OP5, "op8_topk_search": OP8, "op10_quality_rules": OP10}
