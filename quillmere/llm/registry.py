@@ -11,6 +11,7 @@ from .quality_rules import op10_quality_rules
 from .sql import ORACLES
 from .token_counts import op2_token_counts
 from .topk_search import op8_topk_search
+from .toxicity import op9_toxicity
 from .warc import op5_warc
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op7_packing": op7_packing,
         "op8_topk_search": op8_topk_search,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
