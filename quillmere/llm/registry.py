@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op7_packing
 from .quality_rules import op10_quality_rules
 from .sql import ORACLES
+from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op2_token_counts
 from .topk_search import op8_topk_search
 from .toxicity import op9_toxicity
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_warc": op5_warc,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
         "op8_topk_search": op8_topk_search,
         "op9_toxicity": op9_toxicity,
