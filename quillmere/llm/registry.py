@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import op4_ngram_join
 from .packing import op7_packing
 from .quality_rules import op10_quality_rules
 from .sql import ORACLES
@@ -19,6 +20,7 @@ from .warc import op5_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_ngram_join": op4_ngram_join,
         "op5_warc": op5_warc,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
