@@ -52,17 +52,20 @@ def _repeat_words(hashes: Column) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(pairs)))
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_chars of every whole text.
 
-    Windows of eight words are compared by 64-bit hash.
+    Windows of eight words are compared by 64-bit hash. With keep, the input's row comes along in the column `_row`.
     """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if keep else []
+    also = ["_row"] if keep else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _words(text).alias("words"), lines.alias("lines"))
+    df = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _words(text).alias("words"), lines.alias("lines"))
     n = F.size("words")
     hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     df = df.select(
+        *also,
         "doc_id",
         n.cast("long").alias("n_words"),
         F.char_length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
@@ -124,6 +127,15 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None) -> DataFra
     return with_features(docs).withColumn("failed_rule", failed_rule(ordered)).withColumn("kept", F.col("failed_rule").isNull())
 
 
+def keep_passing(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that no rule rejects."""
+    rules = rules or default_rules()
+    ordered = order_rules(with_features(docs.sample(fraction=SAMPLE_FRACTION, seed=SAMPLE_SEED)), rules, 1.0)
+    # a filter would be pushed below the features and work each of them out several times; it can't pass a row number
+    judged = with_features(docs, keep=True).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(failed_rule(ordered).isNull() & (F.col("_at") >= 0)).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, base verdict and cascade verdict of all documents."""
     out = quality_cascade(spark.read.parquet(f"{sf_dir}/documents.parquet"))

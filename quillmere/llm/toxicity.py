@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bounds of the fit.
 TRAIN_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 160, 512, 5, 50_000
@@ -229,17 +230,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     return Model(weights, b, {t: (float(on[k]), float(off[k])) for k, t in enumerate(voters)}, {t: float(shared[k]) for k, t in enumerate(voters)})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text; a narrow map."""
+def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
+    """doc_id and score of every whole text, or all columns of docs and score; a narrow map."""
     weights, known = model.weights, set(model.weights)
+    rows = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = StructType([*(rows.schema.fields if keep_columns else rows.schema.fields[:1]), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = TermLookup(known)
         for batch in batches:
-            z = [model.intercept + sum(weights[t] for t in sorted(lookup.of(text or "") & known)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30))), pa.float64())], names=["doc_id", "score"])
+            z = [model.intercept + sum(weights[t] for t in sorted(lookup.of(text or "") & known)) for text in batch.column("text").to_pylist()]
+            scores = pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30))), pa.float64())
+            kept = list(zip(batch.schema.names, batch.columns)) if keep_columns else [("doc_id", batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), scores], names=[*(n for n, _ in kept), "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def is_held_out(doc_id):
