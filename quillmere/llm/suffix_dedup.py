@@ -40,7 +40,7 @@ WINDOW, GRAM = 50, 20
 #: Plain bytes of a block (more for a longer single text), and of a slice that is hashed at once.
 BLOCK_BYTES, SLICE_BYTES = 2 << 20, 1 << 20
 #: Distinct stretches of one anchor that are sorted together, and bytes sorted in one call.
-LANE_MOST, SORT_BYTES = 16, 2 << 20
+LANE_MOST, SORT_BYTES = 16, 1 << 20
 #: Parts that anchor keys are dealt to, for each input partition, and bytes of a key within its part.
 KEY_PARTS, KEY_BYTES = 4, 6
 NO_ID = np.iinfo(np.int64).max
@@ -473,7 +473,7 @@ def find_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = n_blocks(docs)
     blocks = materialize(pack_blocks(docs), "blocks")
     shared = shared_keys(block_keys(blocks, size * KEY_PARTS)).groupBy("block").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))
-    parts = max(1, size // 2)
+    parts = size * 3
     sent = materialize(stretches(blocks.join(shared, "block", "left"), size * KEY_PARTS, parts), "stretches")
     runs = sort_stretches(sent.where("part >= 0")).groupBy("block").agg(F.collect_list("runs").alias("found"))
     return apply_runs(sent.where("part = -1").join(runs, "block", "left"), with_text)
