@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op1_license_scan
 from .ngram_join import op4_ngram_join
 from .packing import op7_packing
 from .quality_rules import op10_quality_rules
 from .sql import ORACLES
+from .sentencepieces import op3_sentencepieces
 from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op2_token_counts
 from .topk_search import op8_topk_search
@@ -19,7 +21,9 @@ from .warc import op5_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_token_counts": op2_token_counts,
+        "op3_sentencepieces": op3_sentencepieces,
         "op4_ngram_join": op4_ngram_join,
         "op5_warc": op5_warc,
         "op6_suffix_dedup": op6_suffix_dedup,
