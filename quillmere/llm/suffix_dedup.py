@@ -38,9 +38,9 @@ from .suffix_sort import _ranges, suffix_arrays
 
 WINDOW, GRAM = 50, 20
 #: Plain bytes of a block (more for a longer single text), and of a slice that is hashed at once.
-BLOCK_BYTES, SLICE_BYTES = 2 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 1 << 20, 1 << 18
 #: Distinct stretches of one anchor that are sorted together, and bytes sorted in one call.
-LANE_MOST, SORT_BYTES = 16, 1 << 20
+LANE_MOST, SORT_BYTES = 16, 1 << 18
 #: Parts that anchor keys are dealt to, for each input partition, and bytes of a key within its part.
 KEY_PARTS, KEY_BYTES = 4, 6
 NO_ID = np.iinfo(np.int64).max
@@ -232,63 +232,96 @@ def _known(keys: np.ndarray, known: dict[int, np.ndarray], key_parts: int) -> np
     return hit
 
 
-STRETCH_SCHEMA = "part long, block long, keys binary, least binary, most binary, anchor binary, lengths binary, text binary"
+SENT_SCHEMA = "part long, block long, first long, keys binary, ids binary, least binary, most binary, offsets binary, lengths binary, text binary"
+OWN_SCHEMA = "block long, ids binary, lengths binary, digests binary, touched binary, places binary, text binary"
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Fixed-width numbers as zipped byte planes."""
+    return zip_bytes(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def unplane(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzip(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Stretches:
+    """The stretches of a block whose anchors other documents share: per occurrence document, first window and number;
+    per distinct stretch key, anchor offset, text, and smallest and largest document. Numbers follow the keys."""
+
+    def __init__(self, r: dict, key_parts: int):
+        self.ids, self.lengths, self.data = _unblock(r)
+        self.ends = np.cumsum(self.lengths)
+        self.begins = self.ends - self.lengths
+        known = {x["part"]: _expand(x["keys"]) for x in r["shared"] or []}
+        entries = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+        for start, lo, hi, keys, g in anchors(self.data, self.lengths) if known else ():
+            hit = _known(keys, known, key_parts)
+            entries.append((lo[hit], hi[hit], anchor_places(hi[hit], keys[hit], g, start), keys[hit]))
+        lo, hi, at, keys = (np.concatenate(x) for x in zip(*entries))
+        doc = np.searchsorted(self.ends, lo, side="right")
+        ok = self.ids[doc] != NO_ID
+        lo, hi, at, keys, doc = lo[ok], hi[ok], at[ok], keys[ok], doc[ok]
+        number: dict[tuple, int] = {}
+        which = np.empty(len(at), np.int64)
+        data = self.data
+        for i in np.lexsort((at, keys)).tolist():
+            which[i] = number.setdefault((int(keys[i]), int(at[i] - lo[i]), data[lo[i] : hi[i] + WINDOW]), len(number))
+        self.doc, self.lo, self.which, self.number = doc, lo, which, number
 
 
 def stretches(joined: DataFrame, key_parts: int, parts: int) -> DataFrame:
-    """Rows with part >= 0: a block's distinct stretches whose keys fall to that part. One row with part = -1 for each
-    block: per document id, length, SHA-256 and, where it has shared anchors, its text; per occurrence of a stretch its
-    place. All columns are packed arrays.
+    """A block's distinct stretches, dealt by their keys, as packed arrays; documents are numbered within the row.
 
     joined: blocks with `shared`, an array of (part, keys), null where a block shares nothing.
     """
-    names = [c.split(" ")[0] for c in STRETCH_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
+    names = [c.split(" ")[0] for c in SENT_SCHEMA.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 7
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, lengths, data = _unblock(r)
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
-                known = {x["part"]: _expand(x["keys"]) for x in r["shared"] or []}
-                entries = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
-                for start, lo, hi, keys, g in anchors(data, lengths) if known else ():
-                    hit = _known(keys, known, key_parts)
-                    at = anchor_places(hi[hit], keys[hit], g, start)
-                    entries.append((lo[hit], hi[hit], at, keys[hit]))
-                lo, hi, at, keys = (np.concatenate(x) for x in zip(*entries))
-                doc = np.searchsorted(ends, lo, side="right")
-                ok = ids[doc] != NO_ID
-                lo, hi, at, keys, doc = lo[ok], hi[ok], at[ok], keys[ok], doc[ok]
-                order = np.lexsort((at, keys))
-                number: dict[tuple, int] = {}
-                which = np.empty(len(at), np.int64)
-                for i in order.tolist():
-                    which[i] = number.setdefault((int(keys[i]), int(at[i] - lo[i]), data[lo[i] : hi[i] + WINDOW]), len(number))
-                m = len(number)
+                s = Stretches(r, key_parts)
+                m = len(s.number)
                 least, most = np.full(m, NO_ID), np.full(m, np.iinfo(np.int64).min)
-                np.minimum.at(least, which, ids[doc])
-                np.maximum.at(most, which, ids[doc])
-                key_of = np.array([k for k, _, _ in number], np.uint64)
-                off_of = np.array([o for _, o, _ in number], np.uint8)
-                text_of = [t for _, _, t in number]
+                np.minimum.at(least, s.which, s.ids[s.doc])
+                np.maximum.at(most, s.which, s.ids[s.doc])
+                key_of = np.array([k for k, _, _ in s.number], np.uint64)
+                off_of = np.array([o for _, o, _ in s.number], np.uint8)
+                text_of = [t for _, _, t in s.number]
                 to = _split_key(key_of, parts)[0]
                 rows = []
                 for a, z in zip(*_bounds(to)):  # numbered by key, so parts are runs
                     own = text_of[a:z]
+                    used, number = np.unique(np.concatenate([least[a:z], most[a:z]]), return_inverse=True)
+                    number = number.astype(np.int32)
                     sizes = np.array([len(t) for t in own], np.uint8)
-                    head = np.array([a], np.int64).tobytes()
-                    rows.append((int(to[a]), r["block"], key_of[a:z].tobytes(), least[a:z].tobytes(), most[a:z].tobytes(), head + off_of[a:z].tobytes(), sizes.tobytes(), zip_bytes(b"".join(own))))
-                touched = np.zeros(len(ids), bool)
-                touched[doc] = True
-                digests = b"".join(hashlib.sha256(data[a:z]).digest() for a, z in zip(begins, ends))
-                kept = b"".join(data[begins[k] : ends[k]] for k in np.flatnonzero(touched))
-                places = np.stack([doc, lo - begins[doc], which]).astype(np.int64)
-                rows.append((-1, r["block"], ids.tobytes(), lengths.tobytes(), digests, touched.tobytes(), zip_bytes(places.tobytes()), zip_bytes(kept)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows.append((int(to[a]), r["block"], int(a), planes(key_of[a:z]), planes(used), planes(number[: z - a]), planes(number[z - a :]), zip_bytes(off_of[a:z].tobytes()), zip_bytes(sizes.tobytes()), zip_bytes(b"".join(own))))
+                cols = list(zip(*rows)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return joined.mapInArrow(run, STRETCH_SCHEMA)
+    return joined.mapInArrow(run, SENT_SCHEMA)
+
+
+def own_rows(joined: DataFrame, key_parts: int) -> DataFrame:
+    """What a block needs when the runs come back: ids, lengths, digests, the texts of documents with stretches, and
+    their places. Stretches get the same numbers as in `stretches`, since both depend on the block and its keys alone."""
+    names = [c.split(" ")[0] for c in OWN_SCHEMA.split(", ")]
+    kinds = [pa.int64()] + [pa.binary()] * 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = Stretches(r, key_parts)
+                touched = np.zeros(len(s.ids), bool)
+                touched[s.doc] = True
+                digests = b"".join(hashlib.sha256(s.data[a:z]).digest() for a, z in zip(s.begins, s.ends))
+                kept = b"".join(s.data[s.begins[k] : s.ends[k]] for k in np.flatnonzero(touched))
+                places = np.concatenate([s.doc, s.lo - s.begins[s.doc], s.which]).astype(np.int64)
+                row = (r["block"], s.ids.tobytes(), s.lengths.tobytes(), digests, touched.tobytes(), planes(places), zip_bytes(kept))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names=names)
+
+    return joined.mapInArrow(run, OWN_SCHEMA)
 
 
 def split_lanes(group: list[tuple[int, int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -365,16 +398,17 @@ def sort_stretches(sent: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         number: dict[tuple, int] = {}
-        entry, least_in = [], []
-        for k, r in enumerate(rows):
-            keys, sizes = np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["lengths"], np.uint8).tolist()
-            offs, text, at = r["anchor"][8:], unzip(r["text"]), 0
+        entry, least_in, most_in = [], [], []
+        for r in rows:
+            ids = unplane(r["ids"], np.int64)
+            offs, sizes, text, at = unzip(r["offsets"]), unzip(r["lengths"]), unzip(r["text"]), 0
             own = []
-            for key, off, size in zip(keys, offs, sizes):
+            for key, off, size in zip(unplane(r["keys"], np.uint64).tolist(), offs, sizes):
                 own.append(number.setdefault((key, off, text[at : at + size]), len(number)))
                 at += size
             entry.append(np.array(own, np.int64))
-            least_in.append(np.frombuffer(r["least"], np.int64))
+            least_in.append(ids[unplane(r["least"], np.int32)])
+            most_in.append(ids[unplane(r["most"], np.int32)])
         ids = np.concatenate(entry)
         least = np.full(len(number), NO_ID)
         np.minimum.at(least, ids, np.concatenate(least_in))
@@ -398,15 +432,14 @@ def sort_stretches(sent: DataFrame) -> DataFrame:
         run_of, run_lo, run_hi, run_id = run_of[order], run_lo[order], run_hi[order], run_id[order]
         begin, stop = np.searchsorted(run_of, np.arange(len(number))), np.searchsorted(run_of, np.arange(len(number)), side="right")
         out = []
-        for r, own in zip(rows, entry):
+        for r, own, most in zip(rows, entry, most_in):
             count = (stop - begin)[own]
             pick = _ranges(begin[own], count)
             local = np.repeat(np.arange(len(own)), count)
-            good = run_id[pick] < np.frombuffer(r["most"], np.int64)[local]
+            good = run_id[pick] < most[local]
             pick, local = pick[good], local[good]
             if len(pick):
-                local = local + np.frombuffer(r["anchor"][:8], np.int64)[0]
-                out.append((r["block"], zip_bytes(np.stack([local, run_lo[pick], run_hi[pick], run_id[pick]]).astype(np.int64).tobytes())))
+                out.append((r["block"], planes(np.concatenate([local + r["first"], run_lo[pick], run_hi[pick], run_id[pick]]).astype(np.int64))))
         cols = list(zip(*out)) or [()] * 2
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.binary()])], names=["block", "runs"])
 
@@ -428,13 +461,13 @@ def apply_runs(joined: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, lengths = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["least"], np.int64)
-                touched = np.frombuffer(r["anchor"], bool)
-                doc, place, which = np.frombuffer(unzip(r["lengths"]), np.int64).reshape(3, -1)
-                digests = [r["most"][k : k + 32].hex() for k in range(0, len(r["most"]), 32)]
+                ids, lengths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lengths"], np.int64)
+                touched = np.frombuffer(r["touched"], bool)
+                doc, place, which = unplane(r["places"], np.int64).reshape(3, -1)
+                digests = [r["digests"][k : k + 32].hex() for k in range(0, len(r["digests"]), 32)]
                 whole_digests = list(digests)
                 removed, spans, kept = np.zeros(len(ids), np.int64), [b""] * len(ids), [None] * len(ids)
-                parts = [np.frombuffer(unzip(x), np.int64).reshape(4, -1) for x in r["found"] or []]
+                parts = [unplane(x, np.int64).reshape(4, -1) for x in r["found"] or []]
                 if parts:
                     stretch, lo, hi, least = np.concatenate(parts, axis=1)
                     order = np.argsort(stretch, kind="stable")
@@ -473,10 +506,10 @@ def find_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = n_blocks(docs)
     blocks = materialize(pack_blocks(docs), "blocks")
     shared = shared_keys(block_keys(blocks, size * KEY_PARTS)).groupBy("block").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))
-    parts = size * 3
-    sent = materialize(stretches(blocks.join(shared, "block", "left"), size * KEY_PARTS, parts), "stretches")
-    runs = sort_stretches(sent.where("part >= 0")).groupBy("block").agg(F.collect_list("runs").alias("found"))
-    return apply_runs(sent.where("part = -1").join(runs, "block", "left"), with_text)
+    joined = blocks.join(shared, "block", "left")
+    runs = sort_stretches(stretches(joined, size * KEY_PARTS, size * KEY_PARTS)).groupBy("block").agg(F.collect_list("runs").alias("found"))
+    return apply_runs(own_rows(joined, size * KEY_PARTS).join(runs, "block", "left"), with_text)
+
 
 
 def dedup(docs: DataFrame) -> DataFrame:
