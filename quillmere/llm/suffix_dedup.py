@@ -159,7 +159,7 @@ def block_keys(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 _, lengths, data = _unblock(r)
-                found = [(first, keys) for _, first, _, keys, _ in anchors(data, lengths)] or [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                found = [(first, mix64(keys)) for _, first, _, keys, _ in anchors(data, lengths)] or [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
                 at, keys = (np.concatenate(x) for x in zip(*found))
                 doc = np.searchsorted(np.cumsum(lengths), at, side="right")
                 order = np.lexsort((doc, keys))
@@ -256,8 +256,9 @@ class Stretches:
         known = {x["part"]: _expand(x["keys"]) for x in r["shared"] or []}
         entries = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
         for start, lo, hi, keys, g in anchors(self.data, self.lengths) if known else ():
-            hit = _known(keys, known, key_parts)
-            entries.append((lo[hit], hi[hit], anchor_places(hi[hit], keys[hit], g, start), keys[hit]))
+            even = mix64(keys)  # the smallest of several hashes are small; dealing needs evenly spread keys
+            hit = _known(even, known, key_parts)
+            entries.append((lo[hit], hi[hit], anchor_places(hi[hit], keys[hit], g, start), even[hit]))
         lo, hi, at, keys = (np.concatenate(x) for x in zip(*entries))
         doc = np.searchsorted(self.ends, lo, side="right")
         ok = self.ids[doc] != NO_ID
@@ -391,59 +392,60 @@ def window_minima(lanes: list[list[tuple[int, int, bytes]]], least: np.ndarray)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def sort_part(table: pa.Table) -> pa.Table:
+    """The runs of windows of one part's stretches, for each block that sent some."""
+    rows = table.to_pylist()
+    number: dict[tuple, int] = {}
+    entry, least_in, most_in = [], [], []
+    for r in rows:
+        ids = unplane(r["ids"], np.int64)
+        offs, sizes, text, at = unzip(r["offsets"]), unzip(r["lengths"]), unzip(r["text"]), 0
+        own = []
+        for key, off, size in zip(unplane(r["keys"], np.uint64).tolist(), offs, sizes):
+            own.append(number.setdefault((key, off, text[at : at + size]), len(number)))
+            at += size
+        entry.append(np.array(own, np.int64))
+        least_in.append(ids[unplane(r["least"], np.int32)])
+        most_in.append(ids[unplane(r["most"], np.int32)])
+    ids = np.concatenate(entry)
+    least = np.full(len(number), NO_ID)
+    np.minimum.at(least, ids, np.concatenate(least_in))
+    groups: dict[int, list] = {}
+    for (key, off, text), s in number.items():
+        groups.setdefault(key, []).append((s, off, len(text) - WINDOW + 1, text))
+    windows = np.array([len(t) - WINDOW + 1 for _, _, t in number], np.int64)
+    single = np.array([g[0][0] for g in groups.values() if len(g) == 1], np.int64)  # equal as wholes, nothing to sort
+    lanes = [lane for g in groups.values() if len(g) > 1 for lane in split_lanes(g)]
+    stretch, window, lowest = window_minima(lanes, least)
+    order = np.lexsort((window, stretch))
+    stretch, window, lowest = stretch[order], window[order], lowest[order]
+    cut = np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (lowest[1:] != lowest[:-1])]) if len(stretch) else np.zeros(0, bool)
+    head = np.flatnonzero(cut)
+    tail = np.concatenate([head[1:], [len(stretch)]]) - 1 if len(head) else head
+    run_of = np.concatenate([stretch[head], single])
+    run_lo = np.concatenate([window[head], np.zeros(len(single), np.int64)])
+    run_hi = np.concatenate([window[tail], windows[single] - 1])
+    run_id = np.concatenate([lowest[head], least[single]])
+    order = np.argsort(run_of, kind="stable")
+    run_of, run_lo, run_hi, run_id = run_of[order], run_lo[order], run_hi[order], run_id[order]
+    begin, stop = np.searchsorted(run_of, np.arange(len(number))), np.searchsorted(run_of, np.arange(len(number)), side="right")
+    out = []
+    for r, own, most in zip(rows, entry, most_in):
+        count = (stop - begin)[own]
+        pick = _ranges(begin[own], count)
+        local = np.repeat(np.arange(len(own)), count)
+        good = run_id[pick] < most[local]
+        pick, local = pick[good], local[good]
+        if len(pick):
+            out.append((r["block"], planes(np.concatenate([local + r["first"], run_lo[pick], run_hi[pick], run_id[pick]]).astype(np.int64))))
+    cols = list(zip(*out)) or [()] * 2
+    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.binary()])], names=["block", "runs"])
+
+
 def sort_stretches(sent: DataFrame) -> DataFrame:
     """For each block: runs of windows (stretch, first, last) and the smallest doc_id that holds them, where a larger
     one of the block holds them too."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        number: dict[tuple, int] = {}
-        entry, least_in, most_in = [], [], []
-        for r in rows:
-            ids = unplane(r["ids"], np.int64)
-            offs, sizes, text, at = unzip(r["offsets"]), unzip(r["lengths"]), unzip(r["text"]), 0
-            own = []
-            for key, off, size in zip(unplane(r["keys"], np.uint64).tolist(), offs, sizes):
-                own.append(number.setdefault((key, off, text[at : at + size]), len(number)))
-                at += size
-            entry.append(np.array(own, np.int64))
-            least_in.append(ids[unplane(r["least"], np.int32)])
-            most_in.append(ids[unplane(r["most"], np.int32)])
-        ids = np.concatenate(entry)
-        least = np.full(len(number), NO_ID)
-        np.minimum.at(least, ids, np.concatenate(least_in))
-        groups: dict[int, list] = {}
-        for (key, off, text), s in number.items():
-            groups.setdefault(key, []).append((s, off, len(text) - WINDOW + 1, text))
-        windows = np.array([len(t) - WINDOW + 1 for _, _, t in number], np.int64)
-        single = np.array([g[0][0] for g in groups.values() if len(g) == 1], np.int64)  # equal as wholes, nothing to sort
-        lanes = [lane for g in groups.values() if len(g) > 1 for lane in split_lanes(g)]
-        stretch, window, lowest = window_minima(lanes, least)
-        order = np.lexsort((window, stretch))
-        stretch, window, lowest = stretch[order], window[order], lowest[order]
-        cut = np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (lowest[1:] != lowest[:-1])]) if len(stretch) else np.zeros(0, bool)
-        head = np.flatnonzero(cut)
-        tail = np.concatenate([head[1:], [len(stretch)]]) - 1 if len(head) else head
-        run_of = np.concatenate([stretch[head], single])
-        run_lo = np.concatenate([window[head], np.zeros(len(single), np.int64)])
-        run_hi = np.concatenate([window[tail], windows[single] - 1])
-        run_id = np.concatenate([lowest[head], least[single]])
-        order = np.argsort(run_of, kind="stable")
-        run_of, run_lo, run_hi, run_id = run_of[order], run_lo[order], run_hi[order], run_id[order]
-        begin, stop = np.searchsorted(run_of, np.arange(len(number))), np.searchsorted(run_of, np.arange(len(number)), side="right")
-        out = []
-        for r, own, most in zip(rows, entry, most_in):
-            count = (stop - begin)[own]
-            pick = _ranges(begin[own], count)
-            local = np.repeat(np.arange(len(own)), count)
-            good = run_id[pick] < most[local]
-            pick, local = pick[good], local[good]
-            if len(pick):
-                out.append((r["block"], planes(np.concatenate([local + r["first"], run_lo[pick], run_hi[pick], run_id[pick]]).astype(np.int64))))
-        cols = list(zip(*out)) or [()] * 2
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.binary()])], names=["block", "runs"])
-
-    return sent.groupBy("part").applyInArrow(run, "block long, runs binary")
+    return sent.groupBy("part").applyInArrow(sort_part, "block long, runs binary")
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept string, spans binary"
