@@ -39,7 +39,7 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
                 docs = np.array(batch.column(0).to_pylist(), np.int64)
                 n = min(k, len(docs))
                 for q, score in zip(ids, np.round(found.T, 9)):
-                    top = np.lexsort((docs, -score))[:n]
+                    top = np.lexsort((docs, -np.round(score, 6)))[:n]
                     yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array(docs[top]), pa.array(score[top])], names=["qid", "doc_id", "score"])
 
         legs.append(rows.mapInArrow(run, "qid long, doc_id long, score double"))
