@@ -38,18 +38,18 @@ from .suffix_sort import _ranges, suffix_arrays
 
 WINDOW, GRAM = 50, 20
 #: Plain bytes of a block (more for a longer single text), and of a slice that is hashed at once.
-BLOCK_BYTES, SLICE_BYTES = 1 << 20, 1 << 18
+BLOCK_BYTES, SLICE_BYTES = 2 << 20, 1 << 18
 #: Distinct stretches of one anchor that are sorted together, and bytes sorted in one call.
-LANE_MOST, SORT_BYTES = 16, 1 << 18
+LANE_MOST, SORT_BYTES = 16, 1 << 19
 #: Parts that anchor keys are dealt to, for each input partition, and bytes of a key within its part.
-KEY_PARTS, KEY_BYTES = 4, 6
+KEY_PARTS, KEY_BYTES = 2, 6
 NO_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "block long, ids binary, lengths binary, text binary"
 _ODD = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(5)]
 
 
-def zip_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def zip_bytes(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unzip(data: bytes) -> bytes:
@@ -64,7 +64,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in texts], np.int64)
-            values = [number, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zip_bytes(b"".join(texts))]
+            values = [number, np.array(ids, np.int64).tobytes(), lengths.tobytes(), zip_bytes(b"".join(texts), 5)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64()] + [pa.binary()] * 3)], names=["block", "ids", "lengths", "text"])
 
         for batch in batches:
@@ -264,10 +264,10 @@ class Stretches:
         ok = self.ids[doc] != NO_ID
         lo, hi, at, keys, doc = lo[ok], hi[ok], at[ok], keys[ok], doc[ok]
         number: dict[tuple, int] = {}
-        which = np.empty(len(at), np.int64)
-        data = self.data
-        for i in np.lexsort((at, keys)).tolist():
-            which[i] = number.setdefault((int(keys[i]), int(at[i] - lo[i]), data[lo[i] : hi[i] + WINDOW]), len(number))
+        which, data = np.empty(len(at), np.int64), self.data
+        order = np.lexsort((at, keys))
+        found = zip(keys[order].tolist(), (at - lo)[order].tolist(), lo[order].tolist(), (hi + WINDOW)[order].tolist())
+        which[order] = [number.setdefault((key, off, data[a:z]), len(number)) for key, off, a, z in found]
         self.doc, self.lo, self.which, self.number = doc, lo, which, number
 
 
