@@ -140,6 +140,28 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.join(docs_of(spark, [])).count() == 0
 
 
+def test_ngram_join_deals_hot_buckets_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "SLICE", 16, raising=False)
+    written, materialize = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)) if name == "pairs" else materialize(df, name))
+    texts, chain = near_copies(21, 90, 120, 5), prose(22, 300).split(" ")
+    # neighbours in the chain link, its ends do not; all share the words at its middle
+    texts += [" ".join(chain[i : i + 180]) for i in range(0, 120, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs_of(spark, texts).repartition(3)).collect()}
+    assert got == brute_components(texts)
+    most = written["pairs"].where("kind > 0").selectExpr("max(octet_length(ids) div 8)").first()[0]
+    assert most <= 16 + 8 + 4
+    assert written["pairs"].where("kind = 2").count() > 0
+
+
+def test_bucket_parts_grow_with_vectors():
+    assert ngram_join.bucket_parts(0, 0, 0) == 1
+    assert ngram_join.bucket_parts(50_000, 2_000_000, 4) == 4
+    parts = ngram_join.bucket_parts(12_000_000, 600_000_000, 120)
+    assert 600_000_000 / parts <= 2 * ngram_join.VECTORS_AT_ONCE
+
+
 def test_count_tree_bounds_every_pair():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 3, (90, ngram_join.GROUPS)).astype(np.uint16)
