@@ -324,6 +324,33 @@ def test_license_scan(spark):
         assert (found is None) == (best < 0.8) and (found is None or abs(found[0] - best) < 1e-12)
 
 
+def test_license_matches_across_lines(spark):
+    mit, gpl = license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["GPL-3.0"][1]
+    wrapped = lambda t: "\n# ".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    long = prose(61, 400)
+    texts = [f"{long}\n# {wrapped(mit)}\n{long}\n# {wrapped(gpl)}\n{long}", f"{long} Released under the MIT License. {long}", long, None, "İ" + long + "\n" + wrapped(mit)]
+    rows = license_scan.license_matches(docs_of(spark, texts)).collect()
+    got = {i: [(r.license, r.dice, texts[i][r.start : r.end]) for r in sorted(rows, key=lambda r: r.start or 0) if r.doc_id == i and r.license] for i in range(5)}
+    assert [(x[0], x[1]) for x in got[0]] == [("MIT", 1.0), ("GPL-3.0", 1.0)]
+    assert got[0][0][2] == wrapped(mit).rstrip(".") and got[0][1][2] == wrapped(gpl).rstrip(".")
+    assert got[1] == [("MIT", 1.0, "Released under the MIT License")] and got[2] == got[3] == []
+    assert got[4] == [("MIT", 1.0, wrapped(mit).rstrip("."))]
+    assert {r.doc_id: r.license for r in license_scan.license_scan(docs_of(spark, texts)).collect()} == {0: "GPL-3.0", 1: "MIT", 2: None, 3: None, 4: "MIT"}
+
+
+def test_license_windows_equal_brute_force():
+    known, rng = license_scan.Templates(license_scan.TEMPLATES, 0.8), random.Random(3)
+    pool = [(name, license_scan.bigrams(t), t) for name, ts in license_scan.TEMPLATES.items() for t in ts if len(t) < 130]
+    for _ in range(40):
+        words = prose(rng.randrange(999), 8).split() + rng.choice(pool)[2].split() + prose(rng.randrange(999), 8).split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "the", "license"])
+        w = license_scan.WORD.findall(" ".join(words).lower())
+        best = max(license_scan.dice(license_scan.Counter(zip(w[i:j], w[i + 1 : j])), grams) for i in range(len(w)) for j in range(i + 2, len(w) + 1) for _, grams, _ in pool if grams.total() / 1.5 <= j - i - 1 <= grams.total() * 1.5) if len(w) > 1 else 0
+        found = known.matches(" ".join(words))
+        assert bool(found) == (best >= 0.8) and all(m[3] <= best + 1e-12 for m in found)
+
+
 @data
 def test_pipeline_stages(spark):
     import corpus_pipeline
