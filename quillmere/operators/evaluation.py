@@ -41,11 +41,35 @@ def agreement(rows: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a.eqNullSafe(b)).alias("agree")).withColumn("rate", F.round(F.col("agree") / F.col("n"), 6))
 
 
+#: Ranges of values that ranks are looked up in.
+RANGES = 256
+
+
+def _range_of(value: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Number of the value's range, by binary search over upper bounds."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value <= F.lit(bounds[mid]), _range_of(value, bounds, lo, mid)).otherwise(_range_of(value, bounds, mid + 1, hi))
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(by, n, one column a share): the value at index round((n - 1) * share), half to even, of the sorted values.
 
-    Ranks come from a window over each group's values; only one row a group and share is kept.
+    Equal values are counted first. Bounds of RANGES ranges over all values come to the driver; counts of the ranges tell
+    which hold a wanted rank, and only their values are sorted, range by range. The bounds needn't be exact.
     """
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy(by)).alias("_n"))
-    return ranked.groupBy(by).agg(F.max("_n").alias("n"), *(F.max(F.when(F.col("_i") == F.bround((F.col("_n") - 1) * s), F.col(value))).alias(name) for name, s in shares.items()))
+    known = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).alias("value"))
+    steps = [k / RANGES for k in range(1, RANGES)]
+    bounds = sorted(set(known.agg(F.percentile_approx("value", steps)).first()[0] or []))
+    counts = known.groupBy("by", "value").agg(F.count("*").alias("c")).withColumn("range", _range_of(F.col("value"), bounds, 0, len(bounds)))
+    every = Window.partitionBy("by")
+    upto = every.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = counts.groupBy("by", "range").agg(F.sum("c").alias("m")).withColumns({"end": F.sum("m").over(upto), "n": F.sum("m").over(every)})
+    wanted = F.array(*(F.bround((F.col("n") - 1) * s).cast("long") for s in shares.values()))
+    pieces = pieces.withColumn("wanted", wanted).where(F.exists("wanted", lambda i: (i >= F.col("end") - F.col("m")) & (i < F.col("end"))))
+    inside = Window.partitionBy("by", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.join(pieces.withColumnsRenamed({"by": "_by", "range": "_range"}), F.col("by").eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_range")))
+    found = found.withColumn("stop", F.col("end") - F.col("m") + F.sum("c").over(inside))
+    at = lambda k: (F.col("wanted")[k] >= F.col("stop") - F.col("c")) & (F.col("wanted")[k] < F.col("stop"))
+    return found.groupBy(F.col("by").alias(by)).agg(F.max("n").alias("n"), *(F.max(F.when(at(k), F.col("value"))).alias(name) for k, name in enumerate(shares)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,29 @@ def accept(times: list[int], limit: int, span: int, held: list[int]) -> tuple[li
 
 
 def rate_limited(events: DataFrame, client: str, at_us: str, tie: str, limit: int, span_us: int) -> DataFrame:
-    """Adds accepted: at most `limit` accepted requests of a client within any span. A client's requests are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "tie"])
-        return pdf.assign(accepted=accept(pdf["at"].tolist(), limit, span_us, [])[0])
-
-    rows = events.select(F.col(client).alias("client"), F.col(tie).alias("tie"), F.col(at_us).alias("at"))
-    return rows.groupBy("client").applyInPandas(run, "client long, tie long, at long, accepted boolean").select(F.col("client").alias(client), F.col("tie").alias(tie), "accepted")
+    """Adds accepted: at most `limit` accepted requests of a client within any span.
+
+    Clients' requests stream through in time order; only the accepted times still held (`limit` at most) are kept.
+    Requests without a time come last and are accepted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            good = []
+            for who, now in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if who != current:
+                    current, held = who, []
+                if now is None or limit == 0:
+                    good.append(True)
+                else:
+                    one, held = accept([now], limit, span_us, held)
+                    good += one
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good, pa.bool_())], names=["client", "tie", "at", "accepted"])
+
+    rows = events.select(F.col(client).cast("long").alias("client"), F.col(tie).cast("long").alias("tie"), F.col(at_us).cast("long").alias("at"))
+    ordered = rows.repartition("client").sortWithinPartitions("client", F.asc_nulls_last("at"), F.asc_nulls_last("tie"))
+    return ordered.mapInArrow(run, "client long, tie long, at long, accepted boolean").select(F.col("client").alias(client), F.col("tie").alias(tie), "accepted")
 
 
 def rate_limited_stream(events: DataFrame, client: str, at_us: str, tie: str, limit: int, span_us: int) -> DataFrame:

@@ -1,7 +1,9 @@
+import random
 import re
 
 import pyspark.sql.functions as F
 
+from quillmere.operators import evaluation as ev
 from quillmere.functions.text import bigrams, clock_seconds, squeeze
 from quillmere.operators import index as ix
 from quillmere.operators import timeline as tl
@@ -55,3 +57,31 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     got = {(r.client, r.tie, r.accepted) for r in spark.table("limited").collect()}
     want = {(r.user_id, r.event_id, r.accepted) for r in rates.rate_limited(df, "user_id", "us", "event_id", 2, 60_000_000).collect()}
     assert got == want and len(want) == 14
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rate_limit_streams_clients(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.randrange(400)) for i in range(600)]
+    out = rates.rate_limited(spark.createDataFrame(rows, "user_id long, event_id long, us long").repartition(4), "user_id", "us", "event_id", 3, 20)
+    want = set()
+    for c in (1, 2, None):
+        own = sorted((us, i) for who, i, us in rows if who == c)
+        want |= {(c, i, ok) for (_, i), ok in zip(own, rates.accept([us for us, _ in own], 3, 20, [])[0])}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "FlatMapGroups" not in plan_of(out)
+
+
+def test_nearest_rank_sorts_ranges_only(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice([1.5, rng.random() * 100])) for k in ("a", "b", None) for _ in range(700)] + [("a", None), ("c", 3.0)]
+    out = ev.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0})
+    want = set()
+    for k in ("a", "b", "c", None):
+        v = sorted(x for who, x in rows if who == k and x is not None)
+        want.add((k, len(v), *(v[round((len(v) - 1) * s)] for s in (0.0, 0.5, 0.95, 1.0))))
+    assert {tuple(r) for r in out.collect()} == want
+    assert "row_number" not in plan_of(out)
