@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed odd multipliers for the hashes below.
@@ -14,9 +15,12 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where it is unset and the master is local, a temporary
+    folder stands in; elsewhere executors could not see that, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,11 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(df: DataFrame) -> int:
-    """Number of input partitions of df; the unit by which hash partitions grow with the input."""
-    return max(1, df.rdd.getNumPartitions())
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of uint64 values."""
     h = h ^ (h >> np.uint64(30))
@@ -47,3 +46,72 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h * np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+def zip_bytes(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
+def planes(values: np.ndarray, width: int = 0) -> bytes:
+    """Fixed-width numbers as zipped byte planes, the lowest `width` bytes of each or all."""
+    rows = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    return zip_bytes(np.ascontiguousarray(rows[:, : width or rows.shape[1]].T).tobytes())
+
+
+def unplane(data: bytes, kind: type, width: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = unzip(data)
+    n = len(raw) // (width or size)
+    out = np.zeros((n, size), np.uint8)
+    if n:
+        out[:, : width or size] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.view(kind).reshape(n)
+
+
+#: Bytes of a key within its part.
+KEY_BYTES = 6
+
+
+def squeeze(keys: np.ndarray) -> bytes:
+    """Keys below 2**48 as zipped byte planes."""
+    return planes(keys.astype(np.uint64), KEY_BYTES)
+
+
+def expand(data: bytes) -> np.ndarray:
+    return unplane(data, np.uint64, KEY_BYTES)
+
+
+def split_key(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, rest) of evenly spread 64-bit keys: the whole and the fraction, in 48 bits, of key * parts / 2**64. Both
+    grow with the key, so sorted keys are sorted by part and rest, and parts times 2**48 keys are told apart."""
+    m, n = np.uint64((1 << 32) - 1), np.uint64(32)
+    low = (keys & m) * np.uint64(parts)
+    high = (keys >> n) * np.uint64(parts) + (low >> n)
+    return (high >> n).astype(np.int64), (high & m) << np.uint64(16) | (low & m) >> np.uint64(16)
+
+
+def bounds(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+    return heads, np.concatenate([heads[1:], [len(sorted_values)]])
+
+
+def known_keys(keys: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarray]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones of their parts, and the value that goes with each (0 where none does)."""
+    part, rest = split_key(keys, parts)
+    order = np.argsort(part, kind="stable")
+    hit, value = np.zeros(len(keys), bool), np.zeros(len(keys), next(iter(known.values()))[1].dtype if known else np.uint8)
+    for a, z in zip(*bounds(part[order])):
+        own = order[a:z]
+        have = known.get(int(part[own[0]]))
+        if have is not None and len(have[0]):
+            k = np.minimum(np.searchsorted(have[0], rest[own]), len(have[0]) - 1)
+            hit[own] = have[0][k] == rest[own]
+            value[own] = have[1][k]
+    return hit, value
