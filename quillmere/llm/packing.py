@@ -43,22 +43,30 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The vocabulary drops white space and splits at it, so the pieces between spaces and line feeds are encoded once and
     kept. The library sees all other white space and special strings. Texts of plain Latin letters are lower-cased first,
-    as the library would, so that fewer pieces differ.
+    as the library would, so that fewer pieces differ; not so texts with a special string in any case, as the library
+    looks for those before it lower-cases.
     """
     if path not in _caches:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _caches[path] = Tokenizer.from_file(path), {"": b""}
-    tokenizer, cache = _caches[path]
-    split = [(t if BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        tokenizer = Tokenizer.from_file(path)
+        _caches[path] = tokenizer, {"": b""}, [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+    tokenizer, cache, special = _caches[path]
+    split = []
+    for t in texts:
+        if not BEYOND.search(t):
+            low = t.lower()
+            t = t if any(x in low for x in special) else low
+        split.append(t.replace("\n", " ").split(" "))
     new = {c for chunks in split for c in chunks if c not in cache}
     if len(cache) + len(new) > CACHE_ENTRIES:
         cache.clear()
         cache[""] = b""
         new = {c for chunks in split for c in chunks if c}
-    # a letter and a last point or comma are parted by the pre-tokenizer, so most such pieces share the word's ids
-    ended = {c for c in new if c[-1] in ".," and c[-2:-1].isalpha()}
+    # a letter and a last point or comma are parted by the pre-tokenizer, so most such pieces share the word's ids; a letter
+    # whose lower case ends in a combining mark is none
+    ended = {c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and c[-2].lower().isalpha()}
     plain = [c for c in (new - ended) | {x for c in ended for x in (c[:-1], c[-1])} if c not in cache]
     for c, e in zip(plain, tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
         cache[c] = np.array(e.ids, "<u4").tobytes()
