@@ -11,7 +11,9 @@ block returns k rows a query at most, and a last ranking merges them.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; a
 vector meets only vectors of its own length; rows with the query's id are no candidates for it; a repeated query row is
-answered each time; fewer candidates than k give all of them; an empty table gives an empty result.
+answered each time; fewer candidates than k give all of them; an empty table gives an empty result; extra columns are
+ignored. Finite components of any size take part as long as no score can pass 64 bits; a table where one could is refused
+with an error.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, CHUNK_QUERIES = 16384, 64
 #: Copies of each block that work on different query chunks.
 SLOTS = 8
+#: Bound of a quantised component, so that differences fit 64 bits.
+MOST = 1 << 61
 INDEX_SCHEMA = "block int, dims int, rows int, bits int, ids binary, low binary, slices binary"
 CHUNK_SCHEMA = "dims int, ids binary, vectors binary"
 
@@ -101,7 +105,7 @@ def select_top(result: list[np.ndarray], rows: np.ndarray, k: int) -> np.ndarray
 
 
 def _quantised(col: str, scale: int) -> Column:
-    return F.transform(F.col(col), lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    return F.transform(F.col(col), lambda x: F.floor(x.cast("double") * scale))
 
 
 def quantise(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -120,6 +124,8 @@ def _matrices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[in
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
             own = flat[offsets[at][:, None] + np.arange(d)].astype(np.int64)
+            if own.size and (own.max() >= MOST or own.min() <= -MOST):
+                raise ValueError(f"a component of {int(np.abs(own.astype(object)).max())} after scaling leaves no room for scores in 64 bits")
             held.setdefault(int(d), []).append((ids[at], own))
             while sum(len(i) for i, _ in held[int(d)]) >= most:
                 i, m = (np.concatenate(x) for x in zip(*held[int(d)]))
@@ -147,7 +153,7 @@ def build_index(vectors: DataFrame, n_blocks: int) -> DataFrame:
 def _chunks(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dims, ids, m in _matrices(batches, CHUNK_QUERIES):
-            row = [dims, ids.tobytes(), m.astype(np.int32).tobytes()]
+            row = [dims, ids.tobytes(), m.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.binary(), pa.binary()])], names=[f.split(" ")[0] for f in CHUNK_SCHEMA.split(", ")])
 
     return vectors.mapInArrow(run, CHUNK_SCHEMA)
@@ -165,7 +171,10 @@ def _search(k: int):
                 everyone = np.zeros(slices.shape[-1] * 8, np.uint8)
                 packed = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
                 everyone[: len(packed)] = packed
-                queries = np.frombuffer(r["vectors"], np.int32).reshape(-1, r["dims"]).astype(np.int64)
+                queries = np.frombuffer(r["vectors"], np.int64).reshape(-1, r["dims"])
+                largest = max(abs(int(low.min())), abs(int(low.max())), int((low.astype(object) + ((1 << r["bits"]) - 1)).max()))
+                if queries.size and r["dims"] * largest * max(abs(int(queries.min())), int(queries.max())) >= 1 << 63:
+                    raise ValueError("scores of these vectors could pass 64 bits")
                 out: list[tuple] = []
                 for n, (own, q) in enumerate(zip(np.frombuffer(r["query_ids"], np.int64), queries)):
                     rows = everyone.copy()
@@ -187,10 +196,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     """query_id, rank, vec_id and integer score of each query's k best rows."""
     vectors = quantise(rows, id_col, vector_col, scale)
     n = max(1, -(-rows.count() // BLOCK_ROWS))
-    blocks = build_index(vectors, n).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    slots = min(SLOTS, max(1, -(-queries.count() // CHUNK_QUERIES)))  # no more copies of a block than there are chunks
+    blocks = build_index(vectors, n).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     chunks = _chunks(quantise(queries, id_col, vector_col, scale)).withColumn("chunk", F.monotonically_increasing_id())
-    chunks = chunks.withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(SLOTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    width = n * SLOTS
+    chunks = chunks.withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(slots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    width = n * slots
     pairs = (
         blocks.repartition(width, "block", "slot")
         .join(chunks.withColumnRenamed("ids", "query_ids").repartition(width, "block", "slot"), ["block", "slot", "dims"])
