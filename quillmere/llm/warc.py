@@ -7,8 +7,9 @@ record_type, record_id, target_uri, refers_to and payload_digest are tested on t
 bytes of a member are inflated; members that fail are skipped by their 'sl' size and their payloads never decoded.
 
 Defined results: a null payload is an empty one; a null URL leaves the header out; repeated rows of one page are written
-each, with the same type; an empty table gives an archive without records and an empty result. Payloads of any length are
-kept whole.
+each, with the same type; a row without page_id is a response of its own and comes back with a null page_id; an empty table
+gives an archive without records and an empty result; extra columns are ignored. Payloads of any length are kept whole. The
+reader takes archives of other writers too: plain `.warc` files, header names in any case, folded header lines.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ PUSHED = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest
 #: Names and forms set by the WARC 1.1 and RFC 1952 formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_MAGIC, GZIP_EXTRA = b"\x1f\x8b\x08", 4
-NAMES = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
+NAMES = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 
 
 def digest_of(payload: bytes) -> str:
@@ -125,8 +126,22 @@ class WarcWriter(DataSourceArrowWriter):
             system.delete_file(f"{base}/{f}")
 
 
+def parse_headers(head: bytes) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 class Members:
-    """Gzip members of a stream, headers first."""
+    """Records of a stream, headers first; each is a gzip member or stands plain."""
 
     def __init__(self, stream: pa.NativeFile):
         self.stream, self.buffer = stream, b""
@@ -149,8 +164,21 @@ class Members:
     def records(self, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
         """(headers, block) of the records whose headers are wanted."""
         while self.fill(12):
+            if self.buffer[:5] == b"WARC/":
+                while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+                    if not self.fill(len(self.buffer) + 1):
+                        raise ValueError("a record ends within its headers")
+                headers = parse_headers(self.buffer[:end])
+                n = int(headers["content-length"])
+                self.skip(end + 4)
+                if wanted(headers):
+                    if not self.fill(n):
+                        raise ValueError("a record ends within its block")
+                    yield headers, self.buffer[:n]
+                self.skip(n + 4)
+                continue
             if self.buffer[:3] != GZIP_MAGIC:
-                raise ValueError("no gzip member at this place")
+                raise ValueError("neither a gzip member nor a record at this place")
             size, start = None, 10
             if self.buffer[3] & GZIP_EXTRA:
                 n = struct.unpack_from("<H", self.buffer, 10)[0]
@@ -176,7 +204,7 @@ class Members:
                 plain += z.decompress(tail, HEAD_BYTES)
                 tail = z.unconsumed_tail
             head, _, block = plain.partition(b"\r\n\r\n")
-            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+            headers = parse_headers(head)
             take = wanted(headers)
             if size and not take:
                 self.skip(size)
@@ -193,7 +221,7 @@ class Members:
                 tail = z.unconsumed_tail
             self.skip(size if size else at - len(z.unused_data) if z.unused_data else at)
             if take:
-                yield headers, b"".join(parts)[: int(headers["Content-Length"])]
+                yield headers, b"".join(parts)[: int(headers["content-length"])]
 
 
 def value_of(headers: dict[str, str], column: str) -> str | None:
@@ -232,7 +260,7 @@ class WarcReader(DataSourceReader):
         with system.open_input_file(path) as stream:
             for headers, block in Members(stream).records(lambda h: all(value_of(h, c) in v for c, v in self.tests)):
                 http, _, payload = block.partition(b"\r\n\r\n")
-                revisit = headers.get("WARC-Type") == "revisit"
+                revisit = headers.get("warc-type") == "revisit"
                 lengths = [line.split(b":")[1] for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")] if revisit else []
                 row = {c: value_of(headers, c) for c in PUSHED}
                 if self.verify and not revisit and row["payload_digest"] not in (None, digest_of(payload)):
@@ -278,7 +306,7 @@ def archive_records(pages: DataFrame) -> DataFrame:
     digests = rows.select("page_id", F.sha1("payload").alias("sha"))
     best = digests.groupBy("sha").agg(F.max("page_id").alias("response"))
     revisits = digests.join(best, "sha").where(F.col("page_id") < F.col("response")).select("page_id", F.col("sha").alias("own_sha"), "response").distinct()
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     joined = rows.withColumn("sha", F.sha1("payload")).join(revisits.withColumnRenamed("page_id", "own_id"), (F.col("page_id") == F.col("own_id")) & (F.col("sha") == F.col("own_sha")), "left")
     first = F.col("response").isNull()
     return joined.select(
@@ -307,5 +335,5 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as an archive in the shared folder and reads the records back; responses are hashed anew."""
     path = new_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read_archive(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
