@@ -18,10 +18,11 @@ own; an empty table gives an empty result; extra columns are ignored. Texts of a
 from __future__ import annotations
 
 import hashlib
-import heapq
 import random
+from bisect import bisect, insort
 from collections.abc import Iterator
-from math import exp, expm1, inf, log, log1p
+from itertools import accumulate
+from math import exp, expm1, inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,19 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 MARK = "▁"
 THETA = 1.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
+#: Segmentations of a word that are listed at most.
+WHOLE = 64
+#: A partial segmentation whose log-probability lies this far below the least open value has no other edge that could beat
+#: that: the chance, exp(-LATE), is below what a double can draw.
+LATE = 60.0
+#: Characters whose samples are built at once.
+BATCH_CHARS = 200_000
 
 
 class Lattices(dict):
-    """Maps a word to its lattice, built on first use: at each end position the (start, ids, log-probability) of edges."""
+    """Maps a word to its lattice, built on first use: at each end position the edges' starts, ids and log-probabilities,
+    and the running sums of their probabilities but the last."""
 
     def __init__(self, path: str, theta: float = THETA):
         super().__init__()
@@ -47,14 +56,55 @@ class Lattices(dict):
                 self.bytes[int(self.sp.id_to_piece(i)[1:-1], 16)] = i
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 self.pieces[self.sp.id_to_piece(i)] = i, -theta * log(i + 2)
+        self.wholes: dict[str, tuple | None] = {}
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -theta * log(self.sp.get_piece_size() + 2)
 
-    def __missing__(self, word: str) -> list[list[tuple]]:
+    def whole(self, word: str) -> tuple[list, list, list] | None:
+        """(ids, log-probabilities, running sums of probabilities but the last) of all segmentations of a word, or None
+        where there are more than WHOLE."""
+        if word in self.wholes:
+            return self.wholes[word]
+        if len(self.wholes) >= CACHE_WORDS:
+            self.wholes.clear()
+        ends, found = self[word], [[((), 0.0)]]
+        for starts, ids, logs, _ in ends[1:]:
+            found.append([(h + i, p + g) for s, i, g in zip(starts, ids, logs) for h, p in found[s]])
+            if len(found[-1]) > WHOLE:
+                found = None
+                break
+        out = None
+        if found:
+            logs = [p for _, p in found[-1]]
+            out = [i for i, _ in found[-1]], logs, list(accumulate(map(exp, logs)))[:-1]
+        if len(word) <= 64:
+            self.wholes[word] = out
+        return out
+
+    def finish(self, words: list[str], w: int, j: int, phi: float, chain: tuple | None, uniform) -> tuple[float, tuple | None]:
+        """A partial segmentation's log-probability and ids after drawing the rest of it, edge by edge or word by word."""
+        while w >= 0:
+            word = words[w]
+            every = self.whole(word) if j == len(word) else None
+            if every is not None:
+                ids, logs, below = every
+                n = bisect(below, uniform()) if below else 0
+                phi, chain = phi + logs[n], (ids[n], chain)
+            else:
+                ends = self[word]
+                while j:
+                    starts, ids, logs, below = ends[j]
+                    n = bisect(below, uniform()) if below else 0
+                    phi, chain, j = phi + logs[n], (ids[n], chain), starts[n]
+            w -= 1
+            j = len(words[w])
+        return phi, chain
+
+    def __missing__(self, word: str) -> list[tuple[list, list, list, list]]:
         if len(self) >= CACHE_WORDS:
             self.clear()
         n = len(word)
-        alpha, ends = [0.0] + [-inf] * n, [[]]
+        alpha, ends = [0.0] + [-inf] * n, [([], [], [], [])]
         for j in range(1, n + 1):
             edges = []
             for i in range(max(0, j - self.longest), j):
@@ -65,7 +115,8 @@ class Lattices(dict):
                 edges.append((j - 1, own, alpha[j - 1] + len(own) * self.byte_weight))
             top = max(e[2] for e in edges)
             alpha[j] = top + log(sum(exp(e[2] - top) for e in edges))
-            ends.append([(i, ids, a - alpha[j]) for i, ids, a in edges])
+            logs = [a - alpha[j] for _, _, a in edges]
+            ends.append(([i for i, _, _ in edges], [ids for _, ids, _ in edges], logs, list(accumulate(map(exp, logs)))[:-1]))
         if n <= 64:
             self[word] = ends
         return ends
@@ -78,37 +129,55 @@ def words_of(text: str, sp) -> list[str]:
 
 
 def sample(words: list[str], lattices: Lattices, k: int, rng: random.Random) -> list[tuple[list[int], float, float]]:
-    """(ids, log_prob, inclusion) of k distinct segmentations, in the order they are drawn."""
+    """(ids, log_prob, inclusion) of k distinct segmentations, in the order they are drawn.
+
+    An open node stands for all completions of a partial segmentation and has their largest perturbed value, so it has a
+    completion of exactly that value: beyond the k + 1 - len(done) best nodes none is needed. The best one is followed to
+    its end. At each place, which edge carries the node's value is drawn by the edges' probabilities; the largest value
+    among the others is a Gumbel of their mass, cut off at the node's value, and only those that beat the open nodes are
+    kept. Once a partial segmentation is so improbable that no other edge can, nothing but the edge is drawn.
+    """
     ends = [lattices[w] for w in words]
-    number, uniform = 0, rng.random
-    start = (len(words) - 1, len(words[-1]) if words else 0)
-    agenda = [(log(-log(uniform() or 1e-300)), 0, *start, 0.0, None)]
+    uniform, last = rng.random, len(words) - 1
+    best = [(-log(-log(uniform() or 1e-300)), last, len(words[-1]) if words else 0, 0.0, None)]
     done: list[tuple[float, float, tuple | None]] = []
-    while agenda and len(done) <= k:
-        lost, _, w, j, phi, chain = heapq.heappop(agenda)
+    while best and len(done) <= k:
+        value, w, j, phi, chain = best.pop(0)
+        need = k - len(done)  # open nodes that can still matter besides this one
+        least = best[need - 1][0] if 0 < need <= len(best) else -inf
         while w >= 0:
-            edges = ends[w][j]
-            if len(edges) > 1:
+            if not need or phi - least <= -LATE:
+                phi, chain = lattices.finish(words, w, j, phi, chain, uniform)
                 break
-            i, ids, _ = edges[0]
-            chain, j = (ids, chain), i
+            starts, ids, logs, below = ends[w][j]
+            n = 0
+            if len(starts) > 1:
+                n = bisect(below, uniform())
+                rest, bound = [x for x in range(len(starts)) if x != n], value
+                while rest:
+                    mass = [exp(logs[x]) for x in rest]
+                    total = sum(mass)
+                    if total <= 0.0:
+                        break
+                    where = phi + log(total)
+                    bound = where - log(exp(min(where - bound, 700.0)) - log(uniform() or 1e-300))
+                    if bound <= least:
+                        break
+                    at, x = uniform() * total, 0
+                    while x < len(rest) - 1 and at >= mass[x]:
+                        at -= mass[x]
+                        x += 1
+                    e = rest.pop(x)
+                    place = (w, starts[e]) if starts[e] else (w - 1, len(words[w - 1]) if w else 0)
+                    insort(best, (bound, *place, phi + logs[e], (ids[e], chain)), key=lambda node: -node[0])
+                    del best[need:]
+                    least = best[-1][0] if len(best) == need else -inf
+            phi += logs[n]
+            chain, j = (ids[n], chain), starts[n]
             if not j:
                 w -= 1
                 j = len(words[w]) if w >= 0 else 0
-        if w < 0:
-            done.append((-lost, phi, chain))
-            continue
-        drawn = [(i, ids, phi + p, phi + p - log(-log(uniform() or 1e-300))) for i, ids, p in edges]
-        most, parent = max(d[3] for d in drawn), -lost
-        for i, ids, own, g in drawn:
-            if g == most:
-                value = parent
-            else:
-                v = parent - g + log(-expm1(g - most))
-                value = parent - max(0.0, v) - log1p(exp(-abs(v)))
-            number += 1
-            nw, nj = (w, i) if i else (w - 1, len(words[w - 1]) if w else 0)
-            heapq.heappush(agenda, (-value, number, nw, nj, own, (ids, chain)))
+        done.append((value, phi, chain))
     kappa = done[k][0] if len(done) > k else -inf
     out = []
     for _, phi, chain in done[:k]:
@@ -133,32 +202,49 @@ def decode_ids(ids: list[int], lattices: Lattices) -> str:
     return lattices.sp.decode(ids)
 
 
+def _seed(key: list) -> bytes:
+    return hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
+
+
 def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_col: str = "text") -> DataFrame:
-    """The key columns, sample (from 1), ids, log_prob and inclusion of k samples of every whole text; a narrow map."""
-    picked = rows.select(*(F.col(c) for c in keys), F.col(text_col).alias("_text"))
-    schema = StructType([*picked.schema.fields[:-1], StructField("sample", IntegerType()), StructField("ids", ArrayType(IntegerType())), StructField("log_prob", DoubleType()), StructField("inclusion", DoubleType())])
+    """The key columns, sample (from 1), ids, log_prob and inclusion of k samples of every whole text; a narrow map.
+
+    Key columns may not bear the name of one of the four others.
+    """
+    added = [StructField("sample", IntegerType()), StructField("ids", ArrayType(IntegerType())), StructField("log_prob", DoubleType()), StructField("inclusion", DoubleType())]
+    if clash := {c.lower() for c in keys} & {f.name for f in added}:
+        raise ValueError(f"key columns named like results: {sorted(clash)}; rename them")
     m = len(keys)
+    picked = rows.select(*(F.col(f"`{c}`") for c in keys), F.col(f"`{text_col}`").alias("_text"))
+    schema = StructType([*picked.schema.fields[:m], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                take, out = [], []
-                for r, (*key, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
-                    rng = random.Random(hashlib.blake2b(repr(key).encode(), digest_size=8).digest())
-                    for s, (ids, phi, p) in enumerate(sample(words_of(text or "", lattices.sp), lattices, k, rng), 1):
-                        take.append(r)
-                        out.append((s, ids, phi, p))
+            take, out, size = [], [], 0
+
+            def rows_of() -> pa.RecordBatch:
                 cols = list(zip(*out)) or [()] * 4
-                chosen = part.take(pa.array(take, pa.int64())).columns[:m]
-                yield pa.RecordBatch.from_arrays([*chosen, *(pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64()]))], names=schema.names)
+                chosen = batch.take(pa.array(take, pa.int64())).columns[:m]
+                return pa.RecordBatch.from_arrays([*chosen, *(pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64()]))], names=schema.names)
+
+            for r, (*key, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                for s, (ids, phi, p) in enumerate(sample(words_of(text or "", lattices.sp), lattices, k, random.Random(_seed(key))), 1):
+                    take.append(r)
+                    out.append((s, ids, phi, p))
+                size += len(text or "")
+                if size >= BATCH_CHARS:
+                    yield rows_of()
+                    take, out, size = [], [], 0
+            if out:
+                yield rows_of()
 
     return picked.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """rows with the text of their ids; null ids give null."""
+    """rows with the text of their ids; null ids give null; a column that is named out_col gives way to the result."""
+    rows = rows.drop(out_col) if out_col.lower() in {c.lower() for c in rows.columns} else rows
     schema = StructType([*rows.schema.fields, StructField(out_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +257,9 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
 
 
 def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every conversation turn, with the SHA-1 of what they decode to."""
+    """Two sampled segmentations of every whole document, with the SHA-1 of what they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    samples = decode(sample_encode(rows, ["conv_id", "turn"], path), path)
-    return samples.select("conv_id", "turn", "sample", "ids", F.size("ids").cast("long").alias("n_ids"), "log_prob", "inclusion", F.sha1(F.encode("decoded", "UTF-8")).alias("decoded_sha1"))
-
-
+    samples = decode(sample_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], path), path)
+    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_ids"), F.sha1(F.array_join("ids", " ").cast("binary")).alias("ids_sha1"), "log_prob", "inclusion", F.sha1(F.encode("decoded", "UTF-8")).alias("decoded_sha1"))
