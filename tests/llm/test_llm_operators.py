@@ -107,19 +107,23 @@ def test_quality_features_equal_brute_force(spark):
     assert quality_rules.quality_cascade(docs_of(spark, [])).count() == 0
 
 
-def brute_components(texts):
-    sets = []
-    for t in texts:
-        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    group = list(range(len(texts)))
+def shingles(t):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(texts, ids=None):
+    """(size, component) by row; ids, given for rows that repeat an id, may hold None, which is linked with nothing."""
+    ids = list(range(len(texts))) if ids is None else ids
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
     for i, x in enumerate(sets):
         for j in range(i):
             n = len(x & sets[j])
-            if n and 100 * n >= 75 * (len(x) + len(sets[j]) - n):
+            if None not in (ids[i], ids[j]) and n and 100 * n >= 75 * (len(x) + len(sets[j]) - n):
                 a, b = max(group[i], group[j]), min(group[i], group[j])
                 group = [b if g == a else g for g in group]
-    return {i: (len(s), group[i]) for i, s in enumerate(sets)}
+    least = {g: min((ids[k] for k in range(len(ids)) if group[k] == g and ids[k] is not None), default=None) for g in set(group)}
+    return {i: (len(s), least[group[i]]) for i, s in enumerate(sets)}
 
 
 def near_copies(seed, n, words, edits):
@@ -150,16 +154,27 @@ def test_ngram_join_deals_hot_buckets_in_slices(spark, monkeypatch):
     texts += [" ".join(chain[i : i + 180]) for i in range(0, 120, 2)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs_of(spark, texts).repartition(3)).collect()}
     assert got == brute_components(texts)
-    most = written["pairs"].where("kind > 0").selectExpr("max(octet_length(ids) div 8)").first()[0]
-    assert most <= 16 + 8 + 4
+    most = written["pairs"].where("kind = 2").selectExpr("max(octet_length(nodes) div 8)").first()[0]
+    assert 0 < most <= 16 + 8 + 4
     assert written["pairs"].where("kind = 2").count() > 0
 
 
-def test_bucket_parts_grow_with_vectors():
-    assert ngram_join.bucket_parts(0, 0, 0) == 1
-    assert ngram_join.bucket_parts(50_000, 2_000_000, 4) == 4
-    parts = ngram_join.bucket_parts(12_000_000, 600_000_000, 120)
-    assert 600_000_000 / parts <= 2 * ngram_join.VECTORS_AT_ONCE
+def test_ngram_join_tells_rows_of_one_id_apart(spark):
+    a, b = prose(1, 120), prose(2, 150)
+    rows = [(1, a), (2, a + " x"), (2, None), (1, None), (3, b), (3, b), (3, b + " y"), (None, b), (4, ""), (2, b + " z"), (5, a.upper())]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components([t for _, t in rows], [i for i, _ in rows])
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *want[k]) if want[k][0] and i is not None else (i, want[k][0], i) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_pairs_of_a_pool_come_up_once(spark, monkeypatch):
+    """Near copies share many keys, yet each candidate pair is written once."""
+    written, materialize = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    texts = near_copies(31, 80, 200, 3)
+    ngram_join.join(docs_of(spark, texts).repartition(2)).count()
+    n = written["pairs"].where("kind = 0").selectExpr("sum(octet_length(nodes) div 16)").first()[0]
+    assert n <= 2 * len(texts)
 
 
 def test_count_tree_bounds_every_pair():
@@ -198,20 +213,45 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_repeats(texts)
     out = suffix_dedup.dedup(docs_of(spark, texts))
     assert out.columns == docs_of(spark, []).columns and out.count() == len(texts)
-    assert suffix_dedup.find_repeats(docs_of(spark, [])).count() == 0
+    assert suffix_dedup.find_repeats(docs_of(spark, [])).count() == 0 == suffix_dedup.dedup(docs_of(spark, [])).count()
+
+
+@pytest.mark.parametrize("rows", [[(1, prose(1, 40))], [(1, prose(1, 40)), (2, prose(2, 60))], [(1, None)], [(None, None)], [(1, "x" * 60), (1, "x" * 60)], [(7, "y" * 50), ((1 << 63) - 1, "y" * 50), (None, "y" * 50)]])
+def test_suffix_dedup_without_shared_passages(spark, rows):
+    got = {(r.doc_id, r.n_removed) for r in suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 50 if i == (1 << 63) - 1 else 0) for i, _ in rows}
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """Anchors with many different stretches are dealt by ranges of windows and, beyond that, one by one."""
+    for name, value in (("HOT_MARKS", 2), ("HOT_BLOCKS", 5), ("BLOCK_BYTES", 2000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    passage = prose(78, 14)
+    texts = [prose(400 + i, 20) + passage[i % 7 :] + prose(500 + i, 20) for i in range(60)] + near_copies(14, 20, 60, 4)
+    rows = suffix_dedup.find_repeats(docs_of(spark, texts).repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_repeats(texts)
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    a = prose(5, 60)
+    rows = [(1, a, 7, "x", None, [1]), (2, a, 7, "y", len(a), None), (3, None, 7, "z", 0, [2]), (4, "", 7, "", 0, [])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, own_id int, block string, n_chars int, found array<int>")
+    out = suffix_dedup.dedup(docs)
+    assert out.schema == docs.schema
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [rows[0], (2, "", 7, "y", 0, None), *rows[2:]]
 
 
 def test_large_lanes_are_split_exactly():
-    stretches = [(k, 30, 31, bytes(f"{k:030d}", "ascii") + b"ANCHORANCHORANCHOR!!" + bytes(f"{k // 3:030d}", "ascii")) for k in range(60)]
-    lanes = list(suffix_dedup.split_lanes(stretches))
+    texts = [bytes(f"{k:030d}", "ascii") + b"ANCHORANCHORANCHOR!!" + bytes(f"{k // 3:030d}", "ascii") for k in range(60)]
+    raw = b"".join(texts)
+    lanes = list(suffix_dedup.split_lanes([(k, 0, 30, 80 * k, 80) for k in range(60)], raw))
     assert max(map(len, lanes)) <= suffix_dedup.LANE_MOST or len(lanes) > 1
-    least = np.arange(60)
-    s, w, low = suffix_dedup.window_minima(lanes, least)
-    want = {}
-    for k, _, n, t in stretches:
-        for i in range(n):
-            want[k, i] = min(j for j, _, _, u in stretches if u[i : i + 50] == t[i : i + 50])
-    assert dict(zip(zip(s.tolist(), w.tolist()), low.tolist())) == want
+    items = np.array([(n, *item) for n, lane in enumerate(lanes) for item in lane], np.int64).T
+    s, w, low = suffix_dedup.window_minima(np.frombuffer(raw, np.uint8), *items, np.arange(60))
+    got = {(k, i): k for k in range(60) for i in range(31)}
+    for k, i, x in zip(s.tolist(), w.tolist(), low.tolist()):
+        got[k, i] = min(got[k, i], x)
+    assert got == {(k, i): min(j for j, u in enumerate(texts) if u[i : i + 50] == t[i : i + 50]) for k, t in enumerate(texts) for i in range(31)}
 
 
 def test_suffix_arrays():
