@@ -284,7 +284,7 @@ def deal_ranges(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, keys: np.ndarray
     return tuple(np.concatenate(x) for x in (own, first, last, key))
 
 
-SENT_SCHEMA = "part long, block long, keys binary, offsets binary, lengths binary, text binary, times binary, docs binary, ids binary, of binary, places binary"
+SENT_SCHEMA = "part long, block long, offsets binary, lengths binary, text binary, times binary, docs binary, ids binary, of binary, places binary"
 
 
 def stretches(joined: DataFrame, parts: int) -> DataFrame:
@@ -293,7 +293,7 @@ def stretches(joined: DataFrame, parts: int) -> DataFrame:
     joined: blocks with `shared`, an array of (part, keys, levels), null where a block shares nothing.
     """
     names = [c.split(" ")[0] for c in SENT_SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 2 + [pa.binary()] * 9
+    kinds = [pa.int64()] * 2 + [pa.binary()] * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +312,7 @@ def stretches(joined: DataFrame, parts: int) -> DataFrame:
                     used, of = np.unique(doc[x:y], return_inverse=True)
                     sizes = hi[h] - lo[h] + WINDOW
                     text = b[_ranges(lo[h], sizes)].tobytes()
-                    rows.append((int(to[a]), r["block"], planes(keys[h]), planes(off[h].astype(np.int16)), zip_bytes(sizes.astype(np.uint8).tobytes()), zip_bytes(text, 6), planes((stop[a:z] - h).astype(np.int32)), planes(used.astype(np.int32)), planes(ids[used]), planes(of.astype(np.int32)), planes((lo - begins[doc])[x:y])))
+                    rows.append((int(to[a]), r["block"], planes(off[h].astype(np.int16)), zip_bytes(sizes.astype(np.uint8).tobytes()), zip_bytes(text, 6), planes((stop[a:z] - h).astype(np.int32)), planes(used.astype(np.int32)), planes(ids[used]), planes(of.astype(np.int32)), planes((lo - begins[doc])[x:y])))
                 cols = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
@@ -385,13 +385,22 @@ def window_minima(b: np.ndarray, lane: np.ndarray, stretch: np.ndarray, first: n
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def anchor_keys(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the GRAM-byte strings at the given places."""
+    view, out = np.lib.stride_tricks.sliding_window_view(b, GRAM), np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        out = out * np.uint64(_ODD[0]) + view[at, k]
+    return mix64(out)
+
+
 def sort_part(table: pa.Table) -> pa.Table:
     """For each block that sent stretches to this part: the places (document, start, end) that a smaller doc_id has too."""
     rows = table.to_pylist()
     raw = b"".join(unzip(r["text"]) for r in rows)
     b, hashes = np.frombuffer(raw, np.uint8), window_hashes(np.frombuffer(raw, np.uint8))
-    keys, off, size, times = (np.concatenate([f(r) for r in rows]) for f in (lambda r: unplane(r["keys"], np.uint64), lambda r: unplane(r["offsets"], np.int16).astype(np.int64), lambda r: np.frombuffer(unzip(r["lengths"]), np.uint8).astype(np.int64), lambda r: unplane(r["times"], np.int32).astype(np.int64)))
+    off, size, times = (np.concatenate([f(r) for r in rows]) for f in (lambda r: unplane(r["offsets"], np.int16).astype(np.int64), lambda r: np.frombuffer(unzip(r["lengths"]), np.uint8).astype(np.int64), lambda r: unplane(r["times"], np.int32).astype(np.int64)))
     at = np.cumsum(size) - size
+    keys = anchor_keys(b, at + off)
     order, heads = distinct(keys, off, b, at, at + size - WINDOW, hashes)
     which = np.empty(len(order), np.int64)
     which[order] = np.repeat(np.arange(len(heads)), np.diff(np.concatenate([heads, [len(order)]])))
