@@ -1,18 +1,23 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon terms and text patterns. A fixed list of insults and patterns comes first; further terms (words and
-word beginnings) are mined from labelled training rows by their lift among toxic ones. A generative label model over the
-votes is fitted by expectation maximisation: for each voter, how often it fires on toxic and on clean documents; from the
-residuals that the posterior leaves, how voters correlate. A voter's evidence is divided by its summed correlation, so
-that near-copies of a voter count once. The labels of training rows enter as one more voter with a fixed reliability. A
-logistic regression is then trained on the posteriors over term features and scores any text.
-
-Bounded: the model is fitted on TRAIN_ROWS labelled rows at most (drawn by hash), with VOTERS voters and FEATURES terms;
-scoring covers every row and whole texts. Mining counts terms with map-side combining.
+word beginnings) are chosen by their lift among labelled training rows. A generative label model over the votes is fitted
+by expectation maximisation on a bounded sample of all documents, without any label: for each voter, how often it fires on
+toxic and on clean documents; from the residuals that the posterior leaves, how voters correlate. Voters that depend on
+each other make a block, which has one vote: how many of its members fire, in LEVELS, with rates of its own. So near-copies
+of a voter, or the terms of one language, count once. The posterior, not the labels, is what the linear classifier is
+trained on, over term features of the same sample. Labels serve to choose voters and, in the end, to
+calibrate: a scale and a shift of the classifier's log-odds are fitted on the labelled training rows, and its weights are
+fitted once more under a ridge that pulls each to its scaled value.
+
+Bounded: terms are counted over TRAIN_ROWS labelled rows at most, and those that fewer than LEAST_TOXIC toxic rows have,
+or that come after the CANDIDATES most frequent ones, are no candidates; the label model and the classifier are fitted on
+these rows and POOL_ROWS others (both drawn by hash), with VOTERS voters and FEATURES terms. Scoring covers every row and
+whole texts. Mining counts terms with map-side combining.
 
 Defined results: a null or empty text is scored like a text without terms; repeated rows get equal scores; without usable
-labels the fixed voters alone make the model; an empty table gives an empty result; extra columns are ignored. Ties among
-terms are broken by the term itself.
+labels the fixed voters alone make the model; an empty table gives an empty result; extra columns are ignored, and kept
+by `drop_toxic`. Ties among terms are broken by the term itself.
 """
 
 from __future__ import annotations
@@ -26,21 +31,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import materialize
 
 #: Bounds of the fit.
-TRAIN_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 160, 512, 5, 50_000
+TRAIN_ROWS, POOL_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 12_000, 160, 512, 5, 50_000
 #: A term needs LEAST_TOXIC toxic rows and this share of them.
 LEAST_SHARE = 0.01
-#: A mined voter is this many times as frequent among toxic rows, at least.
-VOTER_LIFT = 4.0
+#: A mined voter is this many times as frequent among toxic rows, at least, by two standard errors below the estimate.
+VOTER_LIFT = 10.0
 #: Lengths of the word beginnings that serve as terms besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Shares of a text's words, in per cent, from which a beginning seen at least twice brings a further term.
 DENSITIES = (1, 3)
 PREDICT_AT = 0.3
-#: Reliability of a training label as a voter, EM rounds, ridge and Newton rounds of the classifier.
-LABEL_RELIABILITY, EM_ROUNDS, RIDGE, NEWTON_ROUNDS = 0.97, 12, 0.1, 20
+#: EM rounds, ridge and Newton rounds of the classifier, and the ridge of its calibration.
+EM_ROUNDS, RIDGE, NEWTON_ROUNDS, PULL = 30, 0.1, 20, 0.3
+#: Posterior that EM starts from where two or more, one, or no voters fire; correlation from which two voters depend on each
+#: other; rounds in which blocks are formed; and the counts of firing members that part a block's levels.
+START, DEPENDENT, BLOCK_ROUNDS, LEVELS = (0.9, 0.1, 0.02), 0.2, 3, (1, 2, 4)
 WORD = re.compile(r"\w+")
 #: Common English insults.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "garbage", "filthy", "vermin", "jerk", "imbecile", "hate"]
@@ -55,12 +64,13 @@ _compiled = {k: re.compile(v) for k, v in PATTERNS.items()}
 
 @dataclass
 class Model:
-    """Weight of each term (present or absent in a text), the intercept, and the label model's estimates."""
+    """Weight of each term (present or absent in a text), the intercept, and the label model's estimates: how often each
+    voter fires on toxic and on clean documents, and the correlations of voters that depend on each other."""
 
     weights: dict[str, float]
     intercept: float
     accuracies: dict[str, tuple[float, float]] = field(default_factory=dict)
-    correlation: dict[str, float] = field(default_factory=dict)
+    correlations: dict[tuple[str, str], float] = field(default_factory=dict)
 
 
 def add_densities(found: Counter, n_words: int) -> set[str]:
@@ -116,6 +126,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, limit: int = TRA
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id")
 
 
+def pool_rows(docs: DataFrame, limit: int = POOL_ROWS) -> DataFrame:
+    """text of about `limit` documents at most, drawn by hash of doc_id and text whatever their labels."""
+    share = min(1.0, limit / max(docs.count(), 1))
+    spot = F.pmod(F.xxhash64("doc_id", "text", F.lit("pool")), F.lit(1_000_000))
+    return docs.where(spot < int(share * 1_000_000)).select("text")
+
+
 def _count_terms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     """term and the number of texts that have it, combined within each task."""
 
@@ -146,13 +163,14 @@ def mine_terms(train: DataFrame) -> tuple[list[str], list[str]]:
             continue
         lift = ((a + 0.5) / (pos + 1)) / ((clean.get(t, 0) + 0.5) / (neg + 1))
         if lift > 1:
-            rows.append((-round(np.log(lift) * np.sqrt(a), 9), t, lift))
+            error = np.sqrt(1 / (a + 0.5) + 1 / (clean.get(t, 0) + 0.5))
+            rows.append((-round(np.log(lift) * np.sqrt(a), 9), t, np.log(lift) - 2 * error >= np.log(VOTER_LIFT)))
     rows.sort()
-    return [t for _, t, lift in rows if lift >= VOTER_LIFT][:VOTERS], [t for _, t, _ in rows[:FEATURES]]
+    return [t for _, t, sure in rows if sure][:VOTERS], [t for _, t, _ in rows[:FEATURES]]
 
 
-def presence(train: DataFrame, terms: list[str]) -> tuple[list[int], list[np.ndarray]]:
-    """Labels of the bounded sample's rows, and for each row the sorted numbers of the terms it has."""
+def presence(rows: DataFrame, terms: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """toxic (-1 where it isn't known) of the bounded sample's rows, and the sorted numbers of the terms each has."""
     number = {t: k for k, t in enumerate(terms)}
     known = set(terms)
 
@@ -160,93 +178,129 @@ def presence(train: DataFrame, terms: list[str]) -> tuple[list[int], list[np.nda
         lookup = TermLookup(known)
         for batch in batches:
             rows = [np.array(sorted(number[t] for t in lookup.of(x or "") & known), np.int16).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["toxic", "terms"])
+
+    got = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, terms binary").orderBy("toxic", "terms").toArrow()
+    return got.column("toxic").to_numpy(), [np.frombuffer(x, np.int16) for x in got.column("terms").to_pylist()]
 
-    got = train.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, terms binary").orderBy("doc_id", "toxic", "terms").toArrow()
-    return got.column("toxic").to_pylist(), [np.frombuffer(x, np.int16) for x in got.column("terms").to_pylist()]
 
+def blocks_of(corr: np.ndarray) -> np.ndarray:
+    """The block of each voter, by its smallest member: voters linked by correlations beyond DEPENDENT."""
+    linked = (np.abs(corr) > DEPENDENT) | np.eye(len(corr), dtype=bool)
+    block = np.arange(len(corr))
+    while True:
+        least = np.where(linked, block[None, :], len(corr)).min(axis=1)
+        if (least == block).all():
+            return block
+        block = least
 
-def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(posterior of toxic, rate of firing on toxic, rate on clean, summed correlation) by expectation maximisation.
 
-    votes: rows by voters, 1 where a voter fires. A voter that doesn't fire abstains unless it is a frequent one; its
-    silence then counts by the rates as well.
+def label_model(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic, rate of firing on toxic, rate on clean, correlations) by expectation maximisation over votes
+    alone; no label is seen.
+
+    votes: rows by voters, 1 where a voter fires. The start is the majority vote: START.
     """
     n, m = votes.shape
     v = votes.astype(np.float64)
-    label_odds = np.log(LABEL_RELIABILITY / (1 - LABEL_RELIABILITY)) * np.where(labels == 1, 1.0, -1.0)
-    p = np.clip(0.5 + 0.45 * np.where(labels == 1, 1.0, -1.0), 0.05, 0.95)
-    shared = np.ones(m)
-    for _ in range(EM_ROUNDS):
+    p = np.array(START)[2 - np.minimum(v.sum(axis=1), 2).astype(int)]
+    corr, block = np.eye(m), np.arange(m)
+    for k in range(EM_ROUNDS):
         prior = (p.sum() + 1) / (n + 2)
         on = (p @ v + prior) / (p.sum() + 2)
         off = ((1 - p) @ v + 0.5 * (1 - prior)) / ((1 - p).sum() + 2)
-        left = v - np.outer(p, on) - np.outer(1 - p, off)
-        scale = np.sqrt((left * left).mean(axis=0)) + 1e-9
-        corr = (left.T @ left) / n / np.outer(scale, scale)
-        shared = np.maximum(1.0, np.where(np.abs(corr) > 0.1, np.abs(corr), 0).sum(axis=1))
-        fire = np.log(on / off) / shared
-        still = np.log((1 - on) / (1 - off)) / shared
-        odds = v @ (fire - still) + still.sum() + np.log(prior / (1 - prior)) + label_odds
+        if k < BLOCK_ROUNDS:
+            left = v - np.outer(p, on) - np.outer(1 - p, off)
+            scale = np.sqrt((left * left).mean(axis=0)) + 1e-9
+            corr = (left.T @ left) / n / np.outer(scale, scale)
+            block = blocks_of(corr)
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for one in np.unique(block):
+            level = np.searchsorted(LEVELS, v[:, block == one].sum(axis=1), side="right")
+            toxic = np.bincount(level, p, len(LEVELS) + 1) + 0.5 * prior
+            clean = np.bincount(level, 1 - p, len(LEVELS) + 1) + 0.5 * (1 - prior)
+            evidence = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
+            evidence[1:] = np.maximum(evidence[1:], 0.0)  # voters are taken to be no worse than chance
+            odds += evidence[level]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return p, on, off, shared
+    return p, on, off, corr
 
 
-def logistic(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on soft targets by Newton steps; x is rows by terms, bounded by the training sample."""
+def logistic(x: np.ndarray, target: np.ndarray, pull: np.ndarray | None = None, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps, with a ridge that pulls weights to `pull` (default 0); x is
+    rows by terms, bounded by the training sample."""
     n, m = x.shape
     x1 = np.concatenate([x, np.ones((n, 1), np.float32)], axis=1)
-    w = np.zeros(m + 1)
+    base = np.zeros(m + 1) if pull is None else np.append(pull, 0.0)
+    w = base.copy()
     w[m] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
-    ridge = np.full(m + 1, RIDGE)
-    ridge[m] = 1e-3
+    weight = np.full(m + 1, ridge)
+    weight[m] = 1e-3
     for _ in range(NEWTON_ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - target) + ridge * w
-        curve = (x1 * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]).T @ x1 + np.diag(ridge)
+        grad = x1.T @ (p - target) + weight * (w - base)
+        curve = (x1 * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]).T @ x1 + np.diag(weight)
         move = np.linalg.solve(curve, grad)
         w -= move * min(1.0, 4.0 / (np.abs(move).max() + 1e-12))
     return w[:m], float(w[m])
 
 
+def calibrate(x: np.ndarray, labels: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept that fit the labels: log-odds scaled (not below 0) and shifted, then weights under PULL."""
+    z = x @ w + b
+    scale, _ = logistic(z[:, None].astype(np.float32), labels.astype(np.float64))
+    return logistic(x, labels.astype(np.float64), w * max(float(scale[0]), 0.0), PULL)
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out) -> Model:
-    """Voters mined and label model and classifier fitted on the bounded training sample."""
-    train = training_rows(docs, labels, held_out).persist()
+    """Voters chosen, label model and classifier fitted on the bounded sample, and calibrated on its labelled rows."""
+    train = materialize(training_rows(docs, labels, held_out), "train")  # bounded; read again rather than drawn again
     mined, features = mine_terms(train)
     voters = list(dict.fromkeys([*INSULTS, *PATTERNS, *mined]))
     terms = list(dict.fromkeys([*voters, *features]))
-    toxic, rows = presence(train, terms)
-    train.unpersist()
-    if not rows:  # no labels: each fixed voter alone makes a text toxic
+    sample = train.select("text", "toxic").unionByName(pool_rows(docs).withColumn("toxic", F.lit(-1)))
+    toxic, rows = presence(sample, terms)
+    known = toxic >= 0
+    if not known.any():  # no labels: each fixed voter alone makes a text toxic
         return Model(dict.fromkeys([*INSULTS, *PATTERNS], 6.0), -3.0)
-    y = np.array(toxic, np.int64)
-    votes = np.zeros((len(rows), len(voters)), np.uint8)
-    for k, r in enumerate(rows):
-        votes[k, r[r < len(voters)]] = 1
-    posterior, on, off, shared = label_model(votes, y)
     present = np.zeros((len(rows), len(terms)), np.float32)
     for k, r in enumerate(rows):
         present[k, r] = 1
+    posterior, on, off, corr = label_model(present[:, : len(voters)])
     w, b = logistic(present, posterior)
+    w, b = calibrate(present[known], toxic[known], w, b)
     weights = {t: float(w[k]) for k, t in enumerate(terms) if abs(w[k]) > 1e-6}
-    return Model(weights, b, {t: (float(on[k]), float(off[k])) for k, t in enumerate(voters)}, {t: float(shared[k]) for k, t in enumerate(voters)})
+    pairs = {(voters[i], voters[j]): float(corr[i, j]) for i, j in zip(*np.nonzero(np.triu(np.abs(corr) > DEPENDENT, 1)))}
+    return Model(weights, b, {t: (float(on[k]), float(off[k])) for k, t in enumerate(voters)}, pairs)
 
 
-def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
-    """doc_id and score of every whole text, or all columns of docs and score; a narrow map."""
-    weights, known = model.weights, set(model.weights)
-    rows = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = StructType([*(rows.schema.fields if keep_columns else rows.schema.fields[:1]), StructField("score", DoubleType())])
+def _scores(texts: list, model: Model, lookup: TermLookup) -> np.ndarray:
+    weights = model.weights
+    z = [model.intercept + sum(weights[t] for t in sorted(lookup.of(text or "") & weights.keys())) for text in texts]
+    return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every whole text; a narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = TermLookup(known)
+        lookup = TermLookup(set(model.weights))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1).to_pylist(), model, lookup))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of docs, with all their columns, that score below `at`; a narrow map."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = TermLookup(set(model.weights))
         for batch in batches:
-            z = [model.intercept + sum(weights[t] for t in sorted(lookup.of(text or "") & known)) for text in batch.column("text").to_pylist()]
-            scores = pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30))), pa.float64())
-            kept = list(zip(batch.schema.names, batch.columns)) if keep_columns else [("doc_id", batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), scores], names=[*(n for n, _ in kept), "score"])
+            yield batch.filter(pa.array(_scores(batch.column(place).to_pylist(), model, lookup) < at))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def is_held_out(doc_id):

@@ -76,6 +76,21 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_packed_ids_equal_the_library_on_any_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(9)
+    special = [t.content for t in lib.get_added_tokens_decoder().values()]
+    pieces = [*special, *map(str.upper, special), *(x[:5] + x[5:].title() for x in special), "\u0130.", "\u0130,", "I\u0307.", "\u01c5.", "\u00df,", "ab.", "CD, ", "\n", " ", "\t", "\u00e9.", "e\u0301,", "\u6f22.", "\U0001f600.", "12.5,", "it's."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), 0x2E])) for _ in range(30)) for _ in range(500)]
+    got = packing.encode(texts, path)
+    for t, g in zip(texts, got):
+        assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_closest_multiset_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
@@ -278,6 +293,18 @@ def test_top_k_ties_nulls_and_lengths(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_takes_large_components_and_refuses_what_passes_64_bits(spark):
+    rows = [(0, [2e6, -1.0]), (1, [2.5e6, 3.0]), (2, [-1e7, 0.0]), (3, [0.1, 1e6])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, slot string, chunk int")
+    got = [(r.vec_id, r.score) for r in topk_search.top_k(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = sorted(((-sum(x * y for x, y in zip(q[0], q[i])), i) for i in (1, 2, 3)))
+    assert got == [(i, -s) for s, i in want]
+    huge = spark.createDataFrame([(0, [1e12]), (50, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(huge, huge, 5).collect()
+
+
 def test_warc_round_trip_and_pushdown(spark, tmp_path):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x" * 300_000, "<p>é</p>", "y"]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://a/{i} b", h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, sha string")
@@ -297,6 +324,21 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_without_page_id_and_of_other_writers(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "same"), (7, "u", "same"), (None, "u", "other"), (3, "u", "same"), (3, "u", "same")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    rows = sorted((r.record_id, r.record_type, r.refers_to or "") for r in warc.read_archive(spark, str(tmp_path / "w")).collect())
+    none, seven, three = "<urn:page:none>", "<urn:page:7>", "<urn:page:3>"
+    assert rows == sorted([(none, "response", ""), (none, "response", ""), (seven, "response", ""), (three, "revisit", seven), (three, "revisit", seven)])
+    os.mkdir(tmp_path / "p")
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    one = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: http://x/\r\n  folded\r\nCONTENT-LENGTH: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    (tmp_path / "p" / "x.warc").write_bytes(one + one.replace(b"<a>", b"<b>"))
+    got = warc.read_archive(spark, str(tmp_path / "p"))
+    assert [(r.record_id, r.record_type, r.target_uri, bytes(r.payload)) for r in got.orderBy("record_id").collect()] == [(x, "response", "http://x/ folded", b"hello") for x in ("<a>", "<b>")]
+    assert got.where("record_id = '<b>'").count() == 1
+
+
 def test_sampling_without_replacement(spark):
     import public_tokenizers
 
@@ -328,6 +370,132 @@ def test_first_sample_follows_the_lattice():
         assert abs(n / 3000 - prob[ids]) < 0.04
 
 
+def all_segmentations(words, lattices):
+    """Every segmentation of the words with its log-probability, by plain enumeration over the vocabulary."""
+    out = [((), 0.0)]
+    for w in words:
+        def rest(j, w=w):
+            if j == len(w):
+                return [((), 0.0)]
+            found = []
+            for z in range(j + 1, len(w) + 1):
+                if w[j:z] in lattices.pieces:
+                    i, weight = lattices.pieces[w[j:z]]
+                    found += [((i, *h), weight + p) for h, p in rest(z)]
+            if w[j] not in lattices.pieces:
+                own = tuple(lattices.bytes[b] for b in w[j].encode())
+                found += [((*own, *h), len(own) * lattices.byte_weight + p) for h, p in rest(j + 1)]
+            return found
+        out = [(a + b, x + y) for a, x in out for b, y in rest(0)]
+    total = np.logaddexp.reduce([p for _, p in out])
+    return {ids: p - total for ids, p in out}
+
+
+@pytest.mark.parametrize("text,k", [("ab he", 2), ("sub word", 3), ("a", 4), ("\u6f22x", 2), ("then", 50)])
+def test_samples_equal_enumeration(text, k):
+    """Distinct segmentations with their log-probabilities, drawn in order without replacement; inclusion scores estimate
+    sums over all segmentations without bias."""
+    import public_tokenizers
+
+    lattices = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    words, n = sentencepieces.words_of(text, lattices.sp), 4000
+    want = all_segmentations(words, lattices)
+    pairs, total = collections.Counter(), 0.0
+    for i in range(n):
+        rows = sentencepieces.sample(words, lattices, k, random.Random(i))
+        ids = [tuple(r[0]) for r in rows]
+        assert len(set(ids)) == len(ids) == min(k, len(want))
+        for own, phi, inclusion in rows:
+            assert abs(phi - want[tuple(own)]) < 1e-6 and 0 < inclusion <= 1
+            total += np.exp(phi) / inclusion / n
+        pairs[tuple(ids[:2])] += 1
+    assert abs(total - 1) < 0.05
+    for own, m in pairs.most_common(5):
+        p = np.exp(want[own[0]])
+        share = p if len(own) == 1 else p * np.exp(want[own[1]]) / (1 - p)
+        assert abs(m / n - share) < 4 * np.sqrt(share * (1 - share) / n) + 1e-3
+
+
+def test_sampling_refuses_clashing_keys_and_replaces_the_decoded_column(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "a b", "x")], "sample long, text string, decoded string")
+    with pytest.raises(ValueError, match="sample"):
+        sentencepieces.sample_encode(df, ["sample"], path)
+    rows = sentencepieces.sample_encode(df, ["decoded"], path, k=1)
+    assert [r.decoded for r in sentencepieces.decode(rows, path).collect()] == ["a b"]
+
+
+def test_label_model_recovers_planted_voters():
+    """Rates of voters and a dependent pair, planted in votes without labels, are found again."""
+    rng = np.random.default_rng(0)
+    toxic = rng.random(20_000) < 0.15
+    on, off = np.array([0.5, 0.4, 0.3, 0.6, 0.2, 0.35]), np.array([0.02, 0.01, 0.05, 0.03, 0.01, 0.02])
+    votes = rng.random((20_000, 6)) < np.where(toxic[:, None], on, off)
+    copy = votes[:, :1] & (rng.random((20_000, 1)) < 0.95) | (rng.random((20_000, 1)) < 0.005)
+    p, got_on, got_off, corr = toxicity.label_model(np.concatenate([votes, copy], axis=1))
+    assert np.abs(got_on[:6] - on).max() < 0.06 and np.abs(got_off[:6] - off).max() < 0.03
+    assert corr[0, 6] > 0.7 and np.abs(corr[:6, :6] - np.eye(6)).max() < 0.2
+    assert toxicity.blocks_of(corr).tolist() == [0, 1, 2, 3, 4, 5, 0]
+    assert ((p > 0.5) == toxic).mean() > 0.94
+
+
+def test_labels_do_not_make_the_posterior(spark):
+    """With the labels of a tenth of the rows flipped, the scores still follow the voters."""
+    rng, texts, labels, truth = random.Random(16), [], [], []
+    for i in range(800):
+        words = prose(3000 + i, 40).split()
+        for _ in range(4 if i % 5 == 0 else 0):
+            words[rng.randrange(40)] = rng.choice(["zorgle" + str(rng.randrange(9)), "idiot", "moron"])
+        texts.append(" ".join(words))
+        truth.append(i % 5 == 0)
+        labels.append((i, 1, int(truth[-1] != (i % 10 == 3))))
+    docs = docs_of(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.is_held_out)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    cut = sorted(got.values())[-160]
+    assert sum((got[i] >= cut) == truth[i] for i in range(800)) / 800 > 0.97
+    assert model.accuracies["idiot"][0] > 0.3 > 0.05 > model.accuracies["idiot"][1]
+
+
+def test_drop_toxic_keeps_columns_of_any_name(spark):
+    model = toxicity.Model({"idiot": 6.0}, -3.0)
+    docs = spark.createDataFrame([(1, "idiot", 0.5, "a"), (2, "kind", None, None), (2, "kind", None, None), (3, None, 0.1, "c")], "doc_id long, text string, score double, terms string")
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
+    assert toxicity.drop_toxic(docs.limit(0), model).count() == 0
+
+
+def test_quality_cascade_skips_what_it_does_not_reach(spark):
+    """Windows of words are only built under the condition that no earlier rule has rejected the row, and the order is by
+    rejections per cost, whatever the order that rules are given in."""
+    texts = ["few words"] * 30 + [prose(i, 60) for i in range(10)] + [None, "", "a " * 200]
+    docs = docs_of(spark, texts)
+    rules = quality_rules.default_rules()
+    features = quality_rules.with_features(docs)
+    names = [r.name for r in quality_rules.order_rules(features, rules[::-1])]
+    assert names[0] == "few_words" and names.index("repeated_words") > 0
+    plan = quality_rules.keep_passing(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN NOT _failed" in plan
+    kept = {r.doc_id for r in quality_rules.keep_passing(docs).collect()}
+    assert kept == {r.doc_id for r in quality_rules.quality_cascade(docs).where("kept").collect()} == set(range(30, 40))
+    assert quality_rules.keep_passing(docs.limit(0)).count() == 0
+    again = docs.unionByName(docs)
+    assert quality_rules.keep_passing(again).count() == 2 * len(kept)
+
+
+def test_keep_one_of_each_component(spark):
+    a, b = prose(1, 120), prose(2, 150)
+    rows = [(1, a, "p"), (1, a, "q"), (1, a + " x", "r"), (2, a + " y", "s"), (3, b, None), (4, None, "t"), (4, None, "t"), (None, a, "u"), (5, b.upper(), "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.schema == docs.schema
+    got = kept.collect()
+    assert sorted([r.doc_id for r in got if r.doc_id is not None]) == [1, 3, 4, 4] and len(got) == 5
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     texts, labels = [], []
@@ -391,16 +559,57 @@ def test_license_windows_equal_brute_force():
         assert bool(found) == (best >= 0.8) and all(m[3] <= best + 1e-12 for m in found)
 
 
+def plain_pipeline(docs, model_scores):
+    """What the first four stages keep, by plain Python: (doc_id, text)."""
+    kept = []
+    for i, t in docs:
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        runs = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if runs[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        symbols, chars = sum(c in "#*$%&|<>" for c in t or ""), sum(map(len, w))
+        if len(w) < 20 or 100 * len(covered) > 30 * len(w) or symbols * 10 > len(w) or (len(lines) - len(set(lines))) * 100 > 50 * len(lines) or chars < 2 * len(w) or chars > 16 * len(w):
+            continue
+        kept.append((i, t))
+    kept = [(i, t) for i, t in kept if model_scores[i] < toxicity.PREDICT_AT]
+    groups = brute_components([t for _, t in kept], [i for i, _ in kept])
+    kept = [(i, t) for k, (i, t) in enumerate(kept) if groups[k][1] == i]
+    seen, out = set(), {}
+    for i, t in sorted(kept):
+        b = t.encode()
+        own = [b[k : k + 50] for k in range(len(b) - 49)]
+        gone = {k + j for k, x in enumerate(own) if x in seen for j in range(50)}
+        seen.update(own)
+        out[i] = bytes(x for k, x in enumerate(b) if k not in gone).decode(errors="replace")
+    return out
+
+
 @data
 def test_pipeline_stages(spark):
+    """Every stage of the pipeline against plain Python over the same rows; scores come from the fitted model."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        rows = out.collect()
-        assert len(rows) <= docs.count()
-        docs = spark.createDataFrame(rows, docs.schema)
-    groups = brute_components([r.text for r in docs.orderBy("doc_id").collect()])
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count() and groups
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality"](spark, docs, SF)
+    assert first.columns == docs.columns
+    model = toxicity.fit(first, spark.read.parquet(f"{SF}/labels.parquet"), toxicity.is_held_out)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = plain_pipeline([(r.doc_id, r.text) for r in docs.collect()], scores)
+    held = first
+    for name in ("toxicity", "near_duplicates", "passages"):
+        held = stages[name](spark, held, SF)
+        assert held.columns == docs.columns, name
+        held = spark.createDataFrame(held.collect(), docs.schema)
+    assert {r.doc_id: r.text for r in held.collect()} == want
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = collections.defaultdict(list)
+    for r in stages["packing"](spark, held, SF).collect():
+        packed[r.doc_id].append(r)
+    for i, t in want.items():
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        own = sorted(packed.pop(i), key=lambda r: r.start)
+        assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own] == [r.ids_crc32 for r in own]
+        assert sum(r.length for r in own) == len(ids)
+    assert not packed
