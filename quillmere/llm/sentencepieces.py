@@ -1,125 +1,132 @@
 """SentencePiece encoding by sampling without replacement, and decoding.
 
-Encoding samples k distinct segmentations of a text from its lattice of pieces by Gumbel top-k: an A-star search pops the
+Encoding samples k distinct segmentations of a text from its lattice of pieces by Gumbel top-k: an A-star search takes the
 partial segmentation with the largest perturbed log-probability. Its Gumbel value is the maximum over all completions,
-so the order in which complete ones are popped is the order of a draw without replacement. Children get Gumbel values
-conditioned on having their parent's value as maximum. The (k+1)-th complete value, kappa, gives each sample's inclusion
-score 1 - exp(-exp(log_prob - kappa)). The random stream is seeded by the row's key alone.
+so the order in which complete ones are found is the order of a draw without replacement. The (k+1)-th value, kappa, gives
+each sample's inclusion score 1 - exp(-exp(log_prob - kappa)). The random stream is seeded by the row's key alone.
+
+Taking a node means to draw the path that carries its value, edge by edge by the edges' probabilities, and at each place
+the largest value among the other edges: a Gumbel of their mass, cut off at the node's value. Every open node has a
+completion of exactly its value, so beyond the k + 1 - (found) best ones none is kept. Paths of all rows of a batch are
+drawn together, place by place of their words, with numpy.
 
 A piece's weight follows Zipf's law of its rank in the vocabulary, -THETA * log(rank + 2); a character that no piece has
 falls back to its byte pieces. Pieces never cross the mark that begins a word, so lattices are kept by word, with each
-edge's log-probability given its end.
+edge's log-probability given its end; those of a batch's distinct words are built together.
 
 Defined results: a null or empty text has the one empty segmentation (log_prob 0, inclusion 1); a text with fewer than k
 segmentations gives all of them, with inclusion 1; repeated rows get equal samples; a null in a key column is a key of its
-own; an empty table gives an empty result; extra columns are ignored. Texts of any length are encoded whole.
+own; key columns may not bear the names of results; an empty table gives an empty result; extra columns are ignored.
+Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
-from bisect import bisect, insort
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
 from math import exp, expm1, inf, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from .common import bounds
 
 MARK = "▁"
 THETA = 1.0
-CACHE_WORDS = 50_000
-#: Segmentations of a word that are listed at most.
-WHOLE = 64
-#: A partial segmentation whose log-probability lies this far below the least open value has no other edge that could beat
-#: that: the chance, exp(-LATE), is below what a double can draw.
-LATE = 60.0
-#: Characters whose samples are built at once.
-BATCH_CHARS = 200_000
+#: Characters of texts whose lattices and paths are held at once (more for a longer single text), and the length from
+#: which words get their lattice one by one.
+BATCH_CHARS, LONG_WORD = 200_000, 48
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Lattices(dict):
-    """Maps a word to its lattice, built on first use: at each end position the edges' starts, ids and log-probabilities,
-    and the running sums of their probabilities but the last."""
+class Lattices:
+    """The vocabulary of a model file: pieces with ids and weights, and byte pieces."""
 
     def __init__(self, path: str, theta: float = THETA):
-        super().__init__()
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces, self.bytes = {}, {}
         for i in range(self.sp.get_piece_size()):
+            piece = self.sp.id_to_piece(i)
             if self.sp.is_byte(i):
-                self.bytes[int(self.sp.id_to_piece(i)[1:-1], 16)] = i
-            elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
-                self.pieces[self.sp.id_to_piece(i)] = i, -theta * log(i + 2)
-        self.wholes: dict[str, tuple | None] = {}
+                self.bytes[int(piece[1:-1], 16)] = i
+            elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)) and MARK not in piece[1:]:
+                self.pieces[piece] = i, -theta * log(i + 2)
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -theta * log(self.sp.get_piece_size() + 2)
-
-    def whole(self, word: str) -> tuple[list, list, list] | None:
-        """(ids, log-probabilities, running sums of probabilities but the last) of all segmentations of a word, or None
-        where there are more than WHOLE."""
-        if word in self.wholes:
-            return self.wholes[word]
-        if len(self.wholes) >= CACHE_WORDS:
-            self.wholes.clear()
-        ends, found = self[word], [[((), 0.0)]]
-        for starts, ids, logs, _ in ends[1:]:
-            found.append([(h + i, p + g) for s, i, g in zip(starts, ids, logs) for h, p in found[s]])
-            if len(found[-1]) > WHOLE:
-                found = None
-                break
-        out = None
-        if found:
-            logs = [p for _, p in found[-1]]
-            out = [i for i, _ in found[-1]], logs, list(accumulate(map(exp, logs)))[:-1]
-        if len(word) <= 64:
-            self.wholes[word] = out
-        return out
-
-    def finish(self, words: list[str], w: int, j: int, phi: float, chain: tuple | None, uniform) -> tuple[float, tuple | None]:
-        """A partial segmentation's log-probability and ids after drawing the rest of it, edge by edge or word by word."""
-        while w >= 0:
-            word = words[w]
-            every = self.whole(word) if j == len(word) else None
-            if every is not None:
-                ids, logs, below = every
-                n = bisect(below, uniform()) if below else 0
-                phi, chain = phi + logs[n], (ids[n], chain)
-            else:
-                ends = self[word]
-                while j:
-                    starts, ids, logs, below = ends[j]
-                    n = bisect(below, uniform()) if below else 0
-                    phi, chain, j = phi + logs[n], (ids[n], chain), starts[n]
-            w -= 1
-            j = len(words[w])
-        return phi, chain
-
-    def __missing__(self, word: str) -> list[tuple[list, list, list, list]]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        n = len(word)
-        alpha, ends = [0.0] + [-inf] * n, [([], [], [], [])]
-        for j in range(1, n + 1):
-            edges = []
-            for i in range(max(0, j - self.longest), j):
-                if (found := self.pieces.get(word[i:j])) is not None:
-                    edges.append((i, (found[0],), alpha[i] + found[1]))
-            if not any(e[0] == j - 1 for e in edges):
-                own = tuple(self.bytes[b] for b in word[j - 1].encode())
-                edges.append((j - 1, own, alpha[j - 1] + len(own) * self.byte_weight))
-            top = max(e[2] for e in edges)
-            alpha[j] = top + log(sum(exp(e[2] - top) for e in edges))
-            logs = [a - alpha[j] for _, _, a in edges]
-            ends.append(([i for i, _, _ in edges], [ids for _, ids, _ in edges], logs, list(accumulate(map(exp, logs)))[:-1]))
-        if n <= 64:
-            self[word] = ends
-        return ends
+        by_length: dict[int, list] = {}
+        for piece, (i, weight) in self.pieces.items():
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = h * _MULT + np.uint64(ord(c) + 1)
+            by_length.setdefault(len(piece), []).append((int(h[0]), i, weight))
+        # by length: sorted hashes, ids and weights
+        self.tables = {}
+        for n, rows in by_length.items():
+            rows.sort()
+            self.tables[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])
+
+
+@dataclass
+class Words:
+    """Lattices of distinct words, laid end to end: for a piece of n characters, log_prob[z, n - 1] is that of the edge
+    that ends with character z, given its end, upto[z] has the running sums of the probabilities, and ids[n - 1, a] is the
+    piece that begins with character a (-1: bytes)."""
+
+    begin: dict[str, int]
+    log_prob: np.ndarray
+    upto: np.ndarray
+    ids: np.ndarray
+    codes: np.ndarray
+
+
+def build_words(words: list[str], lattices: Lattices) -> Words:
+    """Lattices of distinct words, place by place of all words together."""
+    words = sorted(words, key=len)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = np.array([len(w) for w in words], np.int64)
+    begin = np.cumsum(size) - size
+    total, deep = len(codes), lattices.longest
+    ids, weight = np.full((deep, total), -1, np.int32), np.full((deep, total), -inf)
+    room = np.repeat(begin + size, size) - np.arange(total)  # characters from here to the word's end
+    h = np.zeros(total, np.uint64)
+    for n in range(1, deep + 1):
+        at = np.flatnonzero(room >= n)
+        h[at] = h[at] * _MULT + (codes[at + n - 1] + 1).astype(np.uint64)
+        if n in lattices.tables and len(at):
+            keys, own, weights = lattices.tables[n]
+            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+            hit = keys[k] == h[at]
+            ids[n - 1, at[hit]], weight[n - 1, at[hit]] = own[k[hit]], weights[k[hit]]
+    lone = np.flatnonzero(ids[0] < 0)
+    weight[0, lone] = lattices.byte_weight * (1 + (codes[lone] >= 0x80) + (codes[lone] >= 0x800) + (codes[lone] >= 0x10000))
+    log_prob, alpha = np.full((deep, total), -inf), np.zeros(total + len(words))
+    shift = np.repeat(np.arange(len(words)), size)  # alpha has one place more for each word
+    base = begin + np.arange(len(words))
+    short = int(np.searchsorted(size, LONG_WORD, side="right"))
+    for j in range(1, int(size[short - 1]) + 1 if short else 0):
+        own = np.arange(int(np.searchsorted(size, j)), short)
+        end = begin[own] + j - 1
+        reach = min(j, deep)
+        parts = np.stack([alpha[base[own] + j - n] + weight[n - 1, end - n + 1] for n in range(1, reach + 1)])
+        top = parts.max(axis=0)
+        sums = top + np.log(np.exp(parts - top).sum(axis=0))
+        alpha[base[own] + j] = sums
+        log_prob[:reach, end] = parts - sums
+    for w in range(short, len(words)):  # few
+        values = [0.0]
+        first = int(begin[w])
+        for j in range(1, int(size[w]) + 1):
+            parts = [values[j - n] + weight[n - 1, first + j - n] for n in range(1, min(j, deep) + 1)]
+            top = max(parts)
+            values.append(top + log(sum(exp(x - top) for x in parts)))
+            log_prob[: len(parts), first + j - 1] = np.array(parts) - values[-1]
+    log_prob = np.ascontiguousarray(log_prob.T)
+    return Words(dict(zip(words, begin.tolist())), log_prob, np.cumsum(np.exp(log_prob), axis=1), ids, codes)
 
 
 def words_of(text: str, sp) -> list[str]:
@@ -128,63 +135,122 @@ def words_of(text: str, sp) -> list[str]:
     return [w for w in [parts[0], *(MARK + p for p in parts[1:])] if w]
 
 
-def sample(words: list[str], lattices: Lattices, k: int, rng: random.Random) -> list[tuple[list[int], float, float]]:
-    """(ids, log_prob, inclusion) of k distinct segmentations, in the order they are drawn.
+class Row:
+    """One text's search: its characters' places in the lattices, word ends, open nodes, and paths found."""
+
+    def __init__(self, words: list[str], built: Words, seed: bytes):
+        self.rng = np.random.Generator(np.random.Philox(key=int.from_bytes(seed, "little")))
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.array([built.begin[w] for w in words], np.int64)
+        self.word_end = np.cumsum(size)
+        self.place = np.arange(int(size.sum())) + np.repeat(first - (self.word_end - size), size)
+        self.word_begin = self.word_end - size
+        root = -log(-log(self.rng.random() or 1e-300))
+        # value, end of the part still to be drawn, log-probability so far, and the lengths of edges by their last character
+        self.open = [(root, len(self.place), 0.0, np.zeros(len(self.place), np.uint16))]
+        self.done: list[tuple[float, float, np.ndarray]] = []
+
 
-    An open node stands for all completions of a partial segmentation and has their largest perturbed value, so it has a
-    completion of exactly that value: beyond the k + 1 - len(done) best nodes none is needed. The best one is followed to
-    its end. At each place, which edge carries the node's value is drawn by the edges' probabilities; the largest value
-    among the others is a Gumbel of their mass, cut off at the node's value, and only those that beat the open nodes are
-    kept. Once a partial segmentation is so improbable that no other edge can, nothing but the edge is drawn.
+def draw_paths(rows: list[Row], nodes: list[tuple], built: Words) -> list[tuple]:
+    """For each row's node: (log-probability, lengths, ends, log-probability before each, largest other value).
+
+    Words of all rows take their steps together, from their ends down.
     """
-    ends = [lattices[w] for w in words]
-    uniform, last = rng.random, len(words) - 1
-    best = [(-log(-log(uniform() or 1e-300)), last, len(words[-1]) if words else 0, 0.0, None)]
-    done: list[tuple[float, float, tuple | None]] = []
-    while best and len(done) <= k:
-        value, w, j, phi, chain = best.pop(0)
-        need = k - len(done)  # open nodes that can still matter besides this one
-        least = best[need - 1][0] if 0 < need <= len(best) else -inf
-        while w >= 0:
-            if not need or phi - least <= -LATE:
-                phi, chain = lattices.finish(words, w, j, phi, chain, uniform)
+    until = [n[1] for n in nodes]
+    offset = np.cumsum([0] + until)
+    draws = [(r.rng.random(n), r.rng.random(n)) for r, n in zip(rows, until)]
+    first, second = (np.concatenate([d[k] for d in draws]) for k in (0, 1))
+    place = np.concatenate([r.place[:n] for r, n in zip(rows, until)])
+    ends, begins = [], []
+    for k, (r, n) in enumerate(zip(rows, until)):
+        words = int(np.searchsorted(r.word_begin, n, side="left"))
+        ends.append(np.minimum(r.word_end[:words], n) + offset[k])
+        begins.append(r.word_begin[:words] + offset[k])
+    end, begin = np.concatenate(ends), np.concatenate(begins)
+    length, chosen = np.zeros(len(place), np.uint16), np.zeros(len(place))
+    rest = np.zeros(len(place))
+    while len(end):
+        at = end - 1
+        upto = built.upto[place[at]]
+        n = (upto <= (first[at] * upto[:, -1])[:, None]).sum(axis=1)
+        if (over := np.flatnonzero(n == upto.shape[1])).size:  # a draw that rounds to the whole
+            n[over] = built.log_prob[place[at[over]]].argmax(axis=1)
+        log_prob = built.log_prob[place[at], n]
+        length[at], chosen[at] = n + 1, log_prob
+        rest[at] = np.maximum(upto[:, -1] - np.exp(log_prob), 0.0)
+        end = at - n
+        keep = end > begin
+        end, begin = end[keep], begin[keep]
+    out = []
+    for k, (r, node) in enumerate(zip(rows, nodes)):
+        a, z = offset[k], offset[k + 1]
+        own = np.flatnonzero(length[a:z])[::-1]  # from the right
+        log_probs = chosen[a:z][own]
+        before = node[2] + np.cumsum(log_probs) - log_probs
+        with np.errstate(divide="ignore", over="ignore"):
+            where = before + np.log(rest[a:z][own])
+            other = where - np.log(np.exp(np.minimum(where - node[0], 700.0)) - np.log(np.maximum(second[a:z][own], 1e-300)))
+        out.append((node[2] + float(log_probs.sum()), length[a:z], own + 1, before, np.where(np.isneginf(where), -inf, other)))
+    return out
+
+
+def branch(row: Row, node: tuple, path: tuple, built: Words, need: int) -> None:
+    """Opens the nodes beside a path that can still be among the `need` best."""
+    _, lengths, ends, before, other = path
+    whole = node[3].copy()
+    whole[: len(lengths)] = lengths
+    row.done.append((node[0], path[0], whole))
+    if not need:
+        return
+    best = np.argsort(-other, kind="stable")[:need]
+    for k in best[~np.isneginf(other[best])].tolist():
+        end, phi, bound = int(ends[k]), float(before[k]), float(other[k])
+        log_prob = built.log_prob[row.place[end - 1]]
+        left = [n for n in np.flatnonzero(~np.isneginf(log_prob)).tolist() if n + 1 != lengths[end - 1]]
+        while left:
+            if len(row.open) >= need and bound <= row.open[need - 1][0]:
+                break
+            mass = np.exp(log_prob[left])
+            at = min(int(np.searchsorted(np.cumsum(mass), row.rng.random() * mass.sum(), side="right")), len(left) - 1)
+            n = left.pop(at)
+            own = whole.copy()
+            own[:end] = 0
+            own[end - 1] = n + 1
+            row.open.append((bound, end - n - 1, phi + float(log_prob[n]), own))
+            row.open.sort(key=lambda x: -x[0])
+            del row.open[need:]
+            total = float(np.exp(log_prob[left]).sum()) if left else 0.0
+            if total <= 0.0:
                 break
-            starts, ids, logs, below = ends[w][j]
-            n = 0
-            if len(starts) > 1:
-                n = bisect(below, uniform())
-                rest, bound = [x for x in range(len(starts)) if x != n], value
-                while rest:
-                    mass = [exp(logs[x]) for x in rest]
-                    total = sum(mass)
-                    if total <= 0.0:
-                        break
-                    where = phi + log(total)
-                    bound = where - log(exp(min(where - bound, 700.0)) - log(uniform() or 1e-300))
-                    if bound <= least:
-                        break
-                    at, x = uniform() * total, 0
-                    while x < len(rest) - 1 and at >= mass[x]:
-                        at -= mass[x]
-                        x += 1
-                    e = rest.pop(x)
-                    place = (w, starts[e]) if starts[e] else (w - 1, len(words[w - 1]) if w else 0)
-                    insort(best, (bound, *place, phi + logs[e], (ids[e], chain)), key=lambda node: -node[0])
-                    del best[need:]
-                    least = best[-1][0] if len(best) == need else -inf
-            phi += logs[n]
-            chain, j = (ids[n], chain), starts[n]
-            if not j:
-                w -= 1
-                j = len(words[w]) if w >= 0 else 0
-        done.append((value, phi, chain))
-    kappa = done[k][0] if len(done) > k else -inf
+            where = phi + log(total)
+            bound = where - log(exp(min(where - bound, 700.0)) - log(row.rng.random() or 1e-300))
+
+
+def sample_batch(texts: list[list[str]], lattices: Lattices, k: int, seeds: list[bytes]) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text, given as its words: (ids, log_prob, inclusion) of k distinct segmentations, as they are drawn."""
+    built = build_words(list({w for t in texts for w in t}), lattices)
+    rows = [Row(t, built, seed) for t, seed in zip(texts, seeds)]
+    for found in range(k):
+        active = [r for r in rows if r.open]
+        nodes = [r.open.pop(0) for r in active]
+        for r, node, path in zip(active, nodes, draw_paths(active, nodes, built) if active else ()):
+            branch(r, node, path, built, k - found)
+    return [_results(r, built, lattices) for r in rows]
+
+
+def _results(row: Row, built: Words, lattices: Lattices) -> list[tuple[np.ndarray, float, float]]:
+    kappa = row.open[0][0] if row.open else -inf
     out = []
-    for _, phi, chain in done[:k]:
-        ids: list[int] = []
-        while chain is not None:
-            ids.extend(chain[0])
-            chain = chain[1]
+    for _, phi, lengths in row.done:
+        ends = np.flatnonzero(lengths)
+        n = lengths[ends].astype(np.int64)
+        ids = built.ids[n - 1, row.place[ends - n + 1]] if len(ends) else np.zeros(0, np.int32)
+        if (lone := np.flatnonzero(ids < 0)).size:
+            own = [[lattices.bytes[b] for b in chr(built.codes[row.place[z]]).encode("utf-8", "surrogatepass")] for z in ends[lone].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[lone] = [len(x) for x in own]
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = np.concatenate(own)
         out.append((ids, phi, 1.0 if kappa == -inf else -expm1(-exp(min(phi - kappa, 700.0)))))
     return out
 
@@ -220,24 +286,24 @@ def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(path)
+
+        def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
+            own = list(zip(*(c.to_pylist() for c in part.columns)))
+            found = sample_batch([words_of(r[m] or "", lattices.sp) for r in own], lattices, k, [_seed(list(r[:m])) for r in own])
+            count = np.array([len(f) for f in found])
+            flat = [x for f in found for x in f]
+            lengths = np.array([len(x[0]) for x in flat])
+            values = pa.array(np.concatenate([x[0] for x in flat]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+            number = np.concatenate([np.arange(1, c + 1) for c in count]).astype(np.int32)
+            chosen = part.take(pa.array(np.repeat(np.arange(part.num_rows), count))).columns[:m]
+            return pa.RecordBatch.from_arrays([*chosen, pa.array(number), ids, pa.array([x[1] for x in flat]), pa.array([x[2] for x in flat])], names=schema.names)
+
         for batch in batches:
-            take, out, size = [], [], 0
-
-            def rows_of() -> pa.RecordBatch:
-                cols = list(zip(*out)) or [()] * 4
-                chosen = batch.take(pa.array(take, pa.int64())).columns[:m]
-                return pa.RecordBatch.from_arrays([*chosen, *(pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64()]))], names=schema.names)
-
-            for r, (*key, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                for s, (ids, phi, p) in enumerate(sample(words_of(text or "", lattices.sp), lattices, k, random.Random(_seed(key))), 1):
-                    take.append(r)
-                    out.append((s, ids, phi, p))
-                size += len(text or "")
-                if size >= BATCH_CHARS:
-                    yield rows_of()
-                    take, out, size = [], [], 0
-            if out:
-                yield rows_of()
+            size = np.array([len(t.as_py() or "") for t in batch.column(m)])
+            group = (np.cumsum(size) - size) // BATCH_CHARS
+            for a, z in zip(*bounds(group)):
+                yield encoded(batch.slice(a, z - a))
 
     return picked.mapInArrow(run, schema)
 

@@ -96,7 +96,7 @@ def terms_of(text: str) -> set[str]:
 class TermLookup(dict):
     """Maps a word to those of its terms that a model may weigh, computed on first use and kept up to a limit."""
 
-    def __init__(self, terms: set[str], limit: int = 500_000):
+    def __init__(self, terms: set[str], limit: int = 100_000):
         super().__init__()
         self.terms, self.limit = {t.rstrip("0123456789") if "*" in t else t for t in terms}, limit
 

@@ -362,8 +362,7 @@ def test_first_sample_follows_the_lattice():
     lattices = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
     words = sentencepieces.words_of("sub word", lattices.sp)
     seen, prob = collections.Counter(), {}
-    for i in range(3000):
-        ids, phi, _ = sentencepieces.sample(words, lattices, 1, random.Random(i))[0]
+    for ((ids, phi, _),) in sentencepieces.sample_batch([words] * 3000, lattices, 1, [i.to_bytes(8, "little") for i in range(3000)]):
         seen[tuple(ids)] += 1
         prob[tuple(ids)] = np.exp(phi)
     for ids, n in seen.most_common(3):
@@ -401,8 +400,7 @@ def test_samples_equal_enumeration(text, k):
     words, n = sentencepieces.words_of(text, lattices.sp), 4000
     want = all_segmentations(words, lattices)
     pairs, total = collections.Counter(), 0.0
-    for i in range(n):
-        rows = sentencepieces.sample(words, lattices, k, random.Random(i))
+    for rows in sentencepieces.sample_batch([words] * n, lattices, k, [i.to_bytes(8, "little") for i in range(n)]):
         ids = [tuple(r[0]) for r in rows]
         assert len(set(ids)) == len(ids) == min(k, len(want))
         for own, phi, inclusion in rows:
