@@ -177,7 +177,7 @@ def test_ngram_join_deals_hot_buckets_in_slices(spark, monkeypatch):
 def test_ngram_join_tells_rows_of_one_id_apart(spark):
     a, b = prose(1, 120), prose(2, 150)
     rows = [(1, a), (2, a + " x"), (2, None), (1, None), (3, b), (3, b), (3, b + " y"), (None, b), (4, ""), (2, b + " z"), (5, a.upper())]
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
     want = brute_components([t for _, t in rows], [i for i, _ in rows])
     assert sorted(map(tuple, got), key=str) == sorted(((i, *want[k]) if want[k][0] and i is not None else (i, want[k][0], i) for k, (i, _) in enumerate(rows)), key=str)
 
