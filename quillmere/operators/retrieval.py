@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, words
+from .planning import question_parts
+from .planning import traceable as is_traceable
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Question vectors held by a task at once.
 QUESTIONS_AT_ONCE = 1024
 
 
-def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, score, rank) of each question's k best vectors by inner product.
+def dense_search(vectors: DataFrame, questions: DataFrame, k: int | None) -> DataFrame:
+    """(qid, doc_id, score, rank) of each question's k best vectors, or of all, by inner product.
 
     vectors: doc_id, embedding; questions: qid, embedding. Questions come to the tasks in batches of a fixed size; each
     task keeps k rows a question, so the shuffle has k rows a question and task. Null vectors take no part.
@@ -37,7 +39,7 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
                 held = batch.column(1)
                 found = held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
                 docs = np.array(batch.column(0).to_pylist(), np.int64)
-                n = min(k, len(docs))
+                n = len(docs) if k is None else min(k, len(docs))
                 for q, score in zip(ids, np.round(found.T, 9)):
                     top = np.lexsort((docs, -np.round(score, 6)))[:n]
                     yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array(docs[top]), pa.array(score[top])], names=["qid", "doc_id", "score"])
@@ -93,10 +95,15 @@ def bm25(docs: DataFrame, questions: DataFrame, match_all: bool = False) -> Data
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(qid, doc_id, score): reciprocal ranks summed over both legs and divided by each question's maximum."""
+    """(qid, doc_id, score): reciprocal ranks summed over both legs and divided by each question's maximum, to four digits.
+
+    Reciprocals are integers (10**12 by the rank's place) and the quotient is rounded in integers, so the order in which
+    rows are summed can't change a score.
+    """
     both = dense.select("qid", "doc_id", "rank").unionByName(sparse.select("qid", "doc_id", "rank"))
-    summed = both.groupBy("qid", "doc_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
-    return summed.select("qid", "doc_id", F.round(F.col("rrf") / F.max("rrf").over(Window.partitionBy("qid")), 4).alias("score"))
+    summed = both.groupBy("qid", "doc_id").agg(F.sum(F.expr(f"1000000000000 div ({k} + rank)")).alias("rrf"))
+    top = summed.withColumn("top", F.max("rrf").over(Window.partitionBy("qid")))
+    return top.select("qid", "doc_id", F.expr("((20000 * rrf + top) div (2 * top)) / 10000D").alias("score"))
 
 
 def matches(filters: dict[str, object]) -> Column:
@@ -141,12 +148,10 @@ def rewrite(questions: DataFrame, rules: list[tuple[str, list[str], list[str]]])
 
 
 def split_question(questions: DataFrame) -> DataFrame:
-    """(qid, pos, part): the question's parts between marks of punctuation, from 1."""
-    parts = F.filter(F.transform(F.split("text", r"[.;?!]+"), lambda x: squeeze(x)), lambda x: x != "")
-    return questions.select("qid", F.posexplode(parts).alias("at", "part")).select("qid", (F.col("at") + 1).cast("long").alias("pos"), "part")
+    """(qid, pos, part): up to three parts of the question, from 1; see planning.question_parts."""
+    return questions.select("qid", F.posexplode(question_parts(F.col("text"))).alias("at", "part")).select("qid", (F.col("at") + 1).cast("long").alias("pos"), "part")
 
 
 def traceable(parts: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, pos, traceable): whether all words of the part stand in the question."""
-    joined = parts.join(questions.select("qid", "text"), "qid")
-    return joined.select("qid", "pos", (F.size(F.array_except(words(F.col("part")), words(F.col("text")))) == 0).alias("traceable"))
+    """(qid, pos, traceable): whether the part can be traced to its question; see planning.traceable."""
+    return parts.join(questions.select("qid", "text"), "qid").select("qid", "pos", is_traceable(F.col("text"), F.col("part")).alias("traceable"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,33 +118,6 @@ def source_blocks(rows: DataFrame, key: str, pos: str, text: str, max_chars: int
     return picked.groupBy("key").applyInPandas(pack, "key long, block long, first_pos long, last_pos long, n_chars long").withColumnRenamed("key", key)
 
 
-SENTENCE_END = "([。！？.\n])"
-
-
-def pack_text(text: str, limit: int = 600) -> Iterator[str]:
-    """Sentences packed into chunks of up to `limit` characters that overlap by one sentence where it fits."""
-    import re
-
-    parts = [s.strip(" \t\n\r") for s in re.split(f"(?<={SENTENCE_END[1:-1]})", text)]
-    current, last = "", ""
-    for s in (p for p in parts if p):
-        if len(s) > limit:
-            if current:
-                yield current
-            for k in range(0, len(s), limit):
-                yield s[k : k + limit]
-            current = last = ""
-        elif len(current) + len(s) <= limit:
-            current, last = current + s, s
-        else:
-            if current:
-                yield current
-            current = last + s if last and len(last) + len(s) <= limit else s
-            last = s
-    if current:
-        yield current
-
-
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags dropped, white space squeezed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..operators import evidence as ed
 from ..operators import index as ix
 from ..operators import retrieval as rt
 from ..operators import timeline as tl
+from ..operators.chunking import packed
 from ..streaming import rates
 
 #: Rewrite rules and preferred languages of the demonstration queries.
@@ -72,13 +72,12 @@ def bm25_topk(spark, d):
 
 @query
 def bm25_match_all(spark, d):
-    asked = questions(spark, d).select("qid", F.array_join(F.slice(F.array_distinct(words(F.col("text"))), 1, 3), " ").alias("text"))
-    found = rt.bm25(table(spark, d, "documents"), asked, match_all=True)
+    found = rt.bm25(table(spark, d, "documents"), questions(spark, d), match_all=True)
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-def legs(spark, d) -> tuple[DataFrame, DataFrame]:
-    return rt.dense_search(vectors(spark, d), asked_vectors(spark, d), 20), rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 20)
+def legs(spark, d, k: int | None = 20) -> tuple[DataFrame, DataFrame]:
+    return rt.dense_search(vectors(spark, d), asked_vectors(spark, d), k), rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), k)
 
 
 @query
@@ -93,8 +92,9 @@ def hybrid_search(spark, d):
 
 @query
 def hybrid_filtered(spark, d):
+    """Where filters are set, all candidates are ranked and fused before the filter."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    kept = rt.fuse(*legs(spark, d)).join(docs, "doc_id").where(rt.matches({"lang": ["en", "de"]}))
+    kept = rt.fuse(*legs(spark, d, None)).join(docs, "doc_id").where(rt.matches({"lang": ["en", "de"]}))
     return rt.ranked(kept, 5).select("qid", "doc_id", "rank", "score", "lang")
 
 
@@ -268,14 +268,8 @@ def source_blocks(spark, d):
 
 @query
 def pack_sentences(spark, d):
-    """Chunks of every whole document; held to brute force in the tests."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, c) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, c in enumerate(tl.pack_text(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "chunk"])
-
-    chunks = table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, chunk string")
+    """Chunks of every whole document."""
+    chunks = packed(table(spark, d, "documents").select("doc_id", "text")).withColumnRenamed("piece", "pos")
     return chunks.select("doc_id", "pos", F.char_length("chunk").cast("long").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
 
 
@@ -463,7 +457,7 @@ def similarity_candidates(spark, d):
 @query
 def window_digests(spark, d):
     rows = table(spark, d, "conversations")
-    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(" "), squeeze(F.substring("text", 1, 40)))
+    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(" "), squeeze(F.col("text")))
     return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("digest"))
 
 

@@ -40,14 +40,29 @@ dn as (select q.vec_id as qid, v.vec_id as doc_id,
 dr as (select *, row_number() over (partition by qid order by round(score, 6) desc, doc_id) as rank from dn)"""
 _FUSED = f"""{_BM}, {_DENSE},
 br as (select qid, doc_id, {_RANK} as rank from bm),
-rr as (select qid, doc_id, sum(1.0 / (60 + rank)) as s
+rr as (select qid, doc_id, sum(1000000000000 // (60 + rank)) as s
        from (select qid, doc_id, rank from dr where rank <= 20 union all select qid, doc_id, rank from br where rank <= 20) group by 1, 2),
-fused as (select qid, doc_id, round(s / max(s) over (partition by qid), 4) as score from rr)"""
+fused as (select qid, doc_id, ((20000 * s + max(s) over (partition by qid)) // (2 * max(s) over (partition by qid))) / 10000.0 as score from rr)"""
+_FUSED_ALL = _FUSED.replace(" where rank <= 20", "")
 _SPLIT = rf"""
 parts as (select qid, text, i as pos, l[i] as part
           from (select qid, text, l, unnest(range(1, len(l) + 1)) as i
-                from (select qid, text, list_filter(list_transform(string_split_regex(text, '[.;?!]+'), lambda x: {_squeeze("x")}), lambda x: x <> '') as l
-                      from ({_QUESTIONS}))))"""
+                from (select qid, text, case when len(f) > 0 then f[1:3] else [text] end as l
+                      from (select qid, text, list_filter(list_transform(string_split_regex(text, '[?？；;。]|(?:以及|并且|还有|同时|分别)'), lambda x: trim(x, ' ，,、')), lambda x: x <> '') as f
+                            from ({_QUESTIONS})))))"""
+
+
+def letters(x: str) -> str:
+    """Distinct lower-case characters but punctuation and white space."""
+    return rf"list_filter(list_distinct(string_split(regexp_replace(lower({x}), '[ \t\n\r\x0b\x0c，。？！；;,.!?]', '', 'g'), '')), lambda v: v <> '')"
+
+
+def traced(original: str, query: str) -> str:
+    """Whether the query can be traced to the original."""
+    return f"""(len(list_filter(regexp_extract_all(lower({query}), '[a-z0-9_]{{2,}}'), lambda t: contains(lower({original}), t))) > 0
+       or (len({letters(query)}) > 0 and len(list_intersect({letters(original)}, {letters(query)})) * 5 >= len({letters(query)})))"""
+
+
 _EVENTS = "e as (select *, epoch_us(ts) as us from events)"
 _ANSWERS = """
 ans as (select conv_id, turn, case when turn % 2 = 0 then text else text || ' [S' || lpad((turn + 1)::varchar, 4, '0') || ']' end as text
@@ -80,12 +95,12 @@ from (select event_type, value, row_number() over (partition by event_type order
 ORACLES = {
     "dense_topk": f"with {_DENSE} select qid, doc_id, rank::int as rank, round(score, 6) as score from dr where rank <= 5",
     "bm25_topk": f"with {_BM} select qid, doc_id, rank::int as rank, round(score, 6) as score from (select *, {_RANK} as rank from bm) where rank <= 12",
-    "bm25_match_all": f"""with {_bm25(f"select item_id as qid, array_to_string(t[1:3], ' ') as text from (select item_id, list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]) as t from (select item_id, {_words('text')} as w from benchmark))")},
+    "bm25_match_all": f"""with {_BM},
 need as (select qid, count(*) as need from asked group by qid)
 select qid, doc_id, round(score, 6) as score from bm join need using (qid) where n_terms = need""",
     "rrf_fusion": f"with {_FUSED} select qid, doc_id, score from fused",
     "hybrid_search": f"with {_FUSED} select qid, doc_id, score, rank::int as rank from (select *, {_RANK} as rank from fused) where rank <= 5",
-    "hybrid_filtered": f"with {_FUSED} select qid, doc_id, rank::int as rank, score, lang from (select *, {_RANK} as rank from fused join documents using (doc_id) where lang in ('en', 'de')) where rank <= 5",
+    "hybrid_filtered": f"with {_FUSED_ALL} select qid, doc_id, rank::int as rank, score, lang from (select *, {_RANK} as rank from fused join documents using (doc_id) where lang in ('en', 'de')) where rank <= 5",
     "hybrid_dedup": f"""with {_FUSED},
 u as (select qid, doc_id, score, row_number() over (partition by qid, {_squeeze("coalesce(text, '')")} order by score desc, doc_id) as n from fused join documents using (doc_id))
 select qid, doc_id, score, rank::int as rank from (select qid, doc_id, score, {_RANK} as rank from u where n = 1) where rank <= 5""",
@@ -104,7 +119,7 @@ select qid, doc_id, score, rank::int as rank from (select *, {_RANK} as rank fro
 select qid, text || ' ' || array_to_string(list_filter([case when a then 'along beside' end, case when b then 'these' end, case when c then 'doing' end], lambda x: x is not null), ' ') as rewritten,
        array_to_string(list_filter([case when a then 'with' end, case when b then 'the' end, case when c then 'ing' end], lambda x: x is not null), ',') as applied from r""",
     "query_split": f"with {_SPLIT.lstrip()} select qid, pos::bigint as pos, part from parts",
-    "traceable_parts": f"with {_SPLIT.lstrip()} select qid, pos::bigint as pos, len(list_filter({_words('part')}, lambda x: not list_contains({_words('text')}, x))) = 0 as traceable from parts",
+    "traceable_parts": f"with {_SPLIT.lstrip()} select qid, pos::bigint as pos, {traced('text', 'part')} as traceable from parts",
     "postings": f"with {_POSTINGS.lstrip()} select term, doc_id, tf, doc_len::bigint as doc_len from post",
     "term_stats": f"with {_POSTINGS.lstrip()} select term, count(*) as df, sum(tf)::bigint as cf from post group by term",
     "corpus_stats": f"with {_POSTINGS.lstrip()} select count(*) as n_docs, sum(len(w))::bigint as n_tokens, round(avg(len(w)), 6) as avg_len from tok",
@@ -164,7 +179,7 @@ from documents left join labels using (doc_id)""",
 from documents d left join stale s on d.doc_id = s.doc_id""",
     "audit_scan": f"""with {_EVENTS}, a as (select user_id, ((select max(us) from e) - us) // 86400000000 as age from e)
 select user_id, count(*) as n, count(*) filter (age >= 14) as n_expired, max(age)::bigint as oldest from a group by user_id""",
-    "coverage_rollup": f"""with {_SPLIT.lstrip()}, t as (select qid, len(list_filter({_words('part')}, lambda x: not list_contains({_words('text')}, x))) = 0 as ok from parts)
+    "coverage_rollup": f"""with {_SPLIT.lstrip()}, t as (select qid, {traced('text', 'part')} as ok from parts)
 select qid, count(*) as n_parts, count(*) filter (ok) as n_covered, case when bool_and(ok) then 'covered' when not bool_or(ok) then 'unsupported' else 'partial' end as overall from t group by qid""",
     "context_budget": f"""with {_BM},
 f as (select qid, doc_id, rank, n_chars, sum(n_chars) over (partition by qid order by rank rows unbounded preceding) as total from (select qid, doc_id, {_RANK} as rank from bm) join documents using (doc_id) where rank <= 10)
@@ -193,7 +208,7 @@ from (select event_type, strftime(ts, '%Y-%m-%d') as day, avg(value) as m from e
 found as (select qid, doc_id from (select qid, doc_id, {_RANK} as rank from bm) where rank <= 20),
 s as (select qid, doc_id, len(list_intersect(list_distinct({_words("q.text")}), list_distinct({_words("d.text")})))::bigint as shared from found join ({_QUESTIONS}) q using (qid) join documents d using (doc_id))
 select qid, doc_id, shared from (select *, rank() over (partition by qid order by shared desc) as r from s) where r = 1""",
-    "window_digests": f"""select conv_id, count(*) as n, sha256(string_agg(turn || ' ' || role || ' ' || {_squeeze("substr(text, 1, 40)")}, chr(10) order by turn)) as digest from conversations group by conv_id""",
+    "window_digests": f"""select conv_id, count(*) as n, sha256(string_agg(turn || ' ' || role || ' ' || {_squeeze("text")}, chr(10) order by turn)) as digest from conversations group by conv_id""",
     "required_units": """select conv_id, turn, n from (select conv_id, turn, length(text)::bigint as n, min(turn) over w as f, sum(length(text)) over w as s, count(text) over w as k from conversations window w as (partition by conv_id))
 where turn = f or n * k > s""",
     "coverage_validation": """select case when n <> k then 'repeated' when top + 1 <> n then 'gap' else 'complete' end as state, count(*) as n_conversations

@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from quillmere.operators import evaluation as ev
 from quillmere.functions.text import bigrams, clock_seconds, squeeze
 from quillmere.operators import index as ix
+from quillmere.operators import chunking as ch
 from quillmere.operators import timeline as tl
 from quillmere.streaming import rates
 
@@ -32,14 +33,15 @@ def test_heading_sections(spark):
     assert [tuple(r) for r in ix.heading_sections(docs).orderBy("pos").collect()] == [(1, 0, "", "intro"), (1, 1, "One", "body 1"), (1, 2, "Two", "body 2")]
 
 
-def test_pack_text_covers_and_bounds():
-    text = "One. Two two. " * 60 + "x" * 1500 + ". End."
-    chunks = list(tl.pack_text(text, 100))
-    assert max(map(len, chunks)) <= 100
-    for s in re.findall(r"[^.]+\.", text):
-        if len(s.strip()) <= 100:
-            assert any(s.strip() in c for c in chunks)
-    assert list(tl.pack_text("")) == []
+def test_sentence_runs_cover_and_bound():
+    assert ch.sentence_runs([], 100) == []
+    assert ch.sentence_runs([40, 50, 30, 250, 60, 60], 100) == [(0, 1, -1), (1, 2, -1), (3, 3, 0), (3, 3, 100), (3, 3, 200), (4, 4, -1), (5, 5, -1)]
+
+
+def test_windows_take_each_block_once_with_context():
+    got = ch.window_bounds([10, 10, 10, 10], [0.0, 30.0, 61.0, 95.0], [29.0, 60.0, 90.0, 99.0], [True] * 4, 60.0, 900, 20.0)
+    assert got == [(0, 0, 1), (1, 2, 3)]
+    assert ch.block_groups([5, 5, 5, 395], [0.0, 3.0, 20.0, 24.0], [2.0, 4.0, 22.0, 26.0], [True] * 4, 400, 30.0, 5.0) == [1, 1, 2, 3]
 
 
 def test_rate_limit_expires_accepted_only():
