@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .importance import op11_importance
+from .language_id import op12_language_id
 from .license_scan import op1_license_scan
 from .ngram_join import op4_ngram_join
 from .packing import op7_packing
+from .periodic_runs import op13_periodic_runs
 from .quality_rules import op10_quality_rules
 from .sql import ORACLES
 from .sentencepieces import op3_sentencepieces
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk_search": op8_topk_search,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_importance": op11_importance,
+        "op12_language_id": op12_language_id,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
