@@ -187,7 +187,9 @@ def sample_blocks(rows: DataFrame, text_col: str, lang_col: str, id_col: str, li
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and t <> ''")
     n = F.ceil(F.length("t") / BLOCK_CHARS)
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum(n).alias("n")).collect()}
+    # rows that repeat a doc_id have the same hashes, so blocks are counted as if each id came once
+    counted = rows.groupBy("l").agg(F.sum(n).alias("n"), F.count("*").alias("rows"), F.approx_count_distinct("i").alias("ids"))
+    sizes = {r["l"]: r["n"] * max(r["ids"], 1) / r["rows"] for r in counted.collect()}
     if not sizes:
         return spark.createDataFrame([], "lang string, block string")
     each = max(1, limit // len(sizes))

@@ -56,4 +56,36 @@ select page_id, strlen(h)::bigint as payload_bytes,
 from d
 """
 
-ORACLES = {"op5_warc": OP5, "op8_topk_search": OP8, "op10_quality_rules": OP10}
+OP11 = r"""
+with tbl as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, list_transform(range(8), lambda k: 0::bigint)),
+           lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+texts as (
+  select 's' as side, doc_id as id, coalesce(text, '') as t from documents
+  union all select 't', item_id, coalesce(text, '') from benchmark),
+w as (
+  select side, id, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
+f as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from w),
+names as (select f, hex(f) as h from (select distinct f from f)),
+crc as (
+  select f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i:
+           16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+           lambda c, b: xor(c >> 8, tbl.t[(xor(c, b) & 255) + 1]))) % 10000 as bucket
+  from names, tbl),
+fb as (select side, id, bucket from f join crc using (f)),
+n as (select bucket, count(*) filter (side = 's') as s, count(*) filter (side = 't') as t from fb group by bucket),
+gain as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from n) + 10000)::double / ((s + 1)::double * ((select sum(t) from n) + 10000)::double)))::bigint as g from n),
+weight as (select id, count(*) as n_features, floor(sum(g)::double / count(*))::bigint as weight from fb join gain using (bucket) where side = 's' group by id),
+h as (
+  select id as doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('7:' || id)[i]) - 1), lambda a, b: 16 * a + b) as h
+  from w left join weight using (id) where side = 's'),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from h),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20)
+select doc_id, n_features, weight, score,
+       case when rank <= floor(25 * (select count(*) from drawn) / 100) then rank end as rank
+from scored left join drawn using (doc_id)
+"""
+
+ORACLES = {"op11_importance": OP11, "op5_warc": OP5, "op8_topk_search": OP8, "op10_quality_rules": OP10}
