@@ -28,6 +28,16 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n), lambda a, b: F.concat(a, b)))
 
 
+def char_grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of neighbouring characters of the given sizes, none for null; linear in the text, as characters are
+    looked up in an array."""
+    letters = F.array_remove(F.split(text, ""), "")
+    n = F.size(letters)
+    starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    joined = lambda k: F.transform(starts(k), lambda i: F.concat(*(F.get(letters, i + j) for j in range(k))))
+    return F.array_distinct(F.concat(*(joined(k) for k in sizes)))
+
+
 def clock_seconds(clock: Column) -> Column:
     """Seconds of h:m:s, m:s or s, with a comma or point before fractions; null where it is none of these."""
     parts = F.transform(F.split(F.replace(clock, F.lit(","), F.lit(".")), ":"), lambda x: x.try_cast("double"))

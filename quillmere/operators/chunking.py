@@ -158,7 +158,7 @@ def raw_chunks(rows: DataFrame, key: str) -> DataFrame:
     held = _lines(rows, key).withColumn("_t", F.transform("lines", line)).withColumn("_g", groups(F.transform("_t", F.char_length)))
     out = held.select(key, F.posexplode(F.arrays_zip("lines", "_t", "_g")).alias("i", "x")).select(key, "i", F.col("x._g").cast("long").alias("chunk"), "x.lines", F.col("x._t").alias("t"))
     inside = F.array_sort(F.collect_list(F.struct("i", "t")))
-    return out.groupBy(key, "chunk").agg(F.min(ref(F.col("i"))).alias("first_ref"), F.max(ref(F.col("i"))).alias("last_ref"), F.min_by("lines.start", "i").alias("start"), F.max_by("lines.end", "i").alias("end"), F.array_join(F.transform(inside, lambda x: x["t"]), "\n").alias("content"))
+    return out.groupBy(key, "chunk").agg(ref(F.min("i")).alias("first_ref"), ref(F.max("i")).alias("last_ref"), F.min_by("lines.start", "i").alias("start"), F.max_by("lines.end", "i").alias("end"), F.array_join(F.transform(inside, lambda x: x["t"]), "\n").alias("content"))
 
 
 def source_blocks(rows: DataFrame, key: str, max_chars: int = 400, max_seconds: float = 30.0, max_gap: float = 5.0) -> DataFrame:

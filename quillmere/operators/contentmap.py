@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_all
+from ..functions.text import char_grams, trim_all
+from .planning import claim_text
 
 _SPACE = r"[ \t\n\r\x0b\f]+"
+#: Fixed value: how an answer that declines begins.
+ABSTENTION = r"^(?:不知道|无法回答)(?:[。！!]|$)"
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -15,7 +18,8 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def normal_language(lang: Column) -> Column:
-    return F.replace(F.lower(lang), F.lit("_"), F.lit("-"))
+    """Trimmed lower-case tag with dashes; empty for null."""
+    return F.replace(F.lower(F.regexp_replace(F.coalesce(lang, F.lit("")), r"(?U)^\s+|\s+$", "")), F.lit("_"), F.lit("-"))
 
 
 def file_name_part(value: Column, fallback: str) -> Column:
@@ -35,11 +39,9 @@ def letters_and_digits(text: Column) -> Column:
 
 
 def word_bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring word characters of the lower-case text."""
+    """Distinct pairs of neighbouring word characters of the lower-case text, or its only one."""
     bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "")
-    n = F.char_length(bare)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(bare, i, F.lit(2)))
-    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.char_length(bare) == 1, F.array(bare)).otherwise(char_grams(bare, [2]))
 
 
 def clock(seconds: Column) -> Column:
@@ -57,14 +59,19 @@ def required_units(units: DataFrame, key: list[str], pos: str, major: Column) ->
 
 
 def assigned_groups(windows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """(key, window, group): every window with the group that shares most bigrams with it, ties to the nearer and then to
-    the smaller group.
+    """(key, window, group): every window with the one of the groups that claim it, or of all where none does, that shares
+    most bigrams with it; ties go to the group that claims the nearest other window, then to the smaller group.
 
-    windows: key, window, grams; groups: key, group, place, grams. A document has few groups.
+    windows: key, window (its position), grams; groups: key, group, claimed (positions), grams. A document has few groups.
+    A group that claims no other window is as far as there are windows.
     """
-    pairs = windows.join(groups.withColumnRenamed("grams", "own"), key)
+    sizes = windows.groupBy(key).agg(F.countDistinct("window").alias("_n"))
+    pairs = windows.join(groups.withColumnRenamed("grams", "own"), key).join(sizes, key)
+    pairs = pairs.withColumn("_claims", F.coalesce(F.array_contains("claimed", F.col("window")), F.lit(False)))
+    pairs = pairs.withColumn("_any", F.bool_or("_claims").over(Window.partitionBy(key, "window"))).where(F.col("_claims") | ~F.col("_any"))
     shared = F.size(F.array_intersect("grams", "own"))
-    order = Window.partitionBy(key, "window").orderBy(F.desc(shared), F.abs(F.col("window") - F.col("place")), "group")
+    others = F.transform(F.filter("claimed", lambda c: c != F.col("window")), lambda c: F.abs(c - F.col("window")))
+    order = Window.partitionBy(key, "window").orderBy(F.desc(shared), F.coalesce(F.array_min(others), F.col("_n")), "group")
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(key, "window", "group")
 
 
@@ -85,10 +92,9 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
 
 
 def abstains(answer: Column) -> Column:
-    """Whether the first line that isn't blank, bare of list and heading marks, says that the answer isn't known."""
+    """Whether the first line that isn't blank, bare of citations, list and heading marks, says that the answer isn't known."""
     lines = F.filter(F.transform(F.split(answer, "\n"), trim_all), lambda x: x != "")
-    bare = F.regexp_replace(F.regexp_replace(F.get(lines, F.lit(0)), r"^(?:[-*]|\d+[.)、])\s*", ""), r"^【[^】]+】\s*", "")
-    return F.coalesce(bare.rlike(r"^(?:不知道|无法回答)(?:[。！!]|$)"), F.lit(False))
+    return F.coalesce(claim_text(F.get(lines, F.lit(0))).rlike(ABSTENTION), F.lit(False))
 
 
 def macro_scores(rows: DataFrame, truth: Column, guess: Column, by: list[str]) -> DataFrame:

@@ -24,10 +24,11 @@ def admitted(units: DataFrame, key: str, valid: Column, policy_ok: Column) -> Da
     return units.groupBy(key).agg(F.count("*").alias("n_units"), F.bool_and(valid & policy_ok).alias("allowed"))
 
 
-def output_gate(judged: DataFrame, key: str, order: str, blocked: Column) -> DataFrame:
-    """(key, action, blocked_lines): allow, redact (some lines) or block (all lines)."""
+def output_gate(judged: DataFrame, key: str, order: list[str], blocked: Column) -> DataFrame:
+    """(key, action, blocked_lines): allow, redact (some lines) or block (all lines). A line is named by its order columns,
+    joined by points."""
     bad = F.count_if(blocked)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(blocked, F.col(order)))), lambda x: x.cast("string")), ",")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(blocked, F.struct(*order)))), lambda x: F.concat_ws(".", *(x[c].cast("string") for c in order))), ",")
     action = F.when(bad == 0, "allow").when(bad == F.count("*"), "block").otherwise("redact")
     return judged.groupBy(key).agg(action.alias("action"), lines.alias("blocked_lines"))
 

@@ -52,15 +52,15 @@ def claim_text(line: Column) -> Column:
 def checked_claims(lines: DataFrame, key: list[str], evidence: DataFrame, by: list[str]) -> DataFrame:
     """(key, claim, n_citations, valid, errors, chunk_ids): every line that makes a claim, with its citations checked.
 
-    lines: key columns and text, one row a line. evidence: `by` columns (part of the key), chunk_id and refs, the chunks
-    that were retrieved. Each citation must name a retrieved chunk and only references of it; `N/A` or nothing is right
+    lines: key columns and text, one row a line. evidence: `by` columns (part of the key), chunk_id, refs and rank, the
+    chunks that were retrieved; of a chunk that comes twice the row with the smallest rank counts. Each citation must name a retrieved chunk and only references of it; `N/A` or nothing is right
     where the chunk has none. errors: distinct and sorted; chunk_ids: those of right citations.
     """
     rows = lines.select(*key, trim_all(F.col("text")).alias("_line")).withColumn("claim", claim_text(F.col("_line")))
     rows = rows.where((F.col("_line") != "") & ~F.col("_line").rlike(HEADING + "$") & (F.col("claim") != ""))
     found = F.arrays_zip(F.regexp_extract_all("_line", F.lit(CITATION), F.lit(1)).alias("chunk"), F.regexp_extract_all("_line", F.lit(CITATION), F.lit(2)).alias("raw"))
     cited = rows.select(*key, "claim", F.explode_outer(found).alias("c")).select(*key, "claim", F.col("c.chunk").alias("chunk_id"), F.trim("c.raw").alias("raw"))
-    known = evidence.select(*by, "chunk_id", F.col("refs").alias("_refs"), F.lit(True).alias("_there"))
+    known = evidence.groupBy(*by, "chunk_id").agg(F.min_by("refs", "rank").alias("_refs")).withColumn("_there", F.lit(True))
     joined = cited.join(known, [*by, "chunk_id"], "left")
     refs = F.array_distinct(F.regexp_extract_all("raw", F.lit(SOURCE_REF), F.lit(1)))
     error = (

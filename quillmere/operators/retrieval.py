@@ -2,53 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, words
+from ..functions.storage import materialize
+from ..functions.text import char_grams, squeeze, words
+from ..sources.index_store import Index
+from .matches import best_vectors, vector_ranks
 from .planning import question_parts
 from .planning import traceable as is_traceable
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Question vectors held by a task at once.
-QUESTIONS_AT_ONCE = 1024
+#: BM25 weights are summed as whole numbers of 1/UNIT, so that sums don't depend on their order.
+UNIT = 10**12
 
 
-def dense_search(vectors: DataFrame, questions: DataFrame, k: int | None) -> DataFrame:
-    """(qid, doc_id, score, rank) of each question's k best vectors, or of all, by inner product.
+def dense_search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank) of each question's k best vectors by inner product.
 
-    vectors: doc_id, embedding; questions: qid, embedding. Questions come to the tasks in batches of a fixed size; each
-    task keeps k rows a question, so the shuffle has k rows a question and task. Null vectors take no part.
+    vectors: doc_id, embedding; questions: qid, embedding. Vectors of another length than the question's, and those with
+    null or non-finite components, take no part.
     """
-    rows = vectors.where("embedding is not null").select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = questions.where("embedding is not null").select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    parts = max(1, -(-asked.count() // QUESTIONS_AT_ONCE))
-    legs = []
-    for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).orderBy("qid").collect()
-        ids, matrix = [r["qid"] for r in own], np.array([r["embedding"] for r in own], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                held = batch.column(1)
-                found = held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
-                docs = np.array(batch.column(0).to_pylist(), np.int64)
-                n = len(docs) if k is None else min(k, len(docs))
-                for q, score in zip(ids, np.round(found.T, 9)):
-                    top = np.lexsort((docs, -np.round(score, 6)))[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array(docs[top]), pa.array(score[top])], names=["qid", "doc_id", "score"])
-
-        legs.append(rows.mapInArrow(run, "qid long, doc_id long, score double"))
-    out = legs[0]
-    for leg in legs[1:]:
-        out = out.unionByName(leg)
-    return ranked(out, k)
+    one = F.lit(0).alias("grp")
+    found = best_vectors(vectors.select(one, "doc_id", "embedding"), questions.select(one, "qid", "embedding"), k)
+    return ranked(found.select("qid", "doc_id", "score"), k)
 
 
 def ranked(scored: DataFrame, k: int | None = None, by: str = "qid") -> DataFrame:
@@ -73,21 +50,19 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_len"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, match_all: bool = False) -> DataFrame:
+def bm25(index: Index, questions: DataFrame, match_all: bool = False) -> DataFrame:
     """(qid, doc_id, score) of all documents that have a term of the question, or all of its terms.
 
-    Only the questions' terms are joined, so that the posting lists of other terms are dropped before the shuffle.
+    Only the posting blocks of the questions' terms are read on; totals come from the index. A common term is many blocks
+    of bounded size.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    used = asked.select("term").distinct()
-    totals = corpus_stats(docs).select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg"))
-    posted = postings(docs).join(used, "term", "left_semi")
-    idf = posted.groupBy("term").agg(F.count("*").alias("df"))
-    tf = F.col("tf").cast("double")
-    weight = (F.log(F.col("n_docs") / (F.col("df") + 1)) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg")))
-    # totals is one row
-    hits = asked.join(posted.join(idf, "term"), "term").join(F.broadcast(totals)).select("qid", "term", "doc_id", weight.alias("w"))
-    out = hits.groupBy("qid", "doc_id").agg(F.sum("w").alias("score"), F.count("*").alias("n_terms"))
+    blocks = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    dfs = blocks.groupBy("term").agg(F.sum(F.size("doc_ids")).alias("df"))
+    posted = asked.join(dfs, "term").join(blocks, "term").select("qid", "df", F.explode(F.arrays_zip("doc_ids", "tfs", "lens")).alias("p"))
+    tf, average = F.col("p.tfs").cast("double"), index.n_tokens / max(index.n_docs, 1) or 1.0
+    weight = (F.log(index.n_docs / (F.col("df") + 1)) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("p.lens") / average))
+    out = posted.groupBy("qid", F.col("p.doc_ids").alias("doc_id")).agg((F.sum(F.round(weight * UNIT).cast("long")) / UNIT).alias("score"), F.count("*").alias("n_terms"))
     if match_all:
         need = asked.groupBy("qid").agg(F.count("*").alias("need"))
         out = out.join(need, "qid").where(F.col("n_terms") == F.col("need"))
@@ -106,6 +81,86 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
     return top.select("qid", "doc_id", F.expr("((20000 * rrf + top) div (2 * top)) / 10000D").alias("score"))
 
 
+def sparse_ranks(scored: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(qid, doc_id, rank): the rank of each candidate among the scored documents of its question, by counting how many
+    lie between neighbouring candidates. candidates: qid, doc_id, a bounded number a question; scored: qid, doc_id, score.
+    Candidates without a score have no rank."""
+    place = F.struct((-F.round("score", 6)).alias("s"), F.col("doc_id").alias("d"))
+    own = scored.join(candidates.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.array_sort(F.collect_set(place)).alias("own"))
+    # a document counts for all candidates from the first that it comes before
+    before = scored.join(own, "qid").withColumn("_p", place).withColumn("from", F.size(F.filter("own", lambda t: t <= F.col("_p"))))
+    counts = before.groupBy("qid", "from").agg(F.count("*").alias("n"))
+    listed = counts.groupBy("qid").agg(F.collect_list(F.struct("from", "n")).alias("c"))
+    places = own.join(listed, "qid").select("qid", "c", F.posexplode("own").alias("i", "t"))
+    better = F.aggregate(F.filter("c", lambda x: x["from"] <= F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return places.select("qid", F.col("t.d").alias("doc_id"), (better + 1).alias("rank"))
+
+
+#: Candidates of either leg at first. From 61 on, the best fused document of a question is always among them.
+CANDIDATES = 64
+
+
+def filtered_fusion(index: Index, asked: DataFrame, questions: DataFrame, allowed: DataFrame, k: int, first: int = CANDIDATES) -> DataFrame:
+    """(qid, doc_id, score, rank): the k best allowed documents of each question, fused by their ranks in the whole index.
+
+    asked: qid, embedding; questions: qid, text; allowed: doc_id. Candidates are the best of either leg among all and among
+    the allowed documents; their ranks in the whole index are counted. A document outside ranks below the last allowed
+    candidate in both legs, which bounds its score: a question whose k-th best may be beaten takes four times as many
+    candidates, until none can, so the result is exact and no list of all pairs of questions and documents is made.
+    """
+    done, most = None, first
+    allowed = allowed.select("doc_id").distinct()
+    while True:
+        scored = bm25(index, questions)
+        dense = lambda vectors: dense_search(vectors, asked, most).select("qid", "doc_id", "rank")  # noqa: E731, B023
+        legs = [dense(index.vectors), ranked(scored, most), dense(index.vectors.join(allowed, "doc_id", "left_semi")), ranked(scored.join(allowed, "doc_id", "left_semi"), most)]
+        named = [leg.select("qid", "doc_id", F.lit(i).alias("leg"), F.col("rank").alias("own")) for i, leg in enumerate(legs)]
+        found = materialize(named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]), "candidates")
+        both = found.select("qid", "doc_id").distinct()
+        ranks = vector_ranks(index.vectors, asked, both).withColumn("leg", F.lit(2)).unionByName(sparse_ranks(scored, both).withColumn("leg", F.lit(3)))
+        ranks = materialize(ranks, "ranks")
+        reciprocal = F.expr(f"1000000000000 div ({RRF_K} + rank)")
+        summed = ranks.groupBy("qid", "doc_id").agg(F.sum(reciprocal).alias("rrf"))
+        top = summed.groupBy("qid").agg(F.max("rrf").alias("top"))
+        own = summed.join(allowed, "doc_id", "left_semi").join(top, "qid").select("qid", "doc_id", "rrf", F.expr("((20000 * rrf + top) div (2 * top)) / 10000D").alias("score"))
+        # a leg that was cut ends at its last allowed candidate's rank; one that wasn't has nothing beyond
+        last = found.where("leg >= 2").join(ranks, ["qid", "doc_id", "leg"]).groupBy("qid", "leg").agg(F.max("own").alias("n"), F.max("rank").alias("last"))
+        unseen = last.where(F.col("n") >= most).groupBy("qid").agg(F.sum(F.expr(f"1000000000000 div ({RRF_K} + last + 1)")).alias("bound"))
+        best = materialize(ranked(own, k).join(unseen, "qid", "left").join(top, "qid"), "fused")
+        sizes = best.groupBy("qid").agg(F.count("*").alias("n"), F.min("rrf").alias("least"), F.first("bound").alias("bound"))
+        # the k-th must not even tie with one outside, after rounding to four digits
+        open_ = sizes.join(top, "qid").where(F.col("bound").isNotNull() & ((F.col("n") < k) | (F.col("least") - F.col("bound") <= F.col("top") / 5000)))
+        missing = unseen.join(best.select("qid").distinct(), "qid", "left_anti").select("qid")
+        again = materialize(open_.select("qid").unionByName(missing), "open")
+        part = best.join(again, "qid", "left_anti").select("qid", "doc_id", "score", "rank")
+        done = part if done is None else done.unionByName(part)
+        if again.isEmpty():
+            return done
+        most *= 4
+        questions, asked = questions.join(again, "qid", "left_semi"), asked.join(again, "qid", "left_semi")
+
+
+def containing(index: Index, docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, doc_id): the documents whose lower-case text holds the question's, over all documents.
+
+    The longest word of a question leads to the documents to look at, by the index's posting blocks. A word inside the
+    question is a word of the document; one at its edge may be part of a longer word, which is looked up in the vocabulary
+    by its first three characters or less. A question without words is held by none. docs: doc_id, text.
+    """
+    own = questions.select("qid", F.lower("text").alias("low")).withColumn("w", words(F.col("low"))).where(F.size("w") > 0)
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+    keyed = own.withColumns({"whole": F.size(inner) > 0, "word": F.coalesce(longest(inner), longest(F.col("w")))})
+    head = F.substring("word", 1, 3)
+    edges = keyed.where("not whole").select("qid", "word", head.alias("gram"))
+    vocabulary = index.postings.select("term").distinct()
+    part = vocabulary.withColumn("gram", F.explode(char_grams(F.col("term"), [1, 2, 3]))).join(edges, "gram").where(F.contains("term", F.col("word"))).select("qid", "term").distinct()
+    terms = keyed.where("whole").select("qid", F.col("word").alias("term")).unionByName(part)
+    found = terms.join(index.postings.select("term", "doc_ids"), "term").select("qid", F.explode("doc_ids").alias("doc_id")).distinct()
+    joined = found.join(own.select("qid", "low"), "qid").join(docs.select("doc_id", F.lower("text").alias("body")), "doc_id")
+    return joined.where(F.contains("body", F.col("low"))).select("qid", "doc_id").distinct()
+
+
 def matches(filters: dict[str, object]) -> Column:
     """Conjunction of equalities and memberships, applied after fusion so that ranks stay those of the whole index."""
     out = F.lit(True)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir
 from ..functions.text import bigrams, squeeze, words
 from ..operators import evaluation as ev
 from ..operators import evidence as ed
 from ..operators import index as ix
 from ..operators import retrieval as rt
 from ..operators import timeline as tl
+from ..operators import matches as mt
 from ..operators.chunking import packed
+from ..sources import index_store
 from ..streaming import rates
 
 #: Rewrite rules and preferred languages of the demonstration queries.
@@ -56,6 +60,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("us", micros("ts"))
 
 
+def serving(spark: SparkSession, sf_dir: str) -> index_store.Index:
+    """The stored index of the tables: the newest generation that passes its gates, or a new one."""
+    root = f"{shared_dir(spark)}/index/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return index_store.serve(table(spark, sf_dir, "documents"), vectors(spark, sf_dir), root, "table-embeddings", ["lang", "source", "n_chars"])
+
+
 # retrieval
 
 
@@ -66,18 +76,19 @@ def dense_topk(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 12)
+    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 12)
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query
 def bm25_match_all(spark, d):
-    found = rt.bm25(table(spark, d, "documents"), questions(spark, d), match_all=True)
+    found = rt.bm25(serving(spark, d), questions(spark, d), match_all=True)
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-def legs(spark, d, k: int | None = 20) -> tuple[DataFrame, DataFrame]:
-    return rt.dense_search(vectors(spark, d), asked_vectors(spark, d), k), rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), k)
+def legs(spark, d, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    index = serving(spark, d)
+    return rt.dense_search(index.vectors, asked_vectors(spark, d), k), rt.ranked(rt.bm25(index, questions(spark, d)), k)
 
 
 @query
@@ -92,10 +103,11 @@ def hybrid_search(spark, d):
 
 @query
 def hybrid_filtered(spark, d):
-    """Where filters are set, all candidates are ranked and fused before the filter."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    kept = rt.fuse(*legs(spark, d, None)).join(docs, "doc_id").where(rt.matches({"lang": ["en", "de"]}))
-    return rt.ranked(kept, 5).select("qid", "doc_id", "rank", "score", "lang")
+    """Where filters are set, ranks stay those of the whole index."""
+    index = serving(spark, d)
+    kept = index.documents.where(rt.matches({"lang": ["en", "de"]}))
+    found = rt.filtered_fusion(index, asked_vectors(spark, d), questions(spark, d), kept, 5)
+    return found.join(index.documents.select("doc_id", "lang"), "doc_id").select("qid", "doc_id", "rank", "score", "lang")
 
 
 @query
@@ -108,14 +120,14 @@ def batch_questions(spark, d):
     """Parts of every question searched on their own and merged by the best score."""
     parts = rt.split_question(questions(spark, d)).select("qid", "pos", F.col("part").alias("text"))
     numbered = parts.withColumn("part_id", F.col("qid") * 1000 + F.col("pos"))
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), numbered.select(F.col("part_id").alias("qid"), "text")), 5)
+    found = rt.ranked(rt.bm25(serving(spark, d), numbered.select(F.col("part_id").alias("qid"), "text")), 5)
     best = found.select(F.floor(F.col("qid") / 1000).cast("long").alias("qid"), "doc_id", F.round("score", 6).alias("score")).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     return rt.ranked(best, 5)
 
 
 @query
 def rerank_overlap(spark, d):
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 20)
+    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 20)
     return rt.rerank(found, questions(spark, d), table(spark, d, "documents"), 5)
 
 
@@ -285,10 +297,9 @@ def language_rank(spark, d):
 
 @query
 def char_bigram_overlap(spark, d):
-    """Bigrams that a question shares with the documents that its best words find."""
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 3)
-    joined = found.select("qid", "doc_id").join(questions(spark, d), "qid").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
-    return joined.select("qid", "doc_id", F.size(F.array_intersect(bigrams(F.col("text")), bigrams(F.col("body")))).cast("long").alias("shared"))
+    """The documents that share most bigrams with each question, all on ties, over all documents."""
+    members = bigrams(F.col("text")).alias("members")
+    return mt.best_overlaps(table(spark, d, "documents").select("doc_id", members), questions(spark, d).select("qid", members), mt.LANE_TEXTS)
 
 
 # evidence
@@ -314,8 +325,7 @@ def admission(spark, d):
 
 @query
 def output_gate(spark, d):
-    rows = ed.claims(answers(spark, d), ["conv_id", "turn"], "text").withColumn("k", F.col("turn") * 1000 + F.col("line"))
-    return ed.output_gate(rows, "conv_id", "k", F.col("n_citations") == 0)
+    return ed.output_gate(ed.claims(answers(spark, d), ["conv_id", "turn"], "text"), "conv_id", ["turn", "line"], F.col("n_citations") == 0)
 
 
 @query
@@ -354,7 +364,7 @@ def coverage_rollup(spark, d):
 
 @query
 def context_budget(spark, d):
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 10).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 10).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return ed.within_budget(found, "qid", ["rank"], "n_chars", 2800).select("qid", "doc_id", "rank", "used")
 
 
@@ -369,11 +379,14 @@ def answer_confidence(spark, d):
 
 
 def judged(spark, d) -> DataFrame:
-    """The ten best documents of each question, relevant where the question's text stands in them."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.col("text").alias("body"))
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 10).join(questions(spark, d), "qid").join(docs, "doc_id")
-    rows = found.select("qid", "doc_id", "rank", "source", "lang", F.contains(F.lower("body"), F.lower("text")).alias("relevant"))
-    return rows.withColumn("n_expected", F.count_if("relevant").over(Window.partitionBy("qid")))
+    """The ten best documents of each question, relevant where the question's text stands in them, and how many of all
+    documents are."""
+    index, asked = serving(spark, d), questions(spark, d)
+    found = rt.ranked(rt.bm25(index, asked), 10).join(index.documents.select("doc_id", "source", "lang"), "doc_id")
+    holds = rt.containing(index, table(spark, d, "documents"), asked)
+    expected = holds.groupBy("qid").agg(F.count("*").alias("n_expected"))
+    rows = found.join(holds.withColumn("relevant", F.lit(True)), ["qid", "doc_id"], "left").join(expected, "qid", "left")
+    return rows.select("qid", "doc_id", "rank", "source", "lang", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n_expected", F.lit(0)).alias("n_expected"))
 
 
 @query
@@ -444,11 +457,9 @@ def metrics_last_1000(spark, d):
 
 @query
 def similarity_candidates(spark, d):
-    """The document that shares most words with each question, all on ties, among the twenty that BM25 finds."""
-    found = rt.ranked(rt.bm25(table(spark, d, "documents"), questions(spark, d)), 20).select("qid", "doc_id")
-    joined = found.join(questions(spark, d).select("qid", words(F.col("text")).alias("q")), "qid").join(table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("b")), "doc_id")
-    scored = joined.select("qid", "doc_id", F.size(F.array_intersect("q", "b")).cast("long").alias("shared"))
-    return scored.withColumn("_r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("shared")))).where("_r = 1").drop("_r")
+    """The document that shares most words with each question, all on ties, over all documents."""
+    members = F.array_distinct(words(F.col("text"))).alias("members")
+    return mt.best_overlaps(table(spark, d, "documents").select("doc_id", members), questions(spark, d).select("qid", members), mt.LANE_TEXTS)
 
 
 # content maps, state and streams

@@ -26,14 +26,14 @@ def both(sql: str):
 _SOLID = r"regexp_replace({}, '[ \t\n\r\x0b\x0c]+', '', 'g')"
 
 
-@both(f"""select doc_id, (length(text) + 3) // 4 as estimated_tokens, replace(lower(lang || '_X'), '_', '-') as language,
+@both(f"""select doc_id, (length(text) + 3) // 4 as estimated_tokens, replace(lower(trim(lang || '_X ')), '_', '-') as language,
 coalesce(nullif(trim(regexp_replace('.' || source || ' / ' || lang || '-', '[^A-Za-z0-9._-]+', '-', 'g'), '-.'), ''), 'none') as file_part,
 md5({_SOLID.format('text')}) as solid, md5(lower({_SOLID.format('text')})) as folded, md5(regexp_replace(lower(text), '[^0-9a-z㐀-鿿]+', '', 'g')) as letters from documents where text is not null""")
 def text_forms(spark, d):
     text = F.col("text")
     part = F.concat(F.lit("."), "source", F.lit(" / "), "lang", F.lit("-"))
     return table(spark, d, "documents").where("text is not null").select(
-        "doc_id", cm.estimated_tokens(text).alias("estimated_tokens"), cm.normal_language(F.concat("lang", F.lit("_X"))).alias("language"), cm.file_name_part(part, "none").alias("file_part"),
+        "doc_id", cm.estimated_tokens(text).alias("estimated_tokens"), cm.normal_language(F.concat(F.lit(" "), "lang", F.lit("_X\t"))).alias("language"), cm.file_name_part(part, "none").alias("file_part"),
         F.md5(cm.solid(text)).alias("solid"), F.md5(F.lower(cm.solid(text))).alias("folded"), F.md5(cm.letters_and_digits(text)).alias("letters"),
     )
 
@@ -44,7 +44,7 @@ def clock_forms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", cm.clock(F.col("turn") * 700.5 + F.col("conv_id") % 7 - 3).alias("clock"))
 
 
-_GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+_GRAMS = "case when length({0}) = 1 then [{0}] else list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) end"
 _BARE = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', '', 'g')"
 
 
@@ -60,15 +60,19 @@ def required_window_units(spark, d):
     return cm.required_units(rows, ["conv_id", "window"], "turn", F.col("turn") % 3 == 2)
 
 
-@both(f"""with w as (select conv_id, turn // 2 as "window", {_BARE} as t from conversations where turn % 2 = 0),
-g as (select conv_id, "window" // 2 as grp, "window" as place, t as own from w where "window" % 2 = 0),
-p as (select w.conv_id, w."window", g.grp, row_number() over (partition by w.conv_id, w."window" order by len(list_intersect({_GRAMS.format('t')}, {_GRAMS.format('own')})) desc, abs(w."window" - place), grp) as n from w join g using (conv_id))
+@both(f"""with w as (select conv_id, turn as "window", {_BARE} as t from conversations),
+g as (select conv_id, "window" // 3 as grp, t as own, case when "window" % 2 = 0 then ["window", "window" + 1] else ["window" + 2] end as claimed from w where "window" % 3 = 0),
+a as (select w.conv_id, w."window", g.grp, len(list_intersect({_GRAMS.format('t')}, {_GRAMS.format('own')})) as shared, list_contains(claimed, w."window") as claims, k,
+             list_min(list_transform(list_filter(claimed, lambda c: c <> w."window"), lambda c: abs(c - w."window"))) as far
+      from w join g using (conv_id) join (select conv_id, count(*) as k from w group by 1) using (conv_id)),
+b as (select *, bool_or(claims) over (partition by conv_id, "window") as some from a),
+p as (select *, row_number() over (partition by conv_id, "window" order by shared desc, coalesce(far, k), grp) as n from b where claims or not some)
 select conv_id, "window", grp as "group" from p where n = 1""")
 def window_assignment(spark, d):
-    """Every second turn as a window, every second window as an overview group."""
-    half = F.floor(F.col("turn") / 2).cast("long")
-    windows = table(spark, d, "conversations").where("turn % 2 = 0").select("conv_id", half.alias("window"), cm.word_bigrams(F.coalesce("text", F.lit(""))).alias("grams"))
-    groups = windows.where("window % 2 = 0").select("conv_id", F.floor(F.col("window") / 2).cast("long").alias("group"), F.col("window").alias("place"), "grams")
+    """Every turn as a window, every third one as an overview group that claims one or two windows."""
+    windows = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("window"), cm.word_bigrams(F.coalesce("text", F.lit(""))).alias("grams"))
+    claimed = F.when(F.col("window") % 2 == 0, F.array(F.col("window"), F.col("window") + 1)).otherwise(F.array(F.col("window") + 2))
+    groups = windows.where("window % 3 = 0").select("conv_id", F.floor(F.col("window") / 3).cast("long").alias("group"), claimed.alias("claimed"), "grams")
     return cm.assigned_groups(windows, groups, "conv_id")
 
 
@@ -89,11 +93,11 @@ def safety_terms(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(cm.matched_terms(F.col("text"), TERMS), ",").alias("terms"))
 
 
-@both("""with a as (select conv_id, turn, case turn % 6 when 1 then '不知道。' when 3 then chr(10) || '1. 【回答】 无法回答' || chr(10) when 5 then '- 不知道啊' else '' end || text as t from conversations where role = 'assistant' and text is not null),
+@both("""with a as (select conv_id, turn, case turn % 6 when 1 then '不知道。' when 3 then chr(10) || '1. 【回答】 无法回答' || chr(10) when 5 then case when conv_id % 2 = 0 then '- 不知道啊' else '[c1 | S0001] 不知道！' end else '' end || text as t from conversations where role = 'assistant' and text is not null),
 f as (select conv_id, turn, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')), lambda x: x <> '')[1] as l from a)
-select conv_id, turn, coalesce(regexp_matches(regexp_replace(regexp_replace(l, '^(?:[-*]|\\d+[.)、])\\s*', ''), '^【[^】]+】\\s*', ''), '^(?:不知道|无法回答)(?:[。！!]|$)'), false) as abstains from f""")
+select conv_id, turn, coalesce(regexp_matches(regexp_replace(regexp_replace(trim(regexp_replace(l, '\\[\\s*([A-Za-z0-9_-]+)\\s*\\|\\s*([^\\]]*)\\]', '', 'g')), '^(?:[-*]|\\d+[.)、])\\s*', ''), '^【[^】]+】\\s*', ''), '^(?:不知道|无法回答)(?:[。！!]|$)'), false) as abstains from f""")
 def abstention(spark, d):
-    mark = F.when(F.col("turn") % 6 == 1, "不知道。").when(F.col("turn") % 6 == 3, "\n1. 【回答】 无法回答\n").when(F.col("turn") % 6 == 5, "- 不知道啊").otherwise("")
+    mark = F.when(F.col("turn") % 6 == 1, "不知道。").when(F.col("turn") % 6 == 3, "\n1. 【回答】 无法回答\n").when(F.col("turn") % 6 == 5, F.when(F.col("conv_id") % 2 == 0, "- 不知道啊").otherwise("[c1 | S0001] 不知道！")).otherwise("")
     rows = table(spark, d, "conversations").where("role = 'assistant' and text is not null")
     return rows.select("conv_id", "turn", cm.abstains(F.concat(mark, "text")).alias("abstains"))
 

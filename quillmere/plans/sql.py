@@ -76,9 +76,11 @@ cl as (select conv_id, turn, line, len(regexp_extract_all(raw, '\\[S(\\d{4})\\]'
 claims as (select * from cl where claim <> '' and not starts_with(claim, '#'))"""
 _JUDGED = f"""{_BM},
 found as (select qid, doc_id, {_RANK} as rank from bm),
-judged as (select *, count(*) filter (relevant) over (partition by qid) as n_expected
-           from (select f.qid, f.doc_id, f.rank, d.source, d.lang, contains(lower(d.text), lower(q.text)) as relevant
-                 from found f join ({_QUESTIONS}) q using (qid) join documents d using (doc_id) where f.rank <= 10))"""
+expected as (select qid, count(d.doc_id) as n_expected from ({_QUESTIONS}) q left join documents d on contains(lower(d.text), lower(q.text)) group by qid),
+judged as (select f.qid, f.doc_id, f.rank, d.source, d.lang, contains(lower(d.text), lower(q.text)) as relevant, n_expected
+           from found f join ({_QUESTIONS}) q using (qid) join expected using (qid) join documents d using (doc_id) where f.rank <= 10)"""
+_BEST = """
+select qid, doc_id, shared from (select *, rank() over (partition by qid order by shared desc) as r from s where shared > 0) where r = 1"""
 _STALE = "stale as (select doc_id, sha256(case when lang = 'de' then text || '!' else text end) as digest from documents where source <> 'src3')"
 _PREDICTED = """
 pred as (select doc_id, lang, (length(text) - length(translate(text, '#*$%&|<>!', ''))) * 50 <= length(text) as a,
@@ -162,15 +164,14 @@ b as (select conv_id, turn, n, k, 0 as block, n as size from c where k = 1
 select conv_id, block::bigint as block, min(turn) as first_pos, max(turn) as last_pos, max(size)::bigint as n_chars from b group by conv_id, block""",
     "html_clean": rf"""select page_id, sha256({_squeeze("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")}) as digest from pages""",
     "language_rank": "select doc_id, case lang when 'de' then 0 when 'en' then 3 when 'fr' then 4 else 6 end::bigint as lang_rank from documents",
-    "char_bigram_overlap": rf"""with {_BM},
-found as (select qid, doc_id from (select qid, doc_id, {_RANK} as rank from bm) where rank <= 3),
-t as (select qid, doc_id, regexp_replace(lower(q.text), '[ \t\n\r]+', '', 'g') as a, regexp_replace(lower(d.text), '[ \t\n\r]+', '', 'g') as b from found join ({_QUESTIONS}) q using (qid) join documents d using (doc_id))
-select qid, doc_id, len(list_intersect(list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))), list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2)))))::bigint as shared from t""",
+    "char_bigram_overlap": rf"""with g as (select true as asked, item_id as id, regexp_replace(lower(text), '[ \t\n\r]+', '', 'g') as t from benchmark union all select false, doc_id, regexp_replace(lower(text), '[ \t\n\r]+', '', 'g') from documents where text is not null),
+m as (select asked, id, unnest(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) as g from g),
+s as (select q.id as qid, d.id as doc_id, count(*) as shared from m q join m d using (g) where q.asked and not d.asked group by 1, 2){_BEST}""",
     "claim_citations": f"with {_ANSWERS.lstrip()} select conv_id, turn, line::bigint as line, n_citations::bigint as n_citations, first_ref, sha256(claim) as digest from claims",
     "admission": "select source, count(*) as n_units, bool_and(n_chars > 40 and toxic = 0) as allowed from documents join labels using (doc_id) group by source",
     "output_gate": f"""with {_ANSWERS.lstrip()}
 select conv_id, case when bool_and(n_citations > 0) then 'allow' when bool_and(n_citations = 0) then 'block' else 'redact' end as action,
-       coalesce(string_agg((turn * 1000 + line)::varchar, ',' order by turn * 1000 + line) filter (n_citations = 0), '') as blocked_lines from claims group by conv_id""",
+       coalesce(string_agg(turn || '.' || line, ',' order by turn, line) filter (n_citations = 0), '') as blocked_lines from claims group by conv_id""",
     "safety_decision": """select doc_id, case when lang = 'es' and coalesce(toxic, 0) <> 1 then 'allow' when contains(lower(text), 'password') then 'block'
   when not coalesce(quality = 1, false) then 'block' when coalesce(toxic, 0) = 1 or contains(lower(text), 'licensed') then 'warn' else 'allow' end as decision
 from documents left join labels using (doc_id)""",
@@ -204,10 +205,8 @@ from (select event_type, strftime(ts, '%Y-%m-%d') as day, avg(value) as m from e
     "ab_delta": """select *, round(b - a, 5) as delta from (select event_type, round(avg(value) filter (day(ts) <= 15), 6) as a, round(avg(value) filter (day(ts) > 15), 6) as b from events group by event_type)""",
     "latency_percentiles": _NEAREST.format("events"),
     "metrics_last_1000": _NEAREST.format("(select * from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as k from events) where k <= 1000)"),
-    "similarity_candidates": f"""with {_BM},
-found as (select qid, doc_id from (select qid, doc_id, {_RANK} as rank from bm) where rank <= 20),
-s as (select qid, doc_id, len(list_intersect(list_distinct({_words("q.text")}), list_distinct({_words("d.text")})))::bigint as shared from found join ({_QUESTIONS}) q using (qid) join documents d using (doc_id))
-select qid, doc_id, shared from (select *, rank() over (partition by qid order by shared desc) as r from s) where r = 1""",
+    "similarity_candidates": f"""with {_POSTINGS.lstrip()}, asked as (select distinct qid, unnest({_words("text")}) as term from ({_QUESTIONS})),
+s as (select qid, doc_id, count(*) as shared from asked join post using (term) group by 1, 2){_BEST}""",
     "window_digests": f"""select conv_id, count(*) as n, sha256(string_agg(turn || ' ' || role || ' ' || {_squeeze("text")}, chr(10) order by turn)) as digest from conversations group by conv_id""",
     "required_units": """select conv_id, turn, n from (select conv_id, turn, length(text)::bigint as n, min(turn) over w as f, sum(length(text)) over w as s, count(text) over w as k from conversations window w as (partition by conv_id))
 where turn = f or n * k > s""",
