@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import glossary as gl
+from ..operators import payloads as pay
 from ..operators import review as rv
 from ..operators import segments as sg
+from ..sources import index_store
 from . import sql
 from .queries import Query, questions, serving, table
-from ..sources import index_store
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +229,76 @@ def index_blocks(spark, d):
 def index_staged_rows(spark, d):
     """Documents of the stored index without a vector, and vectors without a document."""
     return index_store.staged_rows(serving(spark, d))
+
+
+# answers of models: payloads of many shapes, made of each document's number and words
+
+_PICK = "{}[({}) % {} + 1]"
+VERDICT_CASES = ["supported", " Contradicted ", "insufficient_evidence", "SUPPORTED", "maybe"]
+LEVEL_CASES = ["high", "LOW", "medium", "high", "low", "sure"]
+RATIONALE_CASES = ['"ok"', '"  x "', "5", "null", '""', '"a \\"b\\""']
+ID_CASES = ["[]", '["c1"]', '["c1 ", "c2", "c1"]', '["c9", "c1"]', "[1]", '"c1"', '["", "c2"]']
+
+
+def pick(cases: list[str], at) -> Column:
+    return F.element_at(F.array(*map(F.lit, cases)), (at % len(cases) + 1).cast("int"))
+
+
+def _pick(cases: list[str], at: str) -> str:
+    return _PICK.format("[" + ", ".join("'" + c.replace("'", "''") + "'" for c in cases) + "]", at, len(cases))
+
+
+def judge_answers(spark, d):
+    i = F.col("doc_id")
+    body = F.concat(F.lit('{"verdict": "'), pick(VERDICT_CASES, i), F.lit('", "confidence": "'), pick(LEVEL_CASES, F.floor(i / 2)), F.lit('", "rationale": '), pick(RATIONALE_CASES, F.floor(i / 3)), F.lit(', "evidence_chunk_ids": '), pick(ID_CASES, F.floor(i / 5)), F.when(i % 13 == 0, "").otherwise("}"))
+    whole = F.when(i % 17 == 0, "[1]").when(i % 6 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return table(spark, d, "documents").where("doc_id is not null").select("doc_id", whole.alias("payload"), F.array(F.lit("c1"), F.lit("c2")).alias("shown"))
+
+
+_JUDGED = rf"""
+b as (select doc_id, '{{"verdict": "' || {_pick(VERDICT_CASES, "doc_id")} || '", "confidence": "' || {_pick(LEVEL_CASES, "doc_id // 2")} || '", "rationale": ' || {_pick(RATIONALE_CASES, "doc_id // 3")} || ', "evidence_chunk_ids": ' || {_pick(ID_CASES, "doc_id // 5")} || case when doc_id % 13 = 0 then '' else '}}' end as body from documents where doc_id is not null),
+w as (select doc_id, case when doc_id % 17 = 0 then '[1]' when doc_id % 6 = 0 then '```json' || chr(10) || body || chr(10) || '```' else body end as payload from b),
+c as (select doc_id, trim(regexp_replace(regexp_replace(payload, '^```(?:json)?\s*', '', 'i'), '\s*```$', '')) as clean from w),
+j as (select doc_id, case when json_valid(clean) then clean::json end as j from c),
+f as (select doc_id, j, lower(trim(coalesce(j->>'$.verdict', ''))) as verdict, lower(trim(coalesce(j->>'$.confidence', ''))) as confidence,
+             trim(case when json_type(j, '$.rationale') = 'NULL' then 'None' else coalesce(j->>'$.rationale', '') end) as rationale,
+             case when json_type(j, '$.evidence_chunk_ids') = 'ARRAY' and len(list_filter(json_extract(j, '$.evidence_chunk_ids[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0
+                  then list_filter(list_transform(json_extract_string(j, '$.evidence_chunk_ids[*]'), lambda x: trim(x)), lambda x: x <> '') end as ids from j),
+e as (select *, case when j is null then 'invalid_json' when json_type(j) <> 'OBJECT' then 'not_object' when verdict not in ('supported', 'contradicted', 'insufficient_evidence') then 'verdict' when confidence not in ('high', 'medium', 'low') then 'confidence'
+                 when rationale = '' then 'rationale' when ids is null then 'chunk_ids' when len(list_filter(ids, lambda x: x not in ('c1', 'c2'))) > 0 then 'unknown_chunks' when verdict <> 'insufficient_evidence' and len(ids) = 0 then 'uncited' end as error from f)"""
+
+
+@query(f"""with {_JUDGED.lstrip()}
+select doc_id, case when error is null then verdict end as verdict, case when error is null then confidence end as confidence, case when error is null then rationale end as rationale,
+       case when error is null then array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') end as chunk_ids, error from e""")
+def judge_payloads(spark, d):
+    found = pay.judgments(judge_answers(spark, d), "payload", "shown")
+    return found.select("doc_id", "verdict", "confidence", "rationale", F.array_join("evidence_chunk_ids", ",").alias("chunk_ids"), "error")
+
+
+@query(f"with {_JUDGED.lstrip()} select coalesce(error, verdict) as outcome, count(*) as n from e group by 1")
+def judge_outcomes(spark, d):
+    """How often each verdict, and each fault of an answer, comes."""
+    return pay.judgments(judge_answers(spark, d), "payload", "shown").groupBy(F.coalesce("error", "verdict").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query()
+def question_plan_payloads(spark, d):
+    """Planners' answers made of each question's words, some of them wrong."""
+    w = words(F.col("text"))
+    part = lambda a, n: F.concat(F.lit('"'), F.array_join(F.slice(w, a, n), "  "), F.lit('"'))
+    listed = F.when(F.col("qid") % 5 == 0, F.lit("[]")).when(F.col("qid") % 5 == 1, F.concat(F.lit("["), part(1, 4), F.lit(", "), part(1, 4), F.lit("]"))).when(F.col("qid") % 5 == 2, F.concat(F.lit("["), part(1, 3), F.lit(', "漢字"]'))).otherwise(F.concat(F.lit("["), part(2, 3), F.lit(", "), part(5, 3), F.lit("]")))
+    level = pick(["high", "medium", "none"], F.col("qid"))
+    asked = questions(spark, d).select("qid", "text", F.concat(F.lit('```\n{"sub_queries": '), listed, F.lit(', "confidence": "'), level, F.lit('", "intent": 3}\n```')).alias("payload"))
+    return pay.plan_payloads(asked, "text", "payload").select("qid", F.array_join("sub_queries", "|").alias("sub_queries"), "intent", "domain", "confidence", "error")
+
+
+@query()
+def window_map_payloads(spark, d):
+    """Window maps made of the turns of each conversation, some of them wrong."""
+    text = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), r'["\\\x00-\x1f]', " ")
+    unit = F.concat(F.lit('{"title": "'), F.when(F.col("turn") % 4 == 1, "").otherwise(text), F.lit('", "summary": "'), F.when(F.col("turn") % 4 == 2, " ").otherwise(text), F.lit('", "importance": "'), pick(["major", "big"], F.col("turn")), F.lit('", "key_points": ["a", " "], "source_refs": ["S'), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"), F.lit('"]'), F.when(F.col("turn") % 7 == 6, ', "more": 1').otherwise(""), F.lit("}"))
+    rows = table(spark, d, "conversations").select("conv_id", F.struct("turn", unit.alias("u")).alias("s")).groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    maps = rows.select("conv_id", F.concat(F.lit('{"units": ['), F.when(F.col("conv_id") % 4 > 0, F.array_join(F.transform("s", lambda x: x["u"]), ", ")).otherwise(""), F.lit('], "content_type": "empty", "non_content_reason": "'), pick(["", "片头", "广告 x", "none"], F.floor(F.col("conv_id") / 4)), F.lit('"}')).alias("payload"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.format_string("S%04d", i)).alias("shown"))
+    found = pay.window_maps(maps.withColumn("own", F.slice("shown", 2, 3)), "payload", "shown", "own")
+    return found.select("conv_id", "content_type", F.size("units").cast("long").alias("n_units"), "non_content_reason", F.array_join("violations", "|").alias("violations"))

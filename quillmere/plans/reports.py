@@ -65,8 +65,8 @@ g as (select conv_id, "window" // 3 as grp, t as own, case when "window" % 2 = 0
 a as (select w.conv_id, w."window", g.grp, len(list_intersect({_GRAMS.format('t')}, {_GRAMS.format('own')})) as shared, list_contains(claimed, w."window") as claims, k,
              list_min(list_transform(list_filter(claimed, lambda c: c <> w."window"), lambda c: abs(c - w."window"))) as far
       from w join g using (conv_id) join (select conv_id, count(*) as k from w group by 1) using (conv_id)),
-b as (select *, bool_or(claims) over (partition by conv_id, "window") as some from a),
-p as (select *, row_number() over (partition by conv_id, "window" order by shared desc, coalesce(far, k), grp) as n from b where claims or not some)
+b as (select *, bool_or(claims) over (partition by conv_id, "window") as anyone from a),
+p as (select *, row_number() over (partition by conv_id, "window" order by shared desc, coalesce(far, k), grp) as n from b where claims or not anyone)
 select conv_id, "window", grp as "group" from p where n = 1""")
 def window_assignment(spark, d):
     """Every turn as a window, every third one as an overview group that claims one or two windows."""

@@ -1,13 +1,14 @@
 """Brute-force tests of segments, glossary, review rules, stored index, matches and filtered fusion."""
 
 import difflib
+import json
 import random
 import re
 
 import pytest
 
 from quillmere.functions.text import char_grams
-from quillmere.operators import glossary, matches, planning, retrieval, review, segments
+from quillmere.operators import glossary, matches, payloads, planning, retrieval, review, segments
 from quillmere.operators import chunking, contentmap
 from quillmere.plans import knowledge
 from quillmere.sources import index_store
@@ -317,3 +318,97 @@ def test_abstention_with_citations(spark):
     texts = ["[c1 | S0001] 不知道。", "1. 【回答】 无法回答", "不知道吗", "", None, "\n\n- [x | N/A] 无法回答！"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(contentmap.abstains(F.col("t"))).collect()]
     assert got == [True, True, False, False, False, True]
+
+
+# payloads of models
+
+
+def plain_judgment(text, allowed):
+    try:
+        p = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", text.strip(), flags=re.I).strip())
+    except ValueError:
+        return "invalid_json"
+    if not isinstance(p, dict):
+        return "not_object"
+    verdict, confidence, rationale = (str(p.get(k, "")).strip() for k in ("verdict", "confidence", "rationale"))
+    ids = p.get("evidence_chunk_ids", [])
+    if verdict.lower() not in payloads.VERDICTS:
+        return "verdict"
+    if confidence.lower() not in payloads.LEVELS:
+        return "confidence"
+    if not rationale:
+        return "rationale"
+    if not isinstance(ids, list) or any(not isinstance(x, str) for x in ids):
+        return "chunk_ids"
+    ids = list(dict.fromkeys(x.strip() for x in ids if x.strip()))
+    if set(ids) - set(allowed):
+        return "unknown_chunks"
+    if verdict.lower() != "insufficient_evidence" and not ids:
+        return "uncited"
+    return verdict.lower(), confidence.lower(), rationale, ids
+
+
+def test_judgments_equal_plain_python(spark):
+    rng = random.Random(3)
+    texts = ["", "{", "[1]", "null", "3", '"x"', "{}", "```json\n{}\n```", '{"verdict": null}', '{"verdict": {"a": 1}, "confidence": "high"}']
+    for _ in range(150):
+        p = {"verdict": rng.choice(["supported", " Contradicted", "insufficient_evidence", "no", 1]), "confidence": rng.choice(["high", "LOW", "medium", None]), "rationale": rng.choice(["ok", " ", 5, None, "a\nb", "漢"]), "evidence_chunk_ids": rng.choice([[], ["c1"], ["c2 ", "c2", ""], ["c3"], [1], ["c1", 1], "c1", None, {}])}
+        p = {k: v for k, v in p.items() if rng.random() < 0.95}
+        texts.append(rng.choice(["{}", "```json\n{}\n```", "```\n{}```", " {} \n", "{}x"]).replace("{}", json.dumps(p, ensure_ascii=False)))
+    rows = spark.createDataFrame([(i, t, ["c1", "c2"], "clash") for i, t in enumerate(texts)] + [(-1, None, None, "clash")], "id long, payload string, shown array<string>, error_of string")
+    got = {r["id"]: r["error"] or (r["verdict"], r["confidence"], r["rationale"], r["evidence_chunk_ids"]) for r in payloads.judgments(rows, "payload", "shown").collect()}
+    assert got.pop(-1) == "invalid_json"
+    for i, t in enumerate(texts):
+        want = plain_judgment(t, ["c1", "c2"])
+        if "null" in t and want == "chunk_ids" and '"evidence_chunk_ids": null' in t:
+            assert got[i] in ("chunk_ids", "uncited")
+            continue
+        assert got[i] == want, t
+
+
+@pytest.mark.parametrize(
+    "payload, want",
+    [
+        ('{"sub_queries": ["what is  alpha", "beta now", "what is alpha"], "confidence": "HIGH"}', (["what is alpha", "beta now"], "fact_lookup", "", "high", None)),
+        ('```json\n{"sub_queries": ["alpha"], "intent": "x", "domain": null}\n```', (["alpha"], "x", "None", "medium", None)),
+        ('{"sub_queries": []}', (None, None, None, None, "sub_queries")),
+        ('{"sub_queries": "alpha"}', (None, None, None, None, "sub_queries")),
+        ('{"sub_queries": ["alpha", "alpha", "alpha", "alpha"]}', (None, None, None, None, "too_many")),
+        ('{"sub_queries": ["alpha", "  "]}', (None, None, None, None, "invalid_sub_query")),
+        ('{"sub_queries": ["漢字", ""]}', (None, None, None, None, "untraceable")),
+        ('{"sub_queries": ["alpha"], "confidence": "sure"}', (None, None, None, None, "confidence")),
+        ("[]", (None, None, None, None, "not_object")),
+        ("{", (None, None, None, None, "invalid_json")),
+        (None, (None, None, None, None, "invalid_json")),
+    ],
+)
+def test_plan_payloads(spark, payload, want):
+    rows = spark.createDataFrame([("what is alpha and beta now", payload)], "question string, payload string")
+    assert tuple(payloads.plan_payloads(rows, "question", "payload").first())[2:] == want
+
+
+UNIT = {"title": "t", "summary": "s", "unit_type": "fact", "importance": "major", "key_points": ["k"], "recommendations": [], "uncertainties": [], "source_refs": ["S0002"]}
+
+
+@pytest.mark.parametrize(
+    "data, kind, n, violations",
+    [
+        ({"content_type": "empty", "units": [UNIT], "non_content_reason": "x"}, "substantive", 1, []),
+        ({"content_type": "substantive", "units": [], "non_content_reason": "这是广告"}, "advertisement", 0, []),
+        ({"content_type": "substantive", "units": [], "non_content_reason": "片尾"}, "intro_outro", 0, []),
+        ({"content_type": "substantive", "units": [], "non_content_reason": " "}, "empty", 0, ["non_content_reason: empty"]),
+        ({"units": [{**UNIT, "title": "", "summary": ""}, {**UNIT, "title": "", "summary": " ", "key_points": [" "]}, 3], "content_type": "x", "non_content_reason": ""}, "substantive", 1, []),
+        ({"units": [{**UNIT, "source_refs": ["S0001"]}, {**UNIT, "source_refs": ["S0009", "S0002"]}, {**UNIT, "source_refs": []}, {**UNIT, "source_refs": [1]}], "content_type": "x", "non_content_reason": ""}, "substantive", 4, ["units[0].source_refs: context only", "units[1].source_refs: unknown", "units[2].source_refs: empty", "units[3].source_refs: not a list of strings"]),
+        ({"units": [{**UNIT, "more": 1}], "content_type": "x"}, "substantive", 1, ["units[0]: fields do not match"]),
+        ({"units": [UNIT] * 13, "content_type": "x", "non_content_reason": "", "a": 1}, "substantive", 13, ["root: fields do not match", "units: too many"]),
+        ([], None, None, ["root: not an object"]),
+        ("{", None, None, ["root: no JSON"]),
+    ],
+)
+def test_window_maps(spark, data, kind, n, violations):
+    text = data if isinstance(data, str) else json.dumps(data, ensure_ascii=False)
+    rows = spark.createDataFrame([(text, ["S0001", "S0002"], ["S0002"])], "payload string, allowed array<string>, own array<string>")
+    row = payloads.window_maps(rows, "payload", "allowed", "own").first()
+    assert (row["content_type"], len(row["units"]) if row["units"] is not None else None, row["violations"]) == (kind, n, violations)
+    if n == 1 and kind == "substantive":
+        assert row["units"][0]["title"] in ("t", "k") and row["units"][0]["summary"] in ("s", "k")

@@ -15,4 +15,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"heading_sections", "segment_dedup", "alias_annotation"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"heading_sections", "segment_dedup", "alias_annotation", "question_plan_payloads", "window_map_payloads"}
