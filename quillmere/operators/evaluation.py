@@ -41,28 +41,24 @@ def agreement(rows: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(a.eqNullSafe(b)).alias("agree")).withColumn("rate", F.round(F.col("agree") / F.col("n"), 6))
 
 
-#: Ranges of values that ranks are looked up in.
-RANGES = 256
-
-
-def _range_of(value: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of the value's range, by binary search over upper bounds."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value <= F.lit(bounds[mid]), _range_of(value, bounds, lo, mid)).otherwise(_range_of(value, bounds, mid + 1, hi))
+#: Ranges of values that ranks are looked up in, in so many groups.
+RANGES, GROUPS = 256, 16
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(by, n, one column a share): the value at index round((n - 1) * share), half to even, of the sorted values.
 
-    Equal values are counted first. Bounds of RANGES ranges over all values come to the driver; counts of the ranges tell
-    which hold a wanted rank, and only their values are sorted, range by range. The bounds needn't be exact.
+    Equal values are counted first. A sketch of each group gives the bounds of RANGES ranges; counts of the ranges tell
+    which hold a wanted rank, and only their values are sorted, range by range. The bounds needn't be exact. One plan, and
+    nothing runs before it does.
     """
     known = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).alias("value"))
-    steps = [k / RANGES for k in range(1, RANGES)]
-    bounds = sorted(set(known.agg(F.percentile_approx("value", steps)).first()[0] or []))
-    counts = known.groupBy("by", "value").agg(F.count("*").alias("c")).withColumn("range", _range_of(F.col("value"), bounds, 0, len(bounds)))
+    step = RANGES // GROUPS
+    sketch = known.groupBy(F.col("by").alias("_by")).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)]).alias("bounds"))
+    sketch = sketch.withColumn("coarse", F.transform(F.sequence(F.lit(1), F.lit(GROUPS - 1)), lambda k: F.element_at("bounds", k * step)))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("value")))
+    counts = known.groupBy("by", "value").agg(F.count("*").alias("c")).join(sketch, F.col("by").eqNullSafe(F.col("_by"))).withColumn("_group", below("coarse"))
+    counts = counts.withColumn("range", F.col("_group") * step + below(F.slice("bounds", F.col("_group") * step + 1, step))).select("by", "value", "c", "range")
     every = Window.partitionBy("by")
     upto = every.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     pieces = counts.groupBy("by", "range").agg(F.sum("c").alias("m")).withColumns({"end": F.sum("m").over(upto), "n": F.sum("m").over(every)})
