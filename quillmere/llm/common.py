@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import materialize, new_path, shared_dir
+
+__all__ = ["materialize", "new_path", "shared_dir"]
 #: Fixed odd multipliers for the hashes below.
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset and the master is local, a temporary
-    folder stands in; elsewhere executors could not see that, so it is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillmere/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the machine, as workers live on beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

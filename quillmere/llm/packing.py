@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Pieces that wait in a task at most, and after a round of packing.
 POOL, POOL_LOW = 4096, 1024
 CACHE_ENTRIES = 1_000_000
@@ -38,7 +40,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _caches: dict[str, tuple] = {}
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, most: int = CACHE_ENTRIES) -> list[bytes]:
     """Little-endian 32-bit ids of each whole text.
 
     The vocabulary drops white space and splits at it, so the pieces between spaces and line feeds are encoded once and
@@ -60,7 +62,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             t = t if any(x in low for x in special) else low
         split.append(t.replace("\n", " ").split(" "))
     new = {c for chunks in split for c in chunks if c not in cache}
-    if len(cache) + len(new) > CACHE_ENTRIES:
+    if len(cache) + len(new) > most:
         cache.clear()
         cache[""] = b""
         new = {c for chunks in split for c in chunks if c}
@@ -173,11 +175,11 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of documents with their places in sequences of at most `capacity` tokens.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the piece's little-endian 32-bit
-    ids; null where with_ids is false).
+    ids; null where with_ids is false). cache_entries: pieces of text that a worker keeps with their ids.
     """
     end = end_id.to_bytes(4, "little")
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
@@ -202,12 +204,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, with
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()], path)):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()], path, cache_entries)):
                     packer.add(doc_id, ids + end)
                 if packer.out:
                     yield rows()
         packer.drain(0)
         yield rows()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -2,18 +2,19 @@
 
 Voters are lexicon terms and text patterns. A fixed list of insults and patterns comes first; further terms (words and
 word beginnings) are chosen by their lift among labelled training rows. A generative label model over the votes is fitted
-by expectation maximisation on a bounded sample of all documents, without any label: for each voter, how often it fires on
-toxic and on clean documents; from the residuals that the posterior leaves, how voters correlate. Voters that depend on
-each other make a block, which has one vote: how many of its members fire, in LEVELS, with rates of its own. So near-copies
-of a voter, or the terms of one language, count once. The posterior, not the labels, is what the linear classifier is
-trained on, over term features of the same sample. Labels serve to choose voters and, in the end, to
-calibrate: a scale and a shift of the classifier's log-odds are fitted on the labelled training rows, and its weights are
-fitted once more under a ridge that pulls each to its scaled value.
-
-Bounded: terms are counted over TRAIN_ROWS labelled rows at most, and those that fewer than LEAST_TOXIC toxic rows have,
-or that come after the CANDIDATES most frequent ones, are no candidates; the label model and the classifier are fitted on
-these rows and POOL_ROWS others (both drawn by hash), with VOTERS voters and FEATURES terms. Scoring covers every row and
-whole texts. Mining counts terms with map-side combining.
+by expectation maximisation on a bounded sample of rows, without their labels: for each voter, how often it fires on toxic
+and on clean documents; from the residuals that the posterior leaves, how voters correlate. Voters that depend on each
+other make a block, which has one vote: how many of its members fire, in LEVELS, with rates of its own. So near-copies of a
+voter, or the terms of one language, count once. A block with a voter that was chosen for its lift is taken to have that
+lift at least where most of its members fire; without this a block that never fires along with others, as that of a rare
+language, would be taken for noise. The posterior, not the labels, is what the linear classifier is trained on, over term
+features of the same sample. Labels serve to choose voters and terms, and to calibrate two numbers: a scale and a shift of
+the classifier's log-odds.
+
+Bounded: terms are counted, and the label model and the classifier fitted, over TRAIN_ROWS labelled rows at most, drawn by
+hash; terms that fewer than LEAST_TOXIC toxic rows have, or that come after the CANDIDATES most frequent ones, are no
+candidates; there are VOTERS voters and FEATURES terms at most. Scoring covers every row and whole texts. Mining counts
+terms with map-side combining.
 
 Defined results: a null or empty text is scored like a text without terms; repeated rows get equal scores; without usable
 labels the fixed voters alone make the model; an empty table gives an empty result; extra columns are ignored, and kept
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 
 #: Bounds of the fit.
-TRAIN_ROWS, POOL_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 12_000, 160, 512, 5, 50_000
+TRAIN_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 160, 512, 5, 50_000
 #: A term needs LEAST_TOXIC toxic rows and this share of them.
 LEAST_SHARE = 0.01
 #: A mined voter is this many times as frequent among toxic rows, at least, by two standard errors below the estimate.
@@ -45,11 +46,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Shares of a text's words, in per cent, from which a beginning seen at least twice brings a further term.
 DENSITIES = (1, 3)
 PREDICT_AT = 0.3
-#: EM rounds, ridge and Newton rounds of the classifier, and the ridge of its calibration.
-EM_ROUNDS, RIDGE, NEWTON_ROUNDS, PULL = 30, 0.1, 20, 0.3
+#: EM rounds, ridge and Newton rounds of the classifier.
+EM_ROUNDS, RIDGE, NEWTON_ROUNDS = 30, 0.1, 20
 #: Posterior that EM starts from where two or more, one, or no voters fire; correlation from which two voters depend on each
 #: other; rounds in which blocks are formed; and the counts of firing members that part a block's levels.
-START, DEPENDENT, BLOCK_ROUNDS, LEVELS = (0.9, 0.1, 0.02), 0.2, 3, (1, 2, 4)
+START, DEPENDENT, BLOCK_ROUNDS, LEVELS = (0.9, 0.1, 0.02), 0.2, 3, (1, 3)
 WORD = re.compile(r"\w+")
 #: Common English insults.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "garbage", "filthy", "vermin", "jerk", "imbecile", "hate"]
@@ -126,13 +127,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, limit: int = TRA
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id")
 
 
-def pool_rows(docs: DataFrame, limit: int = POOL_ROWS) -> DataFrame:
-    """text of about `limit` documents at most, drawn by hash of doc_id and text whatever their labels."""
-    share = min(1.0, limit / max(docs.count(), 1))
-    spot = F.pmod(F.xxhash64("doc_id", "text", F.lit("pool")), F.lit(1_000_000))
-    return docs.where(spot < int(share * 1_000_000)).select("text")
-
-
 def _count_terms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     """term and the number of texts that have it, combined within each task."""
 
@@ -170,7 +164,7 @@ def mine_terms(train: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def presence(rows: DataFrame, terms: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """toxic (-1 where it isn't known) of the bounded sample's rows, and the sorted numbers of the terms each has."""
+    """toxic of the bounded sample's rows, and the sorted numbers of the terms each has."""
     number = {t: k for k, t in enumerate(terms)}
     known = set(terms)
 
@@ -195,13 +189,15 @@ def blocks_of(corr: np.ndarray) -> np.ndarray:
         block = least
 
 
-def label_model(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of toxic, rate of firing on toxic, rate on clean, correlations) by expectation maximisation over votes
     alone; no label is seen.
 
-    votes: rows by voters, 1 where a voter fires. The start is the majority vote: START.
+    votes: rows by voters, 1 where a voter fires; chosen: whether a voter was chosen for a lift of VOTER_LIFT. The start is
+    the majority vote: START.
     """
     n, m = votes.shape
+    chosen = np.zeros(m, bool) if chosen is None else chosen
     v = votes.astype(np.float64)
     p = np.array(START)[2 - np.minimum(v.sum(axis=1), 2).astype(int)]
     corr, block = np.eye(m), np.arange(m)
@@ -221,54 +217,65 @@ def label_model(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             clean = np.bincount(level, 1 - p, len(LEVELS) + 1) + 0.5 * (1 - prior)
             evidence = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
             evidence[1:] = np.maximum(evidence[1:], 0.0)  # voters are taken to be no worse than chance
+            if chosen[block == one].any():
+                evidence[-1] = max(evidence[-1], np.log(VOTER_LIFT))
             odds += evidence[level]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p, on, off, corr
 
 
-def logistic(x: np.ndarray, target: np.ndarray, pull: np.ndarray | None = None, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Newton steps, with a ridge that pulls weights to `pull` (default 0); x is
-    rows by terms, bounded by the training sample."""
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps, with a ridge; x is rows by terms, bounded by the training
+    sample."""
     n, m = x.shape
     x1 = np.concatenate([x, np.ones((n, 1), np.float32)], axis=1)
-    base = np.zeros(m + 1) if pull is None else np.append(pull, 0.0)
-    w = base.copy()
+    w = np.zeros(m + 1)
     w[m] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
     weight = np.full(m + 1, ridge)
     weight[m] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float((np.logaddexp(0.0, z) - target * z).sum() + (weight * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(NEWTON_ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - target) + weight * (w - base)
+        grad = x1.T @ (p - target) + weight * w
         curve = (x1 * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]).T @ x1 + np.diag(weight)
-        move = np.linalg.solve(curve, grad)
-        w -= move * min(1.0, 4.0 / (np.abs(move).max() + 1e-12))
+        move, step = np.linalg.solve(curve, grad), 1.0
+        while (then := loss(w - step * move)) > now and step > 1e-6:  # no step may lead upwards
+            step /= 2
+        if then >= now - 1e-9 * abs(now):
+            break
+        w, now = w - step * move, then
     return w[:m], float(w[m])
 
 
 def calibrate(x: np.ndarray, labels: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept that fit the labels: log-odds scaled (not below 0) and shifted, then weights under PULL."""
+    """Weights and intercept with log-odds scaled (not below 0) and shifted to fit the labels: two numbers."""
     z = x @ w + b
-    scale, _ = logistic(z[:, None].astype(np.float32), labels.astype(np.float64))
-    return logistic(x, labels.astype(np.float64), w * max(float(scale[0]), 0.0), PULL)
+    middle, spread = float(z.mean()), float(z.std()) + 1e-9
+    scale, shift = logistic(((z - middle) / spread)[:, None].astype(np.float32), labels.astype(np.float64))
+    by = max(float(scale[0]), 0.0) / spread
+    return w * by, (b - middle) * by + shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out) -> Model:
-    """Voters chosen, label model and classifier fitted on the bounded sample, and calibrated on its labelled rows."""
+    """Voters chosen, label model and classifier fitted on the bounded sample without its labels, then calibrated."""
     train = materialize(training_rows(docs, labels, held_out), "train")  # bounded; read again rather than drawn again
     mined, features = mine_terms(train)
     voters = list(dict.fromkeys([*INSULTS, *PATTERNS, *mined]))
     terms = list(dict.fromkeys([*voters, *features]))
-    sample = train.select("text", "toxic").unionByName(pool_rows(docs).withColumn("toxic", F.lit(-1)))
-    toxic, rows = presence(sample, terms)
-    known = toxic >= 0
-    if not known.any():  # no labels: each fixed voter alone makes a text toxic
+    toxic, rows = presence(train.select("toxic", "text"), terms)
+    if not len(toxic):  # no labels: each fixed voter alone makes a text toxic
         return Model(dict.fromkeys([*INSULTS, *PATTERNS], 6.0), -3.0)
     present = np.zeros((len(rows), len(terms)), np.float32)
     for k, r in enumerate(rows):
         present[k, r] = 1
-    posterior, on, off, corr = label_model(present[:, : len(voters)])
+    posterior, on, off, corr = label_model(present[:, : len(voters)], np.isin(voters, mined))
     w, b = logistic(present, posterior)
-    w, b = calibrate(present[known], toxic[known], w, b)
+    w, b = calibrate(present, toxic, w, b)
     weights = {t: float(w[k]) for k, t in enumerate(terms) if abs(w[k]) > 1e-6}
     pairs = {(voters[i], voters[j]): float(corr[i, j]) for i, j in zip(*np.nonzero(np.triu(np.abs(corr) > DEPENDENT, 1)))}
     return Model(weights, b, {t: (float(on[k]), float(off[k])) for k, t in enumerate(voters)}, pairs)
@@ -299,6 +306,7 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFra
         lookup = TermLookup(set(model.weights))
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(place).to_pylist(), model, lookup) < at))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -457,6 +457,41 @@ def test_labels_do_not_make_the_posterior(spark):
     assert model.accuracies["idiot"][0] > 0.3 > 0.05 > model.accuracies["idiot"][1]
 
 
+def test_label_model_makes_the_scores(spark, monkeypatch):
+    """Without the label model's posterior, nothing is left but one score; labels only scale and shift."""
+    texts = [prose(5000 + i, 30) + (" idiot moron scum zorgle" if i % 5 == 0 else "") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts)
+    fitted = toxicity.fit(docs, labels, toxicity.is_held_out)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, fitted).collect()}
+    assert min(scores[i] for i in range(0, 300, 5)) > max(scores[i] for i in range(300) if i % 5)
+    model = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, chosen=None: (np.full(len(votes), 0.2), *model(votes, chosen)[1:]))
+    blank = [r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, toxicity.is_held_out)).collect()]
+    assert max(blank) - min(blank) < 0.02
+
+
+def test_rare_blocks_that_were_chosen_count():
+    """Voters of a language of its own never fire along with others; if chosen for their lift they still count."""
+    rng = np.random.default_rng(1)
+    toxic, other = rng.random(5000) < 0.12, rng.random(5000) < 0.1
+    votes = np.zeros((5000, 8), bool)
+    votes[:, :4] = (toxic & ~other)[:, None] & (rng.random((5000, 4)) < 0.7)
+    votes[:, 4:] = (toxic & other)[:, None] & (rng.random((5000, 1)) < 0.9) & (rng.random((5000, 4)) < 0.95)
+    p = toxicity.label_model(votes, np.ones(8, bool))[0]
+    assert (p[votes[:, 4:].sum(axis=1) >= 3] > 0.5).all() and (p[votes[:, :4].sum(axis=1) >= 3] > 0.5).all()
+    assert (p[~votes.any(axis=1)] < 0.2).all()
+
+
+@data
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic in (0, 1)").collect()
+    toxic, clean = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert len(toxic) >= 50 and auc >= 0.97
+
+
 def test_drop_toxic_keeps_columns_of_any_name(spark):
     model = toxicity.Model({"idiot": 6.0}, -3.0)
     docs = spark.createDataFrame([(1, "idiot", 0.5, "a"), (2, "kind", None, None), (2, "kind", None, None), (3, None, 0.1, "c")], "doc_id long, text string, score double, terms string")
