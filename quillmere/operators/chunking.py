@@ -6,6 +6,8 @@ folds over the lengths of one document's lines; the texts themselves stay in SQL
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,19 +69,21 @@ def sentence_runs(sizes: list[int], limit: int) -> list[tuple[int, int, int]]:
     return runs
 
 
+def packed_text(text: str | None, limit: int) -> list[str]:
+    """The chunks of one text."""
+    own = [x for x in (part.strip(" \t\n\r") for part in re.split(SENTENCE_END, text or "")) if x]
+    return ["".join(own[first : last + 1]) if cut < 0 else own[first][cut : cut + limit] for first, last, cut in sentence_runs([len(x) for x in own], limit)]
+
+
 def packed(rows: DataFrame, text: str = "text", limit: int = MAX_CHARS) -> DataFrame:
     """rows with `piece` (from 0) and `chunk`: the text's sentences packed into chunks of up to `limit` characters."""
 
-    @F.pandas_udf("array<struct<first:int,last:int,cut:int>>")
-    def runs(sizes: pd.Series) -> pd.Series:
-        return sizes.map(lambda own: [dict(zip(("first", "last", "cut"), r)) for r in sentence_runs(list(own), limit)])
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: packed_text(x, limit))
 
-    sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END), trim_all), lambda x: x != "")
-    held = rows.withColumn("_s", sentences).withColumn("_runs", runs(F.transform("_s", F.char_length)))
-    out = held.select(*rows.columns, "_s", F.posexplode("_runs").alias("piece", "_r"))
-    whole = F.array_join(F.slice("_s", F.col("_r.first") + 1, F.col("_r.last") - F.col("_r.first") + 1), "")
-    cut = F.substring(F.element_at("_s", F.col("_r.first") + 1), F.col("_r.cut") + 1, F.lit(limit))
-    return out.select(*rows.columns, F.col("piece").cast("long").alias("piece"), F.when(F.col("_r.cut") < 0, whole).otherwise(cut).alias("chunk"))
+    out = rows.select(*rows.columns, F.posexplode(chunks(F.coalesce(F.col(text), F.lit("")))).alias("piece", "chunk"))
+    return out.withColumn("piece", F.col("piece").cast("long"))
 
 
 def section_chunks(docs: DataFrame) -> DataFrame:
