@@ -10,6 +10,7 @@ from ..operators import glossary as gl
 from ..operators import payloads as pay
 from ..operators import review as rv
 from ..operators import segments as sg
+from ..sources import audits as ad
 from ..sources import index_store
 from . import sql
 from .queries import Query, questions, serving, table
@@ -302,3 +303,58 @@ def window_map_payloads(spark, d):
     maps = rows.select("conv_id", F.concat(F.lit('{"units": ['), F.when(F.col("conv_id") % 4 > 0, F.array_join(F.transform("s", lambda x: x["u"]), ", ")).otherwise(""), F.lit('], "content_type": "empty", "non_content_reason": "'), pick(["", "片头", "广告 x", "none"], F.floor(F.col("conv_id") / 4)), F.lit('"}')).alias("payload"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.format_string("S%04d", i)).alias("shown"))
     found = pay.window_maps(maps.withColumn("own", F.slice("shown", 2, 3)), "payload", "shown", "own")
     return found.select("conv_id", "content_type", F.size("units").cast("long").alias("n_units"), "non_content_reason", F.array_join("violations", "|").alias("violations"))
+
+
+# evidence audits: each conversation as an answered question that rests on some documents
+
+NOW_DAYS = 40
+
+
+def audit_results(spark, d, changed: bool = False):
+    """Each document as evidence of one conversation; changed: as the index is later."""
+    n = table(spark, d, "conversations").select("conv_id").distinct().count()
+    docs = table(spark, d, "documents")
+    if changed:
+        docs = docs.where("source <> 'src3'").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    text = lambda c, value=None: F.lit(value).cast("string").alias(c)
+    return docs.select(
+        F.pmod("doc_id", F.lit(max(n, 1))).alias("conv_id"), F.lit(1).alias("rank"), F.concat(F.lit(" d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("document_id"), text("video_id"), "text", F.col("lang").alias("chunk_type"),
+        text("risk_level"), text("review_status", ""), F.lit(None).cast("boolean").alias("source_of_truth"), text("answer_policy", "direct"), F.array(F.col("lang"), F.col("lang")).alias("source_refs"),
+    )
+
+
+def audits(spark, d):
+    units = ad.evidence_units(audit_results(spark, d), ["conv_id"])
+    claim = F.struct(F.concat(F.lit("C"), F.substring("evidence_id", 4, 20)).alias("claim_id"), F.array(F.col("evidence_id")).alias("evidence_unit_ids"))
+    per = units.groupBy("conv_id").agg(F.collect_list(F.struct("evidence_id", "evidence_fingerprint")).alias("evidence_units"), F.collect_list(claim).alias("claims"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).join(per, "conv_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    created = (F.col("conv_id") % NOW_DAYS) * ad.DAY_US + F.col("conv_id") * 1000
+    return rows.select(F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("audit_id"), created.alias("created_us"), F.when(F.col("conv_id") % 2 == 0, "g1").otherwise("g2").alias("index_generation"), "question", F.lit("").alias("answer"), empty("claims", "array<struct<claim_id:string,evidence_unit_ids:array<string>>>"), empty("evidence_units", "array<struct<evidence_id:string,evidence_fingerprint:string>>"), F.lit("allow").alias("gate"))
+
+
+_AUDIT = f"""
+u as (select doc_id % (select count(distinct conv_id) from conversations) as conv_id, 'E:d' || doc_id as e, doc_id, case when source = 'src3' then 'missing' when doc_id % 7 = 0 and text is not null then 'changed' end as state from documents),
+p as (select conv_id, count(*) as n, coalesce(string_agg(e, ',' order by e) filter (state = 'changed'), '') as changed, coalesce(string_agg(e, ',' order by e) filter (state = 'missing'), '') as missing,
+             coalesce(string_agg('C' || doc_id, ',' order by 'C' || doc_id) filter (state is not null), '') as affected from u group by 1),
+s as (select 'a' || c.conv_id as audit_id, case when coalesce(changed, '') <> '' or coalesce(missing, '') <> '' then 'invalidated' when c.conv_id % 2 = 0 then 'generation_changed' when n is null then 'not_applicable' else 'current' end as status,
+             floor(({NOW_DAYS} * 86400000000 - (c.conv_id % {NOW_DAYS} * 86400000000 + c.conv_id * 1000)) * 1000.0::double / 86400000000) / 1000 as age_days,
+             {NOW_DAYS} * 86400000000 - (c.conv_id % {NOW_DAYS} * 86400000000 + c.conv_id * 1000) >= 14 * 86400000000 as expired, coalesce(affected, '') as affected_claim_ids, coalesce(changed, '') as changed, coalesce(missing, '') as missing
+      from (select distinct conv_id from conversations) c left join p using (conv_id))"""
+
+
+def _scanned(spark, d):
+    current = ad.evidence_units(audit_results(spark, d, changed=True), ["conv_id"])
+    return ad.scan(audits(spark, d), current, "g2", NOW_DAYS * ad.DAY_US, 14)
+
+
+@query(f"with {_AUDIT.lstrip()} select * from s")
+def evidence_audit_scan(spark, d):
+    return _scanned(spark, d).withColumns({c: F.array_join(c, ",") for c in ("affected_claim_ids", "changed", "missing")})
+
+
+@query(f"""with {_AUDIT.lstrip()}
+select count(*) as total, count(*) filter (status = 'current') as current, count(*) filter (status = 'generation_changed') as generation_changed, count(*) filter (status = 'invalidated') as invalidated,
+       count(*) filter (status = 'not_applicable') as not_applicable, count(*) filter (expired) as expired, case when bool_or(status = 'invalidated' or expired) then 'attention_required' else 'ok' end as status from s""")
+def evidence_audit_health(spark, d):
+    return ad.health(_scanned(spark, d))

@@ -11,7 +11,7 @@ from quillmere.functions.text import char_grams
 from quillmere.operators import glossary, matches, payloads, planning, retrieval, review, segments
 from quillmere.operators import chunking, contentmap
 from quillmere.plans import knowledge
-from quillmere.sources import index_store
+from quillmere.sources import audits, index_store
 from pyspark.sql import functions as F
 
 
@@ -412,3 +412,52 @@ def test_window_maps(spark, data, kind, n, violations):
     assert (row["content_type"], len(row["units"]) if row["units"] is not None else None, row["violations"]) == (kind, n, violations)
     if n == 1 and kind == "substantive":
         assert row["units"][0]["title"] in ("t", "k") and row["units"][0]["summary"] in ("s", "k")
+
+
+# evidence audits
+
+UNIT_FIELDS = "conv_id long, rank int, chunk_id string, document_id string, video_id string, text string, chunk_type string, risk_level string, review_status string, source_of_truth boolean, answer_policy string, source_refs array<string>, retrieval_role string"
+
+
+def units(spark, *rows):
+    base = {"conv_id": 1, "rank": 1, "chunk_id": "raw-1", "document_id": "d", "video_id": "v", "text": "t", "chunk_type": "raw", "risk_level": None, "review_status": "approved", "source_of_truth": True, "answer_policy": "direct", "source_refs": ["S0002", "S0001"], "retrieval_role": "primary"}
+    data = [tuple({**base, **r}[f.split()[0]] for f in UNIT_FIELDS.split(", ")) for r in rows]
+    return audits.evidence_units(spark.createDataFrame(data, UNIT_FIELDS), ["conv_id"])
+
+
+def test_evidence_units(spark):
+    found = units(spark, {}, {"rank": 2, "text": "later"}, {"chunk_id": " b "}, {"chunk_id": " "}, {"chunk_id": None}).collect()
+    assert sorted((r["evidence_id"], r["text"], r["risk_level"]) for r in found) == [("E:b", "t", "low"), ("E:raw-1", "t", "low")]
+    prints = [units(spark, r).first()["evidence_fingerprint"] for r in ({}, {"retrieval_role": "raw_backtrace"}, {"source_refs": ["S0001", "S0002", "S0001"]}, {"risk_level": "low"}, {"answer_policy": "summary"}, {"review_status": None})]
+    assert len(set(prints[:4])) == 1 and len(set(prints)) == 3
+
+
+AUDITS = "audit_id string, created_us long, index_generation string, question string, answer string, claims array<struct<claim_id:string,evidence_unit_ids:array<string>>>, evidence_units array<struct<evidence_id:string,evidence_fingerprint:string>>, gate string"
+
+
+def test_audits_are_kept_scanned_and_pruned(spark, tmp_path):
+    now, day = 100 * audits.DAY_US, audits.DAY_US
+    rows = [
+        ("a", 10 * day, "g1", "secret question", "x", [("C1", ["E:1"]), ("C2", ["E:2"]), ("", ["E:1"])], [("E:1", "f1"), ("E:2", "f2")], "allow"),
+        ("b", 95 * day, "g2", "q", "x", [], [("E:2", "f2")], "allow"),
+        ("c", 95 * day, "g1", "q", "x", [("C1", ["E:2"])], [("E:2", "f2")], "allow"),
+        ("d", 200 * day, "g2", "q", "x", None, [], "block"),
+    ]
+    path = f"{tmp_path}/audits"
+    records = spark.createDataFrame(rows, AUDITS)
+    assert audits.persist(records.limit(0), path) == 0
+    assert audits.persist(records.where("audit_id <> 'd'").unionByName(records.where("audit_id = 'a'")), path) == 3
+    assert audits.persist(records.withColumn("question", F.lit("rewritten")), path) == 1
+    stored = spark.read.parquet(path)
+    assert {r["audit_id"]: r["question"] for r in stored.collect()} == {"a": "secret question", "b": "q", "c": "q", "d": "rewritten"}
+    current = spark.createDataFrame([("E:1", "other"), ("E:2", "f2")], "evidence_id string, evidence_fingerprint string")
+    scanned = audits.scan(stored, current, "g2", now, 30)
+    assert "question" not in scanned.columns and "answer" not in scanned.columns
+    assert sorted(tuple(r) for r in scanned.collect()) == [("a", "invalidated", 90.0, True, ["C1"], ["E:1"], []), ("b", "current", 5.0, False, [], [], []), ("c", "generation_changed", 5.0, False, [], [], []), ("d", "not_applicable", 0.0, False, [], [], [])]
+    gone = audits.scan(stored, current.limit(0), "g2", now).where("audit_id = 'a'").first()
+    assert (gone["missing"], gone["affected_claim_ids"], gone["expired"]) == (["E:1", "E:2"], ["C1", "C2"], False)
+    assert audits.health(scanned).first().asDict() == {"total": 4, "current": 1, "generation_changed": 1, "invalidated": 1, "not_applicable": 1, "expired": 1, "status": "attention_required"}
+    assert audits.prune(spark, path, now, 30) == ["1970-01-11"] and spark.read.parquet(path).count() == 4  # only told
+    assert audits.prune(spark, path, now, 30, apply=True) == ["1970-01-11"]
+    assert sorted(r["audit_id"] for r in spark.read.parquet(path).collect()) == ["b", "c", "d"]
+    assert audits.prune(spark, path, now, 0) == [] and audits.prune(spark, f"{tmp_path}/none", now, 5) == []
