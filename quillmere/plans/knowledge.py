@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..operators import cases as cs
 from ..operators import glossary as gl
 from ..operators import payloads as pay
 from ..operators import review as rv
@@ -358,3 +359,30 @@ select count(*) as total, count(*) filter (status = 'current') as current, count
        count(*) filter (status = 'not_applicable') as not_applicable, count(*) filter (expired) as expired, case when bool_or(status = 'invalidated' or expired) then 'attention_required' else 'ok' end as status from s""")
 def evidence_audit_health(spark, d):
     return ad.health(_scanned(spark, d))
+
+
+# evaluation cases: questions and labels with faults planted by number
+
+
+@query("""with q as (select item_id::varchar as id, case when item_id % 7 = 3 then ' ' else text end as question, item_id as n from benchmark union all select item_id::varchar, text, item_id from benchmark where item_id % 11 = 0),
+e as (select case when item_id % 13 = 5 then 'x' || item_id else item_id::varchar end as id, item_id % 3 <> 1 as answer, [['v1'], ['v1', 'v2'], [], ['v1']][item_id % 4 + 1] as videos, case when item_id % 5 = 0 then [] else ['S0001', 'S0002'] end as refs,
+             case item_id % 6 when 2 then [['v1', 'S0001'], ['v1', 'S0002']] when 3 then [['v1', '']] when 4 then [['v1', 'S0001']] end as named from benchmark where item_id % 9 <> 4),
+qc as (select id, count(*) as n_q, bool_and(trim(question) = '') as bare, min(case when trim(question) <> '' then 0 else 1 end) as some, arg_min(question, '{"question":"' || question || '"') as question from q group by id),
+j as (select coalesce(qc.id, e.id) as id, n_q, qc.question, e.id is not null as lab, answer, coalesce(videos, []) as videos, coalesce(refs, []) as refs, named, case when named is not null then len(list_filter(named, lambda s: s[2] = '')) = 0 end as whole, list_transform(named, lambda s: s[2]) as own from qc full join e on qc.id = e.id)
+select id, array_to_string(list_filter([case when n_q > 1 then 'repeated_question' end, case when not lab then 'no_label' end, case when n_q is null then 'no_question' end, case when n_q is not null and trim(question) = '' then 'empty_question' end,
+  case when lab and answer and (len(refs) = 0 or len(videos) = 0) then 'no_sources' end, case when lab and not answer and (len(refs) > 0 or len(videos) > 0) then 'has_sources' end, case when lab and named is null and len(videos) > 1 then 'needs_pairs' end,
+  case when whole = false then 'pair_incomplete' end, case when whole and (len(list_filter(own, lambda x: not list_contains(refs, x))) > 0 or len(list_filter(refs, lambda x: not list_contains(own, x))) > 0) then 'pairs_differ' end], lambda x: x is not null), ',') as violations from j""")
+def case_integrity(spark, d):
+    i = F.col("qid")
+    asked = questions(spark, d)
+    quest = asked.select(i.cast("string").alias("id"), F.when(i % 7 == 3, " ").otherwise(F.col("text")).alias("question")).unionByName(asked.where("qid % 11 = 0").select(i.cast("string").alias("id"), F.col("text").alias("question")))
+    lists = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    pair = lambda v, r: F.struct(F.lit(v).alias("video_id"), F.lit(r).alias("source_ref"))
+    videos = F.when(i % 4 == 1, lists("v1", "v2")).when(i % 4 == 2, lists()).otherwise(lists("v1"))
+    named = F.when(i % 6 == 2, F.array(pair("v1", "S0001"), pair("v1", "S0002"))).when(i % 6 == 3, F.array(pair("v1", ""))).when(i % 6 == 4, F.array(pair("v1", "S0001")))
+    labels = asked.where("qid % 9 <> 4").select(
+        F.when(i % 13 == 5, F.concat(F.lit("x"), i.cast("string"))).otherwise(i.cast("string")).alias("id"), (i % 3 != 1).alias("expected_answer"), videos.alias("expected_video_ids"), F.when(i % 5 == 0, lists()).otherwise(lists("S0001", "S0002")).alias("expected_source_refs"),
+        named.alias("expected_sources"), lists().alias("answer_points"), F.lit(None).cast("string").alias("risk_level"),
+    )
+    found = cs.evaluation_cases(quest.withColumn("category", F.lit(None).cast("string")), labels)
+    return found.select("id", F.array_join("violations", ",").alias("violations"))

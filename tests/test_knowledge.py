@@ -8,7 +8,7 @@ import re
 import pytest
 
 from quillmere.functions.text import char_grams
-from quillmere.operators import glossary, matches, payloads, planning, retrieval, review, segments
+from quillmere.operators import cases, glossary, matches, payloads, planning, retrieval, review, segments
 from quillmere.operators import chunking, contentmap
 from quillmere.plans import knowledge
 from quillmere.sources import audits, index_store
@@ -461,3 +461,27 @@ def test_audits_are_kept_scanned_and_pruned(spark, tmp_path):
     assert audits.prune(spark, path, now, 30, apply=True) == ["1970-01-11"]
     assert sorted(r["audit_id"] for r in spark.read.parquet(path).collect()) == ["b", "c", "d"]
     assert audits.prune(spark, path, now, 0) == [] and audits.prune(spark, f"{tmp_path}/none", now, 5) == []
+
+
+# evaluation cases
+
+
+def test_case_rules(spark):
+    q = spark.createDataFrame([("1", "one", "c"), ("1", "one", "c"), ("2", " ", None), ("3", "three", "c"), ("4", "four", "c"), (None, "x", "c"), ("6", "six", "c"), ("7", "seven", "c")], "id string, question string, category string")
+    label = lambda i, videos, refs, sources=None, answer=None: (i, videos, refs, sources, ["p"], None, answer)
+    e = spark.createDataFrame(
+        [label("1", ["v"], ["S0001", "S0002"]), label("2", ["v", "w"], ["S0001"]), label("4", [], [], None, False), label("5", ["v"], ["S0001"]), label("6", ["v", "w"], ["S0001", "S0002"], [("v", "S0001"), ("w", "S0002")]), label("7", ["v"], ["S0001"], [("v", "S0002"), ("", "S0001")], False)],
+        "id string, expected_video_ids array<string>, expected_source_refs array<string>, expected_sources array<struct<video_id:string,source_ref:string>>, answer_points array<string>, risk_level string, expected_answer boolean",
+    )
+    got = {r["id"]: (r["violations"], [tuple(p) for p in r["expected_sources"]]) for r in cases.evaluation_cases(q, e).collect()}
+    assert got == {
+        "1": (["repeated_question"], [("v", "S0001"), ("v", "S0002")]), "2": (["empty_question", "needs_pairs"], [("v", "S0001")]), "3": (["no_label"], []), "4": ([], []), "5": (["no_question"], [("v", "S0001")]),
+        "": (["empty_id", "no_label"], []), "6": ([], [("v", "S0001"), ("w", "S0002")]), "7": (["has_sources", "pair_incomplete"], [("v", "S0002"), ("", "S0001")]),
+    }
+
+
+def test_claim_case_rules(spark):
+    rows = [("1", "c", " Supported", None, [("a", "t")]), ("2", " ", "maybe", "done", []), ("2", "c", "supported", "reviewed", [("a", "t"), ("a", "u")]), (None, "c", "contradicted", "pending_human_review", [("a", "")]), ("3", "c", "supported", None, None)]
+    df = spark.createDataFrame(rows, "id string, claim string, label string, annotation_status string, evidence array<struct<chunk_id:string,text:string>>")
+    got = sorted((r["id"] or "", r["claim"], r["violations"]) for r in cases.claim_cases(df).collect())
+    assert got == [("", "c", ["empty_id", "evidence_incomplete"]), ("1", "c", []), ("2", " ", ["repeated_id", "empty_claim", "label", "status", "no_evidence"]), ("2", "c", ["repeated_id", "repeated_chunk"]), ("3", "c", ["no_evidence"])]
