@@ -10,6 +10,7 @@ from ..operators import cases as cs
 from ..operators import glossary as gl
 from ..operators import payloads as pay
 from ..operators import review as rv
+from ..operators import runstate as rs
 from ..operators import segments as sg
 from ..sources import audits as ad
 from ..sources import index_store
@@ -386,3 +387,23 @@ def case_integrity(spark, d):
     )
     found = cs.evaluation_cases(quest.withColumn("category", F.lit(None).cast("string")), labels)
     return found.select("id", F.array_join("violations", ",").alias("violations"))
+
+
+# run state: each conversation as a video whose states are stored in one of two layouts
+
+
+@query("""with c as (select distinct conv_id as i from conversations),
+s as (select i, i % 5 <> 4 as known, case when i % 7 = 1 then 'failed' else 'completed' end as status, case when i % 2 = 0 then 'p' else 'default' end as own, case when i % 11 = 3 then '0' else '1' end as prompt, case when i % 3 = 0 then 'asr' when i % 3 = 1 then 'subtitle' end as src, case when i % 6 = 0 then 'b' else 'c' end as backend, case when i % 13 = 2 then 'gone' else 'm' end as md from c)
+select 'v' || i as video_id, own as profile, case when not known then 'new' when status <> 'completed' then 'unfinished' when prompt <> '1' then 'profile_changed' when src is null or (src = 'asr' and backend <> 'b') then 'transcript_changed' when md = 'gone' then 'note_missing' when i % 17 = 8 then 'not_indexed' end as reason
+from s where not known or status <> 'completed' or prompt <> '1' or src is null or (src = 'asr' and backend <> 'b') or md = 'gone' or i % 17 = 8""")
+def pipeline_resume(spark, d):
+    i = F.col("conv_id")
+    rows = table(spark, d, "conversations").select("conv_id").distinct()
+    source = F.when(i % 3 == 0, '"text_source": "asr", ').when(i % 3 == 1, '"text_source": "subtitle", ').otherwise("")
+    state = F.concat(F.lit('{"status": "'), F.when(i % 7 == 1, "failed").otherwise("completed"), F.lit('", "md_path": "'), F.when(i % 13 == 2, "gone").otherwise("m"), F.lit('", "schema_version": "v1", "prompt_version": "'), F.when(i % 11 == 3, "0").otherwise("1"), F.lit('", "transcript": {'), source, F.lit('"backend": "'), F.when(i % 6 == 0, "b").otherwise("c"), F.lit('"}'))
+    video = F.concat(F.lit("v"), i.cast("string"))
+    nested = F.concat(F.lit('{"version": 2, "videos": {"'), video, F.lit('": {"p": '), state, F.lit(', "profile": "p"}}}}'))
+    flat = F.concat(F.lit('{"'), video, F.lit('": '), state, F.lit("}}"))
+    stores = rows.where("conv_id % 5 <> 4").select(F.when(i % 2 == 0, nested).otherwise(flat).alias("payload"))
+    wanted = rows.select(video.alias("video_id"), F.when(i % 2 == 0, "p").otherwise("default").alias("profile"), F.lit("v1").alias("schema_version"), F.lit("1").alias("prompt_version"), F.create_map(F.lit("backend"), F.lit("b")).alias("asr_config"))
+    return rs.to_do(wanted, rs.run_states(stores, "payload"), spark.createDataFrame([("m",)], "md_path string"), rows.where("conv_id % 17 <> 8").select(video.alias("video_id")))

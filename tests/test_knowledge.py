@@ -8,7 +8,7 @@ import re
 import pytest
 
 from quillmere.functions.text import char_grams
-from quillmere.operators import cases, glossary, matches, payloads, planning, retrieval, review, segments
+from quillmere.operators import cases, glossary, matches, payloads, planning, retrieval, review, runstate, segments
 from quillmere.operators import chunking, contentmap
 from quillmere.plans import knowledge
 from quillmere.sources import audits, index_store
@@ -485,3 +485,21 @@ def test_claim_case_rules(spark):
     df = spark.createDataFrame(rows, "id string, claim string, label string, annotation_status string, evidence array<struct<chunk_id:string,text:string>>")
     got = sorted((r["id"] or "", r["claim"], r["violations"]) for r in cases.claim_cases(df).collect())
     assert got == [("", "c", ["empty_id", "evidence_incomplete"]), ("1", "c", []), ("2", " ", ["repeated_id", "empty_claim", "label", "status", "no_evidence"]), ("2", "c", ["repeated_id", "repeated_chunk"]), ("3", "c", ["no_evidence"])]
+
+
+# run state
+
+
+def test_run_states_and_what_is_to_do(spark):
+    done = {"status": "completed", "md_path": "m", "profile": "p", "schema_version": "v2", "prompt_version": "1", "transcript": {"text_source": "asr", "backend": "b"}}
+    stores = [
+        json.dumps({"version": 2, "videos": {"a": {"p": done}, "b": {"p": {**done, "prompt_version": "0"}}, "c": {"p": {**done, "status": "failed"}}, "d": {"p": {**done, "md_path": "gone"}}, "e": {"p": {**done, "transcript": {"text_source": "subtitle"}}}, "f": {"p": {**done, "transcript": {}}}}}),
+        json.dumps({"old": {"status": "completed", "md_path": "m"}, "g": {"md_path": "m"}, "h": {**done, "transcript": {"text_source": "asr", "backend": "c"}}}), "{broken", "[]", None,
+    ]
+    states = runstate.run_states(spark.createDataFrame([(s,) for s in stores], "payload string"), "payload")
+    assert sorted((r["video_id"], r["profile"], r["schema_version"]) for r in states.collect()) == [*((v, "p", "v2") for v in "abcdefh"), ("old", "default", "v1")]
+    wanted = spark.createDataFrame([*((v, "p", "v2", "1", {"backend": "b"}) for v in "abcdefghi"), ("old", "default", "v1", None, None), ("a", "q", "v2", "1", None)], "video_id string, profile string, schema_version string, prompt_version string, asr_config map<string,string>")
+    notes = spark.createDataFrame([("m",)], "md_path string")
+    indexed = spark.createDataFrame([(v,) for v in "abcdfhi"] + [("old",)], "video_id string")
+    got = {(r["video_id"], r["profile"]): r["reason"] for r in runstate.to_do(wanted, states, notes, indexed).collect()}
+    assert got == {("b", "p"): "profile_changed", ("c", "p"): "unfinished", ("d", "p"): "note_missing", ("e", "p"): "not_indexed", ("f", "p"): "transcript_changed", ("g", "p"): "new", ("h", "p"): "transcript_changed", ("i", "p"): "new", ("a", "q"): "new"}
