@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,27 @@ def release_memory() -> None:
         pass
 
 
+def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f over batches, which gives memory back at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release_memory()
+
+    return run
+
+
+def releasing_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f over a group, which gives memory back after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release_memory()
+        return out
+
+    return run
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of uint64 values."""
     h = h ^ (h >> np.uint64(30))

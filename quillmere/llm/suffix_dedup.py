@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounds, expand, known_keys, materialize, mix64, planes, split_key, squeeze, unplane, unzip, zip_bytes
+from .common import bounds, expand, known_keys, materialize, mix64, planes, releasing, releasing_group, split_key, squeeze, unplane, unzip, zip_bytes
 from .suffix_sort import _ranges, suffix_arrays
 
 WINDOW, GRAM = 50, 20
@@ -95,7 +95,7 @@ def pack_blocks(docs: DataFrame, with_rest: bool = False) -> DataFrame:
         if texts:
             yield row()
 
-    return picked.mapInArrow(run, "block long, ids binary, known binary, lengths binary, text binary, rest binary, size long")
+    return picked.mapInArrow(releasing(run), "block long, ids binary, known binary, lengths binary, text binary, rest binary, size long")
 
 
 def _sliding(a: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -212,7 +212,7 @@ def block_keys(blocks: DataFrame, parts: int) -> DataFrame:
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return blocks.mapInArrow(run, "part long, block long, keys binary, marks binary, several binary")
+    return blocks.mapInArrow(releasing(run), "part long, block long, keys binary, marks binary, several binary")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         cols = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])], names=["block", "part", "keys", "levels"])
 
-    return keys.groupBy("part").applyInArrow(run, "block long, part long, keys binary, levels binary")
+    return keys.groupBy("part").applyInArrow(releasing_group(run), "block long, part long, keys binary, levels binary")
 
 
 def block_entries(r: dict, key_parts: int) -> tuple[np.ndarray, ...]:
@@ -316,7 +316,7 @@ def stretches(joined: DataFrame, parts: int) -> DataFrame:
                 cols = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return joined.mapInArrow(run, SENT_SCHEMA)
+    return joined.mapInArrow(releasing(run), SENT_SCHEMA)
 
 
 def split_lanes(items: list[tuple[int, int, int, int, int]], raw: bytes) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -506,7 +506,7 @@ def found_places(docs: DataFrame, with_rest: bool = False) -> DataFrame:
     text = blocks.drop("rest")
     shared = shared_keys(block_keys(text, parts)).groupBy("block").agg(F.collect_list(F.struct("part", "keys", "levels")).alias("shared"))
     sent = stretches(text.join(shared, "block"), parts)  # blocks that share nothing have nothing to send
-    places = sent.groupBy("part").applyInArrow(sort_part, "block long, places binary").groupBy("block").agg(F.collect_list("places").alias("found"))
+    places = sent.groupBy("part").applyInArrow(releasing_group(sort_part), "block long, places binary").groupBy("block").agg(F.collect_list("places").alias("found"))
     return blocks.join(places, "block", "left")
 
 
@@ -535,7 +535,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return found_places(docs).drop("rest").mapInArrow(run, RESULT_SCHEMA)
+    return found_places(docs).drop("rest").mapInArrow(releasing(run), RESULT_SCHEMA)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -561,7 +561,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 own["text"] = pa.array([None if e else t for t, e in zip(left, was_null.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], names=schema.names)
 
-    return found_places(docs, with_rest=True).mapInArrow(run, schema)
+    return found_places(docs, with_rest=True).mapInArrow(releasing(run), schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
