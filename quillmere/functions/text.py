@@ -30,12 +30,15 @@ def bigrams(text: Column) -> Column:
 
 def char_grams(text: Column, sizes: list[int]) -> Column:
     """Distinct runs of neighbouring characters of the given sizes, none for null; linear in the text, as characters are
-    looked up in an array."""
-    letters = F.array_remove(F.split(text, ""), "")
-    n = F.size(letters)
-    starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    joined = lambda k: F.transform(starts(k), lambda i: F.concat(*(F.get(letters, i + j) for j in range(k))))
-    return F.array_distinct(F.concat(*(joined(k) for k in sizes)))
+    looked up in an array that is bound by a lambda, and so is made once a text and not once a character."""
+
+    def grams(letters: Column) -> Column:
+        n = F.size(letters)
+        starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        joined = lambda k: F.transform(starts(k), lambda i: F.concat(*(F.get(letters, i + j) for j in range(k))))
+        return F.concat(*(joined(k) for k in sizes))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(F.array_remove(F.split(text, ""), "")), grams)))
 
 
 def clock_seconds(clock: Column) -> Column:

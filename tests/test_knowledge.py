@@ -4,6 +4,7 @@ import difflib
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -298,6 +299,14 @@ def test_char_grams(spark):
     assert [r[0] for r in df.select(char_grams(F.col("t"), [1, 2])).collect()] == [["é", "漢", "a", "b", "é漢", "漢a", "ab"], ["a"], [], []]
 
 
+def test_char_grams_of_a_long_text_are_linear(spark):
+    n = 50_000
+    df = spark.createDataFrame([("".join(chr(0x4E00 + i % 20_000) for i in range(n)),)], "t string")
+    began = time.monotonic()
+    found = df.select(F.size(char_grams(F.col("t"), [2, 3, 4]))).first()[0]
+    assert found == 3 * 20_000 and time.monotonic() - began < 20
+
+
 # earlier faults
 
 
