@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,67 @@ from .common import release_memory
 POOL, POOL_LOW = 4096, 1024
 CACHE_ENTRIES = 1_000_000
 #: Documents tokenised together.
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 512
 #: Characters beyond those that the vocabulary's normaliser lower-cases one by one and leaves composed as they are.
 BEYOND = re.compile("[^\\x00-\u012f]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_caches: dict[str, tuple] = {}
+#: What may follow letters in a piece and is parted from them by the pre-tokenizer: no apostrophe, as contractions have one.
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+_caches: dict[str, _Cache] = {}
+
+
+class _Cache:
+    """A vocabulary's tokenizers, and pieces of text with their ids in two generations: what is used again moves from the
+    old one to the young one, the rest goes when the young one is full."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # lower-case letters that are composed are one pre-token: the vocabulary's normaliser and pattern leave them as they are
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if any(self.whole.encode(x, add_special_tokens=False).ids != self.letters.encode(x, add_special_tokens=False).ids for x in ("ab", "the", "\u00e9\u00df\u0101")):
+            self.letters = self.whole  # another kind of vocabulary
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.young, self.old = {"": b""}, {}
+
+    def absent(self, pieces: set[str], most: int) -> set[str]:
+        """Pieces that are in neither generation; the others are in the young one afterwards."""
+        new = pieces.difference(self.young)
+        if len(self.young) + len(new) > most // 2:
+            self.old, self.young = self.young, {"": b""}
+            new = pieces.difference(self.young)
+        again = [c for c in new if c in self.old]
+        for c in again:
+            self.young[c] = self.old.pop(c)
+        return new.difference(again)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Ids of pieces between spaces. Letters and symbols after them are parted by the pre-tokenizer, so most such
+        pieces share the letters' ids."""
+        young, ended, letters, others = self.young, [], set(), set()
+        for c in pieces:
+            head = c.rstrip(SYMBOLS)
+            if not (head.isalpha() and (head.isascii() or not BEYOND.search(head))):
+                others.add(c)
+                continue
+            (letters if head.islower() else others).add(head)
+            if len(head) < len(c):
+                tail = c[len(head) :]
+                others.add(tail)
+                ended.append((c, head, tail))
+        for tokenizer, own in ((self.letters, letters), (self.whole, others)):
+            own = [c for c in own if c not in young]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+            data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+            for c, x in zip(own, ids):
+                young[c] = data[at : (at := at + 4 * len(x))]
+        for c, head, tail in ended:
+            young[c] = young[head] + young[tail]
 
 
 def encode(texts: list[str], path: str, most: int = CACHE_ENTRIES) -> list[bytes]:
@@ -49,46 +105,37 @@ def encode(texts: list[str], path: str, most: int = CACHE_ENTRIES) -> list[bytes
     looks for those before it lower-cases.
     """
     if path not in _caches:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _caches[path] = tokenizer, {"": b""}, [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
-    tokenizer, cache, special = _caches[path]
+        _caches[path] = _Cache(path)
+    cache = _caches[path]
     split = []
     for t in texts:
         if not BEYOND.search(t):
             low = t.lower()
-            t = t if any(x in low for x in special) else low
+            t = t if any(x in low for x in cache.special) else low
         split.append(t.replace("\n", " ").split(" "))
-    new = {c for chunks in split for c in chunks if c not in cache}
-    if len(cache) + len(new) > most:
-        cache.clear()
-        cache[""] = b""
-        new = {c for chunks in split for c in chunks if c}
-    # a letter and a last point or comma are parted by the pre-tokenizer, so most such pieces share the word's ids; a letter
-    # whose lower case ends in a combining mark is none
-    ended = {c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and c[-2].lower().isalpha()}
-    plain = [c for c in (new - ended) | {x for c in ended for x in (c[:-1], c[-1])} if c not in cache]
-    for c, e in zip(plain, tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-        cache[c] = np.array(e.ids, "<u4").tobytes()
-    for c in ended:
-        cache[c] = cache[c[:-1]] + cache[c[-1]]
-    out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
-    for c in (*plain, *ended):
+    new = cache.absent(set().union(*split), most)
+    cache.learn(new)
+    out = [b"".join(map(cache.young.__getitem__, chunks)) for chunks in split]
+    for c in new:
         if len(c) > 64:
-            del cache[c]
+            del cache.young[c]
     return out
 
 
 def closest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """Pieces of each length whose total comes closest to capacity without passing it.
 
-    counts: waiting pieces by length. Lengths are added to the bitset from the largest down until the capacity is met.
+    counts: waiting pieces by length. Lengths are added to the bitset from the largest down until the capacity is met;
+    those beyond half the capacity together, as no two of them fit.
     """
-    mask, reach = (1 << (capacity + 1)) - 1, 1
+    mask, half = (1 << (capacity + 1)) - 1, capacity // 2
+    bits = np.zeros(capacity + 1, np.uint8)
+    bits[[0, *(n for n in counts if half < n <= capacity)]] = 1
+    reach = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     steps: list[tuple[int, int]] = []
-    for length in sorted(counts, reverse=True):
+    for length in sorted((n for n in counts if n <= half), reverse=True):
+        if reach >> capacity & 1:
+            break
         for _ in range(counts[length]):
             grown = (reach | reach << length) & mask
             if grown == reach:
@@ -97,13 +144,13 @@ def closest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
             reach = grown
             if reach >> capacity & 1:
                 break
-        if reach >> capacity & 1:
-            break
     total, taken = reach.bit_length() - 1, defaultdict(int)
     for length, before in reversed(steps):
         if not before >> total & 1:
             taken[length] += 1
             total -= length
+    if total:
+        taken[total] += 1
     return dict(taken)
 
 

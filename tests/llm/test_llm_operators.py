@@ -91,6 +91,29 @@ def test_packed_ids_equal_the_library_on_any_text():
         assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packed_ids_of_letters_that_normalisation_takes_apart():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [a + b for a in ("\u0958", "ab\u0958", "\ufb1d", "ab", "AB", "\u00e9\u00df", "\u00aa", "a'", "<|endoftext|>") for b in (".", ",", "!!", "$.", "'s.", "_", "")]
+    for t, g in zip(texts, packing.encode(texts, path)):
+        assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_pieces_in_use_survive_a_full_cache():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing._caches.clear()
+    for i in range(40):
+        packing.encode(["often " + " ".join(f"w{i}x{k}" for k in range(30))], path, 200)
+        cache = packing._caches[path]
+        assert "often" in cache.young and len(cache.young) + len(cache.old) <= 200
+    packing._caches.clear()
+
+
 def test_closest_multiset_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
