@@ -215,6 +215,15 @@ def test_pairs_of_a_pool_come_up_once(spark, monkeypatch):
     assert n <= 2 * len(texts)
 
 
+def test_prefix_keys_take_six_bytes_at_most(spark):
+    rows = ngram_join.prefix_rows(docs_of(spark, [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(5)]), np.zeros(0, np.uint64), np.zeros(0, np.int64)).collect()
+    for r in rows:
+        keys = ngram_join.expand(r["prefix"])
+        assert len(keys) == r["n"] - (3 * r["n"] + 3) // 4 + 1 and (np.diff(keys.astype(np.int64)) > 0).all()
+        assert len(r["prefix"]) < 6 * len(keys)
+
+
+
 def test_count_tree_bounds_every_pair():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 3, (90, ngram_join.GROUPS)).astype(np.uint16)
