@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
-from .common import bounds
+from .common import bounds, releasing
 
 MARK = "▁"
 THETA = 1.0
@@ -272,12 +272,14 @@ def _seed(key: list) -> bytes:
     return hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
 
 
-def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_col: str = "text") -> DataFrame:
+def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """The key columns, sample (from 1), ids, log_prob and inclusion of k samples of every whole text; a narrow map.
 
-    Key columns may not bear the name of one of the four others.
+    decoded: adds the text of the ids, as `decode` gives it, in the same pass, so that no second Python worker is held and
+    no ids travel to it. Key columns may not bear the name of one of the others.
     """
     added = [StructField("sample", IntegerType()), StructField("ids", ArrayType(IntegerType())), StructField("log_prob", DoubleType()), StructField("inclusion", DoubleType())]
+    added += [StructField("decoded", StringType())] if decoded else []
     if clash := {c.lower() for c in keys} & {f.name for f in added}:
         raise ValueError(f"key columns named like results: {sorted(clash)}; rename them")
     m = len(keys)
@@ -297,7 +299,8 @@ def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
             number = np.concatenate([np.arange(1, c + 1) for c in count]).astype(np.int32)
             chosen = part.take(pa.array(np.repeat(np.arange(part.num_rows), count))).columns[:m]
-            return pa.RecordBatch.from_arrays([*chosen, pa.array(number), ids, pa.array([x[1] for x in flat]), pa.array([x[2] for x in flat])], names=schema.names)
+            texts = [pa.array([decode_ids(x[0].tolist(), lattices) for x in flat], pa.string())] if decoded else []
+            return pa.RecordBatch.from_arrays([*chosen, pa.array(number), ids, pa.array([x[1] for x in flat]), pa.array([x[2] for x in flat]), *texts], names=schema.names)
 
         for batch in batches:
             size = np.array([len(t.as_py() or "") for t in batch.column(m)])
@@ -305,7 +308,7 @@ def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_
             for a, z in zip(*bounds(group)):
                 yield encoded(batch.slice(a, z - a))
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(releasing(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -319,7 +322,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
             texts = [None if ids is None else decode_ids(ids, lattices) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,5 +330,5 @@ def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    samples = decode(sample_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], path), path)
+    samples = sample_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], path, decoded=True)
     return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_ids"), F.sha1(F.array_join("ids", " ").cast("binary")).alias("ids_sha1"), "log_prob", "inclusion", F.sha1(F.encode("decoded", "UTF-8")).alias("decoded_sha1"))

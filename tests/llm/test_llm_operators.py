@@ -446,6 +446,20 @@ def test_samples_equal_enumeration(text, k):
         assert abs(m / n - share) < 4 * np.sqrt(share * (1 - share) / n) + 1e-3
 
 
+def test_decoding_in_the_same_pass_gives_the_same_rows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = docs_of(spark, [None, "", "a b", "\u00e9 \u6f22 \U0001f600", prose(4, 300)])
+    both = sentencepieces.sample_encode(df, ["doc_id"], path, decoded=True)
+    parted = sentencepieces.decode(sentencepieces.sample_encode(df, ["doc_id"], path), path)
+    assert both.schema == parted.schema and sorted(both.collect(), key=repr) == sorted(parted.collect(), key=repr)
+    with pytest.raises(ValueError):
+        sentencepieces.sample_encode(df.withColumnRenamed("doc_id", "decoded"), ["decoded"], path, decoded=True)
+    plan = sentencepieces.op3_sentencepieces(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one Python worker a task
+
+
 def test_sampling_refuses_clashing_keys_and_replaces_the_decoded_column(spark):
     import public_tokenizers
 
