@@ -33,7 +33,7 @@ from .common import release_memory
 POOL, POOL_LOW = 4096, 1024
 CACHE_ENTRIES = 1_000_000
 #: Documents tokenised together.
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 256
 #: Characters beyond those that the vocabulary's normaliser lower-cases one by one and leaves composed as they are.
 BEYOND = re.compile("[^\\x00-\u012f]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
