@@ -34,8 +34,13 @@ POOL, POOL_LOW = 4096, 1024
 CACHE_ENTRIES = 1_000_000
 #: Documents tokenised together.
 DOCS_AT_ONCE = 256
+#: Words of letters in a text that is tokenised for their ids.
+WORDS_AT_ONCE = 200
 #: Characters beyond those that the vocabulary's normaliser lower-cases one by one and leaves composed as they are.
 BEYOND = re.compile("[^\\x00-\u012f]")
+#: A comma or point before a space that follows neither a letter, a number nor a space: the pre-tokenizer may keep it with
+#: the symbols before it.
+JOINED = re.compile("[^ a-z0-9\u00df-\u00f6\u00f8-\u012f][,.] ")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 #: What may follow letters in a piece and is parted from them by the pre-tokenizer: no apostrophe, as contractions have one.
@@ -55,9 +60,15 @@ class _Cache:
         self.whole = Tokenizer.from_file(path)
         # lower-case letters that are composed are one pre-token: the vocabulary's normaliser and pattern leave them as they are
         self.letters = Tokenizer(self.whole.model)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # in a vocabulary with a mark for the end of a word, the last id of each word bears it, and no other
+        mark, vocab = getattr(self.whole.model, "end_of_word_suffix", None), self.whole.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for x, i in vocab.items() if mark and x.endswith(mark)]] = True
         if any(self.whole.encode(x, add_special_tokens=False).ids != self.letters.encode(x, add_special_tokens=False).ids for x in ("ab", "the", "\u00e9\u00df\u0101")):
             self.letters = self.whole  # another kind of vocabulary
+        # commas and points after letters and numbers are pre-tokens of their own
+        self.parted = all(self.whole.encode(x + y, add_special_tokens=False).ids == self.whole.encode(f"{x} {y}", add_special_tokens=False).ids for x in ("ab", "the", "\u00e9\u00df\u0101", "a1", "it's") for y in ",.")
         self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.young, self.old = {"": b""}, {}
 
@@ -72,11 +83,26 @@ class _Cache:
             self.young[c] = self.old.pop(c)
         return new.difference(again)
 
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many of them in one text, parted behind the ids that end words."""
+        if not words or self.letters is self.whole:
+            return self.ids_of_pieces(words)
+        texts = [" ".join(words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        stop = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(stop) != len(words) or stop[-1] != 4 * len(ids):  # another kind of vocabulary
+            return self.ids_of_pieces(words)
+        return list(map(ids.tobytes().__getitem__, map(slice, [0, *stop[:-1]], stop)))
+
     def learn(self, pieces: set[str]) -> None:
         """Ids of pieces between spaces. Letters and symbols after them are parted by the pre-tokenizer, so most such
         pieces share the letters' ids."""
-        young, ended, letters, others = self.young, [], set(), set()
-        for c in pieces:
+        young, ended, others = self.young, [], set()
+        letters = {c for c in pieces if c.isalpha() and c.islower() and (c.isascii() or not BEYOND.search(c))}
+        for c in pieces.difference(letters):
             head = c.rstrip(SYMBOLS)
             if not (head.isalpha() and (head.isascii() or not BEYOND.search(head))):
                 others.add(c)
@@ -86,12 +112,9 @@ class _Cache:
                 tail = c[len(head) :]
                 others.add(tail)
                 ended.append((c, head, tail))
-        for tokenizer, own in ((self.letters, letters), (self.whole, others)):
+        for own, of in ((letters, self.ids_of_words), (others, self.ids_of_pieces)):
             own = [c for c in own if c not in young]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-            data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-            for c, x in zip(own, ids):
-                young[c] = data[at : (at := at + 4 * len(x))]
+            young.update(zip(own, of(own)))
         for c, head, tail in ended:
             young[c] = young[head] + young[tail]
 
@@ -101,7 +124,7 @@ def encode(texts: list[str], path: str, most: int = CACHE_ENTRIES) -> list[bytes
 
     The vocabulary drops white space and splits at it, so the pieces between spaces and line feeds are encoded once and
     kept. The library sees all other white space and special strings. Texts of plain Latin letters are lower-cased first,
-    as the library would, so that fewer pieces differ; not so texts with a special string in any case, as the library
+    as the library would, and commas and points after words stand alone, so that fewer pieces differ; not so texts with a special string in any case, as the library
     looks for those before it lower-cases.
     """
     if path not in _caches:
@@ -111,7 +134,10 @@ def encode(texts: list[str], path: str, most: int = CACHE_ENTRIES) -> list[bytes
     for t in texts:
         if not BEYOND.search(t):
             low = t.lower()
-            t = t if any(x in low for x in cache.special) else low
+            if not any(x in low for x in cache.special):
+                t = low.replace("\n", " ")
+                if cache.parted and not JOINED.search(t):  # a word is one piece with or without a comma or point after it
+                    t = t.replace(", ", " , ").replace(". ", " . ")
         split.append(t.replace("\n", " ").split(" "))
     new = cache.absent(set().union(*split), most)
     cache.learn(new)
@@ -129,11 +155,11 @@ def closest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
     those beyond half the capacity together, as no two of them fit.
     """
     mask, half = (1 << (capacity + 1)) - 1, capacity // 2
-    bits = np.zeros(capacity + 1, np.uint8)
-    bits[[0, *(n for n in counts if half < n <= capacity)]] = 1
+    bits, lengths = np.zeros(capacity + 1, np.uint8), np.fromiter(counts, np.int64, len(counts))
+    bits[0], bits[lengths[(lengths > half) & (lengths <= capacity)]] = 1, 1
     reach = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     steps: list[tuple[int, int]] = []
-    for length in sorted((n for n in counts if n <= half), reverse=True):
+    for length in np.sort(lengths[lengths <= half])[::-1].tolist():
         if reach >> capacity & 1:
             break
         for _ in range(counts[length]):
@@ -159,16 +185,20 @@ class Packer:
 
     def __init__(self, capacity: int):
         self.capacity, self.pool, self.waiting, self.sequence, self.out = capacity, defaultdict(list), 0, 0, []
+        self.counts: dict[int, int] = {}  # pieces in the pool by length
 
     def put(self, piece: tuple) -> None:
-        self.pool[len(piece[2]) // 4].append(piece)
+        length = len(piece[2]) // 4
+        self.pool[length].append(piece)
+        self.counts[length] = len(self.pool[length])
         self.waiting += 1
 
     def take(self, length: int) -> tuple:
         pieces = self.pool[length]
         piece = pieces.pop()
+        self.counts[length] = len(pieces)
         if not pieces:
-            del self.pool[length]
+            del self.pool[length], self.counts[length]
         self.waiting -= 1
         return piece
 
@@ -190,7 +220,7 @@ class Packer:
 
     def drain(self, keep: int) -> None:
         while self.waiting > keep:
-            chosen = closest_multiset({k: len(v) for k, v in self.pool.items()}, self.capacity)
+            chosen = closest_multiset(self.counts, self.capacity)
             pieces = [self.take(length) for length, k in chosen.items() for _ in range(k)]
             gap = self.capacity - sum(len(p[2]) // 4 for p in pieces)
             if gap and self.waiting:

@@ -114,6 +114,19 @@ def test_pieces_in_use_survive_a_full_cache():
     packing._caches.clear()
 
 
+def test_words_before_commas_and_points_are_kept_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    library = Tokenizer.from_file(path)
+    parts = ["quorvex", "a", "\u00e9t\u00e9", "\u012f", "7", "it's", "'s", ",", ".", ", ", ". ", " ", "\n", "\r", "\x85", "\u00a0", "\u00aa", "\u00b2", "\u00d7", '"', ")", "'", "Q", "_", "\x1c", "e\u0301", "<|EndOfText|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(4000)] + ["vexquor, drelmu. " * 3]
+    assert packing.encode(texts, path, 1000) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    young = packing._caches[path].young
+    assert {"vexquor", "drelmu"} <= young.keys() and not {"vexquor,", "drelmu."} & young.keys()
+
+
 def test_closest_multiset_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
