@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory
+from .common import materialize, release_memory, releasing
 
 #: Bounds of the fit.
 TRAIN_ROWS, VOTERS, FEATURES, LEAST_TOXIC, CANDIDATES = 12_000, 160, 512, 5, 50_000
@@ -141,7 +141,7 @@ def _count_terms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
                     seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(releasing(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def mine_terms(train: DataFrame) -> tuple[list[str], list[str]]:
@@ -174,7 +174,7 @@ def presence(rows: DataFrame, terms: list[str]) -> tuple[np.ndarray, list[np.nda
             rows = [np.array(sorted(number[t] for t in lookup.of(x or "") & known), np.int16).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["toxic", "terms"])
 
-    got = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, terms binary").orderBy("toxic", "terms").toArrow()
+    got = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(releasing(run), "toxic int, terms binary").orderBy("toxic", "terms").toArrow()
     return got.column("toxic").to_numpy(), [np.frombuffer(x, np.int16) for x in got.column("terms").to_pylist()]
 
 

@@ -675,6 +675,30 @@ def plain_pipeline(docs, model_scores):
     return out
 
 
+def test_pipeline_sends_whole_texts_in_bounded_batches(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from quillmere.llm.common import BATCH_BYTES, BATCH_CONF, SPARK_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        for name in ("near_duplicates", "passages", "packing"):
+            spark.conf.set(BATCH_CONF, SPARK_BYTES)
+            dict(corpus_pipeline.STAGES)[name](spark, docs_of(spark, [(1, "ab cd")]), "")
+            wide = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", "repeat('x', 10000) AS text")
+            assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) <= BATCH_BYTES + 20_000, name
+        spark.conf.set(BATCH_CONF, "1000000")
+        corpus_pipeline.packing(spark, docs_of(spark, [(1, "ab cd")]), "")
+        assert spark.conf.get(BATCH_CONF) == "1000000"
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 @data
 def test_pipeline_stages(spark):
     """Every stage of the pipeline against plain Python over the same rows; scores come from the fitted model."""
