@@ -39,6 +39,8 @@ THETA = 1.0
 #: Characters of texts whose lattices and paths are held at once (more for a longer single text), and the length from
 #: which words get their lattice one by one.
 BATCH_CHARS, LONG_WORD = 200_000, 48
+#: First bits of a piece's hash by which most other strings are told apart before the search.
+FIRST_BITS = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,11 +66,13 @@ class Lattices:
             for c in piece:
                 h = h * _MULT + np.uint64(ord(c) + 1)
             by_length.setdefault(len(piece), []).append((int(h[0]), i, weight))
-        # by length: sorted hashes, ids and weights
+        # by length: sorted hashes, ids, weights, and which first bits of a hash there are
         self.tables = {}
         for n, rows in by_length.items():
             rows.sort()
-            self.tables[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])
+            keys, there = np.array([r[0] for r in rows], np.uint64), np.zeros(1 << FIRST_BITS, bool)
+            there[keys >> np.uint64(64 - FIRST_BITS)] = True
+            self.tables[n] = keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), there
 
 
 @dataclass
@@ -96,11 +100,14 @@ def build_words(words: list[str], lattices: Lattices) -> Words:
     h = np.zeros(total, np.uint64)
     for n in range(1, deep + 1):
         at = np.flatnonzero(room >= n)
-        h[at] = h[at] * _MULT + (codes[at + n - 1] + 1).astype(np.uint64)
+        own_h = h[at] * _MULT + (codes[at + n - 1] + 1).astype(np.uint64)
+        h[at] = own_h
         if n in lattices.tables and len(at):
-            keys, own, weights = lattices.tables[n]
-            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[k] == h[at]
+            keys, own, weights, there = lattices.tables[n]
+            near = there[own_h >> np.uint64(64 - FIRST_BITS)]
+            at, own_h = at[near], own_h[near]
+            k = np.minimum(np.searchsorted(keys, own_h), len(keys) - 1)
+            hit = keys[k] == own_h
             ids[n - 1, at[hit]], weight[n - 1, at[hit]] = own[k[hit]], weights[k[hit]]
     lone = np.flatnonzero(ids[0] < 0)
     weight[0, lone] = lattices.byte_weight * (1 + (codes[lone] >= 0x80) + (codes[lone] >= 0x800) + (codes[lone] >= 0x10000))

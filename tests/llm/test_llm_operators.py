@@ -675,6 +675,22 @@ def plain_pipeline(docs, model_scores):
     return out
 
 
+def test_every_piece_of_a_word_is_found_and_no_other():
+    import public_tokenizers
+
+    from quillmere.llm import sentencepieces
+
+    lattices, rng = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model")), random.Random(4)
+    known = list(lattices.pieces)
+    words = list({"".join(rng.choices(known, k=2)) for _ in range(300)} | {"".join(chr(rng.randrange(33, 0x3000)) for _ in range(6)) for _ in range(100)})
+    built = sentencepieces.build_words(words, lattices)
+    for w in words:
+        for a in range(len(w)):
+            for n in range(1, lattices.longest + 1):
+                want = lattices.pieces.get(w[a : a + n], (-1, 0))[0] if a + n <= len(w) else -1
+                assert built.ids[n - 1, built.begin[w] + a] == want, (w, a, n)
+
+
 def test_pipeline_sends_whole_texts_in_bounded_batches(spark):
     import corpus_pipeline
     import pyarrow as pa
