@@ -499,13 +499,16 @@ def block_results(r: dict) -> tuple[np.ndarray, list[bytes], dict[int, tuple[byt
 
 
 def found_places(docs: DataFrame, with_rest: bool = False) -> DataFrame:
-    """The blocks of docs with `found`, an array of packed (document, start, end), null where nothing is removed."""
+    """The blocks of docs with `found`, an array of packed (document, start, end), null where nothing is removed.
+
+    Both joins take the blocks with the same columns and the same filter, so that Spark shuffles them once for both.
+    """
     blocks = materialize(pack_blocks(docs, with_rest), "blocks")
     size = blocks.agg(F.sum("size").alias("bytes"), F.countDistinct(F.shiftright("block", 32)).alias("tasks")).first()
     parts = max(1, -(-(size["bytes"] or 0) // PART_BYTES), KEY_PARTS * size["tasks"])
-    text = blocks.drop("rest")
-    shared = shared_keys(block_keys(text, parts)).groupBy("block").agg(F.collect_list(F.struct("part", "keys", "levels")).alias("shared"))
-    sent = stretches(text.join(shared, "block"), parts)  # blocks that share nothing have nothing to send
+    shared = shared_keys(block_keys(blocks.drop("rest"), parts)).groupBy("block").agg(F.collect_list(F.struct("part", "keys", "levels")).alias("shared"))
+    blocks = (blocks if with_rest else blocks.drop("rest")).where("block is not null")
+    sent = stretches(blocks.join(shared, "block"), parts)  # blocks that share nothing have nothing to send
     places = sent.groupBy("part").applyInArrow(releasing_group(sort_part), "block long, places binary").groupBy("block").agg(F.collect_list("places").alias("found"))
     return blocks.join(places, "block", "left")
 
@@ -535,7 +538,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return found_places(docs).drop("rest").mapInArrow(releasing(run), RESULT_SCHEMA)
+    return found_places(docs).mapInArrow(releasing(run), RESULT_SCHEMA)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 
 from quillmere.llm import license_scan, ngram_join, packing, quality_rules, sentencepieces, suffix_dedup, suffix_sort, token_counts, topk_search, toxicity, warc
 from quillmere.llm import registry
+from quillmere.llm.common import shared_dir
 from oracle import same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -301,6 +302,20 @@ def test_dedup_keeps_columns_of_any_name(spark):
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [rows[0], (2, "", 7, "y", 0, None), *rows[2:]]
 
 
+@pytest.mark.parametrize("query", [suffix_dedup.find_repeats, suffix_dedup.dedup])
+def test_blocks_are_shuffled_once(spark, query, monkeypatch):
+    """The join with the shared keys and that with the found places take the blocks from one shuffle."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = query(docs_of(spark, near_copies(15, 20, 60, 4)).repartition(3))
+        assert len(df.collect()) == 20
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_large_lanes_are_split_exactly():
     texts = [bytes(f"{k:030d}", "ascii") + b"ANCHORANCHORANCHOR!!" + bytes(f"{k // 3:030d}", "ascii") for k in range(60)]
     raw = b"".join(texts)
@@ -588,6 +603,20 @@ def test_keep_one_of_each_component(spark):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_only_what_its_rows_read(spark):
+    """Tables of the join are deleted once the groups are written; what was there before stays."""
+    docs = docs_of(spark, near_copies(16, 20, 60, 4))
+    outer = suffix_dedup.materialize(docs, "outer")
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), "quillmere")
+    before = set(os.listdir(folder))
+    kept = ngram_join.keep_one(outer)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"groups", "others"}
+    assert before <= set(os.listdir(folder))
+    want = brute_components([r.text for r in docs.orderBy("doc_id").collect()])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert outer.count() == 20
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     texts, labels = [], []
