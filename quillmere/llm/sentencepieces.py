@@ -7,12 +7,14 @@ each sample's inclusion score 1 - exp(-exp(log_prob - kappa)). The random stream
 
 Taking a node means to draw the path that carries its value, edge by edge by the edges' probabilities, and at each place
 the largest value among the other edges: a Gumbel of their mass, cut off at the node's value. Every open node has a
-completion of exactly its value, so beyond the k + 1 - (found) best ones none is kept. Paths of all rows of a batch are
-drawn together, place by place of their words, with numpy.
+completion of exactly its value, so beyond the k + 1 - (found) best ones none is kept, and places from the right are only
+looked at until no later one can have a better value. Paths of all rows of a batch are drawn together, place by place of
+their words, with numpy.
 
 A piece's weight follows Zipf's law of its rank in the vocabulary, -THETA * log(rank + 2); a character that no piece has
 falls back to its byte pieces. Pieces never cross the mark that begins a word, so lattices are kept by word, with each
-edge's log-probability given its end; those of a batch's distinct words are built together.
+edge's probability given its end; those of a batch's distinct words are built together: a trie finds the pieces, and the
+forward sums are taken place by place of all words.
 
 Defined results: a null or empty text has the one empty segmentation (log_prob 0, inclusion 1); a text with fewer than k
 segmentations gives all of them, with inclusion 1; repeated rows get equal samples; a null in a key column is a key of its
@@ -23,12 +25,16 @@ Texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from itertools import count as count_from
 from math import exp, expm1, inf, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -37,228 +43,382 @@ from .common import bounds, releasing
 MARK = "▁"
 THETA = 1.0
 #: Characters of texts whose lattices and paths are held at once (more for a longer single text), and the length from
-#: which words get their lattice one by one.
+#: which words get their sums one by one.
 BATCH_CHARS, LONG_WORD = 200_000, 48
-#: First bits of a piece's hash by which most other strings are told apart before the search.
-FIRST_BITS = 16
+#: Forward sums beyond these bounds are taken anew as logarithms.
+LEAST_SUM, MOST_SUM = 1e-250, 1e250
+#: Places of a path, from the right, at which other edges are looked for first.
+FIRST_PLACES = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattices:
-    """The vocabulary of a model file: pieces with ids and weights, and byte pieces."""
+    """The vocabulary of a model file: a trie of its pieces, with ids and weights, and byte pieces.
+
+    Node 0 is none; nodes 1 to 4 stand for a character without a piece, by its number of bytes. Steps of the trie are in a
+    table of hashed slots: the key is node * classes + class of the character; where a slot is taken, the next one follows.
+    """
 
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces, self.bytes = {}, {}
+        self.pieces, self.bytes, raw = {}, {}, [b""] * self.sp.get_piece_size()
         for i in range(self.sp.get_piece_size()):
             piece = self.sp.id_to_piece(i)
             if self.sp.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
+                raw[i] = bytes([int(piece[1:-1], 16)])
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)) and MARK not in piece[1:]:
                 self.pieces[piece] = i, -theta * log(i + 2)
+                raw[i] = piece.replace(MARK, " ").encode()
+        marked = next((i for p, (i, _) in self.pieces.items() if p[0] == MARK and len(p) > 1), None)
+        self.drops_mark = marked is not None and self.sp.decode([marked]) == raw[marked].decode()[1:]
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64)
+        self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
         self.longest = max(map(len, self.pieces))
+        self.length_bits = self.longest.bit_length()
         self.byte_weight = -theta * log(self.sp.get_piece_size() + 2)
-        by_length: dict[int, list] = {}
+        nodes = {"": 0} | {n: n for n in range(1, 5)}
+        for piece in self.pieces:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        names = list(nodes)[5:]
+        classes = {c: k + 1 for k, c in enumerate(sorted({n[-1] for n in names}))}
+        self.classes = len(classes) + 1
+        self.class_of = np.zeros(max(map(ord, classes)) + 2, np.int32)  # the last one is that of all higher codes
+        self.class_of[[ord(c) for c in classes]] = list(classes.values())
+        self.ids, self.weight = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -inf)
+        self.weight[1:5] = self.byte_weight * np.arange(1, 5)
+        self.depth = np.array([0, 1, 1, 1, 1, *map(len, names)], np.int32)
+        self.inner = np.zeros(len(nodes), bool)
+        self.inner[[nodes[n[:-1]] for n in names if len(n) > 1]] = True
         for piece, (i, weight) in self.pieces.items():
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = h * _MULT + np.uint64(ord(c) + 1)
-            by_length.setdefault(len(piece), []).append((int(h[0]), i, weight))
-        # by length: sorted hashes, ids, weights, and which first bits of a hash there are
-        self.tables = {}
-        for n, rows in by_length.items():
-            rows.sort()
-            keys, there = np.array([r[0] for r in rows], np.uint64), np.zeros(1 << FIRST_BITS, bool)
-            there[keys >> np.uint64(64 - FIRST_BITS)] = True
-            self.tables[n] = keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), there
+            self.ids[nodes[piece]], self.weight[nodes[piece]] = i, weight
+        self.is_piece, self.linear = self.ids >= 0, np.exp(self.weight)
+        self.first = np.zeros(self.classes, np.int32)
+        self.first[[classes[n] for n in names if len(n) == 1]] = [nodes[n] for n in names if len(n) == 1]
+        deeper = [n for n in names if len(n) > 1]
+        keys = np.array([nodes[n[:-1]] * self.classes + classes[n[-1]] for n in deeper], np.int64)
+        to = np.array([nodes[n] for n in deeper], np.int32)
+        bits = max(len(keys), 1).bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot = self._slots(keys)
+        while len(keys):
+            one = np.unique(slot, return_index=True)[1]
+            one = one[self.keys[slot[one]] < 0]
+            self.keys[slot[one]], self.to[slot[one]] = keys[one], to[one]
+            left = np.ones(len(keys), bool)
+            left[one] = False
+            keys, to, slot = keys[left], to[left], (slot[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _MULT) >> self.shift).view(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters, given by their classes, lead to; 0 where there is none."""
+        keys = node * np.int64(self.classes) + char
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        hit = there == keys
+        out = np.where(hit, self.to[slot], 0)
+        off = np.flatnonzero(~hit & (there >= 0))
+        slot = slot[off]
+        while off.size:
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            hit = there == keys[off]
+            out[off[hit]] = self.to[slot[hit]]
+            on = np.flatnonzero(~hit & (there >= 0))
+            off, slot = off[on], slot[on]
+        return out
 
 
 @dataclass
 class Words:
-    """Lattices of distinct words, laid end to end: for a piece of n characters, log_prob[z, n - 1] is that of the edge
-    that ends with character z, given its end, upto[z] has the running sums of the probabilities, and ids[n - 1, a] is the
-    piece that begins with character a (-1: bytes)."""
-
-    begin: dict[str, int]
-    log_prob: np.ndarray
-    upto: np.ndarray
-    ids: np.ndarray
+    """Lattices of distinct words, with characters laid place by place: first those at place 0 of all words, by falling
+    size, then those at place 1. For character c, start[c] to start[c + 1] are the edges that end with it, longest first.
+    An edge has its node of the trie, its share (the probability given its end; in `cut`, the last one's is infinite), and
+    in source the character that the edge before it ends with (`chars`: it begins the word), above the bits of its length."""
+
+    words: list[str]
+    size: np.ndarray
+    rank: np.ndarray
+    place: np.ndarray
+    where: np.ndarray
     codes: np.ndarray
+    start: np.ndarray
+    node: np.ndarray
+    share: np.ndarray
+    cut: np.ndarray
+    source: np.ndarray
+    lattices: Lattices
+
+    @property
+    def chars(self) -> int:
+        return len(self.codes)
+
+    @property
+    def begin(self) -> dict[str, int]:
+        """Where words begin when they are laid end to end."""
+        return dict(zip(self.words, (np.cumsum(self.size) - self.size).tolist()))
+
+    @property
+    def ids(self) -> np.ndarray:
+        """ids[n - 1, a]: the piece of n characters that begins with character a of the words laid end to end (-1: none)."""
+        out = np.full((self.lattices.longest, self.chars), -1, np.int32)
+        own = np.empty(self.chars, np.int64)
+        own[self.where] = np.arange(self.chars)
+        n = self.lattices.depth[self.node]
+        out[n - 1, np.repeat(own, np.diff(self.start)) - n + 1] = self.lattices.ids[self.node]
+        return out
+
+    def shares(self, char: int) -> list[float]:
+        """Probabilities of the edges that end with a character, shortest first."""
+        return self.share[self.start[char] : self.start[char + 1]][::-1].tolist()
 
 
 def build_words(words: list[str], lattices: Lattices) -> Words:
     """Lattices of distinct words, place by place of all words together."""
-    words = sorted(words, key=len)
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    size = np.array([len(w) for w in words], np.int64)
-    begin = np.cumsum(size) - size
-    total, deep = len(codes), lattices.longest
-    ids, weight = np.full((deep, total), -1, np.int32), np.full((deep, total), -inf)
-    room = np.repeat(begin + size, size) - np.arange(total)  # characters from here to the word's end
-    h = np.zeros(total, np.uint64)
-    for n in range(1, deep + 1):
-        at = np.flatnonzero(room >= n)
-        own_h = h[at] * _MULT + (codes[at + n - 1] + 1).astype(np.uint64)
-        h[at] = own_h
-        if n in lattices.tables and len(at):
-            keys, own, weights, there = lattices.tables[n]
-            near = there[own_h >> np.uint64(64 - FIRST_BITS)]
-            at, own_h = at[near], own_h[near]
-            k = np.minimum(np.searchsorted(keys, own_h), len(keys) - 1)
-            hit = keys[k] == own_h
-            ids[n - 1, at[hit]], weight[n - 1, at[hit]] = own[k[hit]], weights[k[hit]]
-    lone = np.flatnonzero(ids[0] < 0)
-    weight[0, lone] = lattices.byte_weight * (1 + (codes[lone] >= 0x80) + (codes[lone] >= 0x800) + (codes[lone] >= 0x10000))
-    log_prob, alpha = np.full((deep, total), -inf), np.zeros(total + len(words))
-    shift = np.repeat(np.arange(len(words)), size)  # alpha has one place more for each word
-    base = begin + np.arange(len(words))
-    short = int(np.searchsorted(size, LONG_WORD, side="right"))
-    for j in range(1, int(size[short - 1]) + 1 if short else 0):
-        own = np.arange(int(np.searchsorted(size, j)), short)
-        end = begin[own] + j - 1
-        reach = min(j, deep)
-        parts = np.stack([alpha[base[own] + j - n] + weight[n - 1, end - n + 1] for n in range(1, reach + 1)])
-        top = parts.max(axis=0)
-        sums = top + np.log(np.exp(parts - top).sum(axis=0))
-        alpha[base[own] + j] = sums
-        log_prob[:reach, end] = parts - sums
-    for w in range(short, len(words)):  # few
-        values = [0.0]
-        first = int(begin[w])
-        for j in range(1, int(size[w]) + 1):
-            parts = [values[j - n] + weight[n - 1, first + j - n] for n in range(1, min(j, deep) + 1)]
-            top = max(parts)
-            values.append(top + log(sum(exp(x - top) for x in parts)))
-            log_prob[: len(parts), first + j - 1] = np.array(parts) - values[-1]
-    log_prob = np.ascontiguousarray(log_prob.T)
-    return Words(dict(zip(words, begin.tolist())), log_prob, np.cumsum(np.exp(log_prob), axis=1), ids, codes)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    chars, begin = len(codes), np.cumsum(size) - size
+    rank = np.empty(len(words), np.int64)
+    order = np.argsort(-size, kind="stable")
+    rank[order] = np.arange(len(words))
+    deepest = int(size.max()) if len(words) else 0
+    many = len(words) - np.cumsum(np.bincount(size, minlength=deepest + 1))[:deepest]  # words beyond each place
+    place = np.cumsum(many) - many
+    inner = np.arange(chars) - np.repeat(begin, size)
+    room = np.repeat(size, size) - inner  # characters from here to the word's end
+    where = (place[inner] + np.repeat(rank, size)).astype(np.int32)
+    before = np.empty(chars, np.int32)
+    before[1:] = where[:-1]
+    before[begin] = chars
+    # edges by length: ends, sources and nodes
+    char = lattices.class_of[np.minimum(codes, len(lattices.class_of) - 1)]
+    first = lattices.first[char]
+    lone = np.flatnonzero(~lattices.is_piece[first])
+    node = first.copy()
+    node[lone] = 1 + (codes[lone] >= 0x80) + (codes[lone] >= 0x800) + (codes[lone] >= 0x10000)
+    bits = lattices.length_bits
+    before = before.astype(np.int64) << bits
+    found = [(where, before | 1, node)]
+    count = np.ones(chars, np.int32)
+    at = np.flatnonzero(lattices.inner[first] & (room > 1))
+    node = first[at]
+    for n in range(2, lattices.longest + 1):
+        if not len(at):
+            break
+        node = lattices.step(node, char[at + (n - 1)])
+        hit = np.flatnonzero(lattices.is_piece[node])
+        own = at[hit]
+        end = where[own + (n - 1)]
+        count[end] += 1
+        found.append((end, before[own] | n, node[hit]))
+        on = np.flatnonzero(lattices.inner[node] & (room[at] > n))
+        at, node = at[on], node[on]
+    start = np.zeros(chars + 1, np.int64)
+    np.cumsum(count, out=start[1:])
+    slots, edges = start[:-1].copy(), int(start[-1])
+    nodes, source = np.empty(edges, np.int32), np.empty(edges, np.int64)
+    while found:
+        end, src, node = found.pop()
+        slot = slots[end]
+        nodes[slot], source[slot] = node, src
+        slots[end] = slot + 1
+    # forward sums, in which a word of usual length stays far from the bounds of a double
+    share, total = lattices.linear[nodes], np.ones(chars + 1)
+    with np.errstate(all="ignore"):
+        for j in range(min(deepest, LONG_WORD)):
+            a, z = int(place[j]), int(place[j] + many[j])
+            e, f = int(start[a]), int(start[z])
+            if j:
+                share[e:f] *= total[source[e:f] >> bits]
+            total[a:z] = np.add.reduceat(share[e:f], start[a:z] - e)
+    odd = np.flatnonzero(~((total > LEAST_SUM) & (total < MOST_SUM)))
+    again = set(range(int(many[LONG_WORD]) if deepest > LONG_WORD else 0))
+    again |= set((odd - place[np.searchsorted(place, odd, side="right") - 1]).tolist())
+    with np.errstate(all="ignore"):
+        share /= np.repeat(total[:-1], count)
+    laid = np.empty(chars, np.int32)
+    laid[where] = codes
+    out = Words(words, size, rank, place, where, laid, start, nodes, share, share, source, lattices)
+    for w in again:  # few
+        _sum_logs(out, [int(place[j]) + w for j in range(int(size[order[w]]))])
+    out.cut = share.copy()
+    out.cut[start[1:] - 1] = inf
+    return out
+
+
+def _sum_logs(built: Words, chars: list[int]) -> None:
+    """The shares of one word's edges by logarithms."""
+    values = {built.chars: 0.0}
+    for c in chars:
+        e, f = int(built.start[c]), int(built.start[c + 1])
+        sources = (built.source[e:f] >> built.lattices.length_bits).tolist()
+        parts = [values[s] + w for s, w in zip(sources, built.lattices.weight[built.node[e:f]].tolist())]
+        top = max(parts)
+        values[c] = top + log(sum(exp(x - top) for x in parts))
+        built.share[e:f] = [exp(x - values[c]) for x in parts]
 
 
 def words_of(text: str, sp) -> list[str]:
     """Words of the normalised text, each but perhaps the first beginning with the mark."""
-    parts = sp.normalize(text).split(MARK)
-    return [w for w in [parts[0], *(MARK + p for p in parts[1:])] if w]
+    text = sp.normalize(text)
+    if "\0" in text:
+        first, *parts = text.split(MARK)
+        words = [first, *(MARK + p for p in parts)]
+    else:
+        words = text.replace(MARK, "\0" + MARK).split("\0")
+    return words if words[0] else words[1:]
 
 
 class Row:
-    """One text's search: its characters' places in the lattices, word ends, open nodes, and paths found."""
+    """One text's search: its random stream, open nodes, and paths found."""
 
-    def __init__(self, words: list[str], built: Words, seed: bytes):
+    def __init__(self, length: int, seed: bytes):
         self.rng = np.random.Generator(np.random.Philox(key=int.from_bytes(seed, "little")))
-        size = np.array([len(w) for w in words], np.int64)
-        first = np.array([built.begin[w] for w in words], np.int64)
-        self.word_end = np.cumsum(size)
-        self.place = np.arange(int(size.sum())) + np.repeat(first - (self.word_end - size), size)
-        self.word_begin = self.word_end - size
         root = -log(-log(self.rng.random() or 1e-300))
-        # value, end of the part still to be drawn, log-probability so far, and the lengths of edges by their last character
-        self.open = [(root, len(self.place), 0.0, np.zeros(len(self.place), np.uint16))]
-        self.done: list[tuple[float, float, np.ndarray]] = []
+        # value, end of the part still to be drawn, log-probability so far, and the edges beyond
+        self.open = [(root, length, 0.0, np.zeros(0, np.int64))]
+        self.done: list[tuple[float, np.ndarray]] = []
 
 
-def draw_paths(rows: list[Row], nodes: list[tuple], built: Words) -> list[tuple]:
-    """For each row's node: (log-probability, lengths, ends, log-probability before each, largest other value).
+class Texts:
+    """The words of a batch's texts, laid end to end: ranks in `built`, and where words and texts end."""
+
+    def __init__(self, texts: list[list[str]], lattices: Lattices):
+        number = defaultdict(count_from().__next__)
+        count = np.array([len(t) for t in texts], np.int64)
+        own = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(count.sum()))
+        self.built = build_words(list(number), lattices)
+        self.rank, size = self.built.rank[own], self.built.size[own]
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+        self.word = np.concatenate([[0], np.cumsum(count)])  # each text's first word
+        self.edge = np.concatenate([[0], self.end])[self.word]  # each text's first character
+        self.length = np.diff(self.edge)
 
-    Words of all rows take their steps together, from their ends down.
-    """
-    until = [n[1] for n in nodes]
-    offset = np.cumsum([0] + until)
-    draws = [(r.rng.random(n), r.rng.random(n)) for r, n in zip(rows, until)]
-    first, second = (np.concatenate([d[k] for d in draws]) for k in (0, 1))
-    place = np.concatenate([r.place[:n] for r, n in zip(rows, until)])
-    ends, begins = [], []
-    for k, (r, n) in enumerate(zip(rows, until)):
-        words = int(np.searchsorted(r.word_begin, n, side="left"))
-        ends.append(np.minimum(r.word_end[:words], n) + offset[k])
-        begins.append(r.word_begin[:words] + offset[k])
-    end, begin = np.concatenate(ends), np.concatenate(begins)
-    length, chosen = np.zeros(len(place), np.uint16), np.zeros(len(place))
-    rest = np.zeros(len(place))
-    while len(end):
-        at = end - 1
-        upto = built.upto[place[at]]
-        n = (upto <= (first[at] * upto[:, -1])[:, None]).sum(axis=1)
-        if (over := np.flatnonzero(n == upto.shape[1])).size:  # a draw that rounds to the whole
-            n[over] = built.log_prob[place[at[over]]].argmax(axis=1)
-        log_prob = built.log_prob[place[at], n]
-        length[at], chosen[at] = n + 1, log_prob
-        rest[at] = np.maximum(upto[:, -1] - np.exp(log_prob), 0.0)
-        end = at - n
-        keep = end > begin
-        end, begin = end[keep], begin[keep]
-    out = []
-    for k, (r, node) in enumerate(zip(rows, nodes)):
-        a, z = offset[k], offset[k + 1]
-        own = np.flatnonzero(length[a:z])[::-1]  # from the right
-        log_probs = chosen[a:z][own]
-        before = node[2] + np.cumsum(log_probs) - log_probs
-        with np.errstate(divide="ignore", over="ignore"):
-            where = before + np.log(rest[a:z][own])
-            other = where - np.log(np.exp(np.minimum(where - node[0], 700.0)) - np.log(np.maximum(second[a:z][own], 1e-300)))
-        out.append((node[2] + float(log_probs.sum()), length[a:z], own + 1, before, np.where(np.isneginf(where), -inf, other)))
-    return out
 
+def draw_paths(rows: list[tuple[int, Row, tuple]], texts: Texts, need: int) -> None:
+    """Draws the path of each row's node, and opens the nodes beside it that can still be among the `need` best.
 
-def branch(row: Row, node: tuple, path: tuple, built: Words, need: int) -> None:
-    """Opens the nodes beside a path that can still be among the `need` best."""
-    _, lengths, ends, before, other = path
-    whole = node[3].copy()
-    whole[: len(lengths)] = lengths
-    row.done.append((node[0], path[0], whole))
-    if not need:
-        return
-    best = np.argsort(-other, kind="stable")[:need]
-    for k in best[~np.isneginf(other[best])].tolist():
-        end, phi, bound = int(ends[k]), float(before[k]), float(other[k])
-        log_prob = built.log_prob[row.place[end - 1]]
-        left = [n for n in np.flatnonzero(~np.isneginf(log_prob)).tolist() if n + 1 != lengths[end - 1]]
-        while left:
-            if len(row.open) >= need and bound <= row.open[need - 1][0]:
+    Words of all rows take their steps together, from their ends down.
+    """
+    built, own = texts.built, np.array([i for i, _, _ in rows])
+    low = texts.edge[own]
+    high = low + np.array([node[1] for _, _, node in rows], np.int64)
+    first, second = np.empty(texts.edge[-1]), np.empty(texts.edge[-1])
+    for (_, row, _), a, z in zip(rows, low.tolist(), high.tolist()):
+        row.rng.random(out=first[a:z])
+        row.rng.random(out=second[a:z])
+    words = texts.word[own]
+    count = np.where(high > low, np.searchsorted(texts.begin, high, side="left") - words, 0)
+    word = np.arange(int(count.sum())) + np.repeat(words - (np.cumsum(count) - count), count)
+    at = np.minimum(texts.end.take(word), np.repeat(high, count))
+    char = built.place.take(at - texts.begin.take(word) - 1) + texts.rank.take(word)
+    at -= 1
+    edge, bits = np.full(texts.edge[-1], -1, np.int64), built.lattices.length_bits
+    while len(at):
+        taken = built.start.take(char)
+        left = 1.0 - first.take(at)
+        left -= built.cut.take(taken)
+        more = np.flatnonzero(left > 0)
+        left = left.take(more)
+        while more.size:
+            then = taken.take(more) + 1
+            taken[more] = then
+            left -= built.cut.take(then)
+            on = np.flatnonzero(left > 0)
+            more, left = more.take(on), left.take(on)
+        edge[at] = taken
+        source = built.source.take(taken)
+        on = np.flatnonzero(source < built.chars << bits)
+        source = source.take(on)
+        at, char = at.take(on) - (source & (1 << bits) - 1), source >> bits
+    ends = np.flatnonzero(edge >= 0)[::-1]  # from the right
+    taken = edge.take(ends)
+    prob = built.share.take(taken)
+    log_prob = np.log(prob)
+    bound = np.searchsorted(-ends, -np.stack([high - 1, low - 1]), side="left")
+    for (i, row, node), a, z in zip(rows, *bound.tolist()):
+        own_log, path = log_prob[a:z], np.concatenate([taken[a:z][::-1], node[3]])
+        row.done.append((node[2] + float(own_log.sum()), path))
+        if not need:
+            continue
+        before, own_second = node[2] + np.cumsum(own_log) - own_log, second.take(ends[a:z])
+        # `before` falls to the left, and no value is over it by more than the largest Gumbel
+        most, m, best = -log(-log(max(own_second.max(initial=0.0), 1e-300))) + 1e-9, FIRST_PLACES, []
+        while z > a:
+            with np.errstate(divide="ignore", over="ignore"):
+                where = before[:m] + np.log(1.0 - prob[a:z][:m])
+                other = where - np.log(np.exp(np.minimum(where - node[0], 700.0)) - np.log(np.maximum(own_second[:m], 1e-300)))
+            other[where == -inf] = -inf
+            best = np.argsort(-other, kind="stable")[:need].tolist()
+            if m >= z - a or len(best) == need and before[m] + most < other[best[-1]]:
                 break
-            mass = np.exp(log_prob[left])
-            at = min(int(np.searchsorted(np.cumsum(mass), row.rng.random() * mass.sum(), side="right")), len(left) - 1)
-            n = left.pop(at)
-            own = whole.copy()
-            own[:end] = 0
-            own[end - 1] = n + 1
-            row.open.append((bound, end - n - 1, phi + float(log_prob[n]), own))
-            row.open.sort(key=lambda x: -x[0])
-            del row.open[need:]
-            total = float(np.exp(log_prob[left]).sum()) if left else 0.0
-            if total <= 0.0:
+            m *= 4
+        for k in best:
+            if other[k] > -inf:
+                end = int(ends[a + k]) + 1 - int(texts.edge[i])
+                _branch(row, built, need, end, int(taken[a + k]), float(before[k]), float(other[k]), path[z - a - k :])
+
+
+def _branch(row: Row, built: Words, need: int, end: int, edge: int, phi: float, bound: float, beyond: np.ndarray) -> None:
+    """Opens the edges beside one of a path, which have the same end, best first."""
+    char = int(built.start.searchsorted(edge, side="right")) - 1
+    final = int(built.start[char + 1]) - 1
+    left = [(final - k, p) for k, p in enumerate(built.shares(char)) if final - k != edge and p > 0.0]
+    while left:
+        if len(row.open) >= need and bound <= row.open[need - 1][0]:
+            return
+        total = sum(p for _, p in left)
+        goal, at = row.rng.random() * total, 0
+        for at, (_, p) in enumerate(left):
+            goal -= p
+            if goal < 0:
                 break
-            where = phi + log(total)
-            bound = where - log(exp(min(where - bound, 700.0)) - log(row.rng.random() or 1e-300))
+        own, p = left.pop(at)
+        row.open.append((bound, end - int(built.lattices.depth[built.node[own]]), phi + log(p), np.concatenate([[own], beyond])))
+        row.open.sort(key=lambda x: -x[0])
+        del row.open[need:]
+        if not left:
+            return
+        where = phi + log(sum(p for _, p in left))
+        bound = where - log(exp(min(where - bound, 700.0)) - log(row.rng.random() or 1e-300))
 
 
 def sample_batch(texts: list[list[str]], lattices: Lattices, k: int, seeds: list[bytes]) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text, given as its words: (ids, log_prob, inclusion) of k distinct segmentations, as they are drawn."""
-    built = build_words(list({w for t in texts for w in t}), lattices)
-    rows = [Row(t, built, seed) for t, seed in zip(texts, seeds)]
+    own = Texts(texts, lattices)
+    rows = [Row(n, seed) for n, seed in zip(own.length.tolist(), seeds)]
     for found in range(k):
-        active = [r for r in rows if r.open]
-        nodes = [r.open.pop(0) for r in active]
-        for r, node, path in zip(active, nodes, draw_paths(active, nodes, built) if active else ()):
-            branch(r, node, path, built, k - found)
-    return [_results(r, built, lattices) for r in rows]
-
-
-def _results(row: Row, built: Words, lattices: Lattices) -> list[tuple[np.ndarray, float, float]]:
-    kappa = row.open[0][0] if row.open else -inf
+        if active := [(i, r, r.open.pop(0)) for i, r in enumerate(rows) if r.open]:
+            draw_paths(active, own, k - found)
+    return _results(rows, own.built)
+
+
+def _results(rows: list[Row], built: Words) -> list[list[tuple[np.ndarray, float, float]]]:
+    paths = [path for r in rows for _, path in r.done]
+    edges = np.concatenate([np.zeros(0, np.int64), *paths])
+    ids, until = built.lattices.ids[built.node[edges]], np.cumsum([len(p) for p in paths])
+    if (lone := np.flatnonzero(ids < 0)).size:
+        chars = np.searchsorted(built.start, edges[lone], side="right") - 1
+        codes = built.codes[chars].tolist()
+        known = {c: [built.lattices.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in set(codes)}
+        own = [known[c] for c in codes]
+        times = np.ones(len(ids), np.int64)
+        times[lone] = [len(x) for x in own]
+        until = np.concatenate([[0], np.cumsum(times)])[until]
+        ids = np.repeat(ids, times)
+        ids[ids < 0] = np.concatenate(own)
+    parts = iter(np.split(ids, until[:-1]))
     out = []
-    for _, phi, lengths in row.done:
-        ends = np.flatnonzero(lengths)
-        n = lengths[ends].astype(np.int64)
-        ids = built.ids[n - 1, row.place[ends - n + 1]] if len(ends) else np.zeros(0, np.int32)
-        if (lone := np.flatnonzero(ids < 0)).size:
-            own = [[lattices.bytes[b] for b in chr(built.codes[row.place[z]]).encode("utf-8", "surrogatepass")] for z in ends[lone].tolist()]
-            times = np.ones(len(ids), np.int64)
-            times[lone] = [len(x) for x in own]
-            ids = np.repeat(ids, times)
-            ids[ids < 0] = np.concatenate(own)
-        out.append((ids, phi, 1.0 if kappa == -inf else -expm1(-exp(min(phi - kappa, 700.0)))))
+    for r in rows:
+        kappa = r.open[0][0] if r.open else -inf
+        out.append([(next(parts), phi, 1.0 if kappa == -inf else -expm1(-exp(min(phi - kappa, 700.0)))) for phi, _ in r.done])
     return out
 
 
@@ -271,8 +431,27 @@ def lattices_of(path: str) -> Lattices:
     return _lattices[path]
 
 
-def decode_ids(ids: list[int], lattices: Lattices) -> str:
-    return lattices.sp.decode(ids)
+def decode_ids(ids: np.ndarray, begin: np.ndarray, lattices: Lattices) -> list[str]:
+    """The texts of lists of ids, laid end to end, that begin at begin[:-1], as the library decodes them: the mark that
+    begins a text is dropped. Bytes that are no UTF-8, ids without a text and unusual beginnings are left to it."""
+    known = np.clip(ids, 0, len(lattices.raw_size) - 1)
+    size = lattices.raw_size.take(known)
+    odd = set((np.searchsorted(begin, np.flatnonzero((known != ids) | (size == 0)), side="right") - 1).tolist())
+    to = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat(lattices.raw_begin.take(known) - to[:-1], size)
+    place += np.arange(len(place))
+    raw, bounds_of, out = lattices.raw.take(place).tobytes(), to[begin].tolist(), []
+    for k, (a, z) in enumerate(zip(bounds_of, bounds_of[1:])):
+        text = None
+        if k not in odd:
+            try:
+                text = raw[a:z].decode()
+            except UnicodeDecodeError:
+                pass
+        if text and text[0] == " ":
+            text = text[1:] if lattices.drops_mark and size[begin[k]] > 1 and text[1:2] != " " else None
+        out.append(lattices.sp.decode(ids[begin[k] : begin[k + 1]].tolist()) if text is None else text)
+    return out
 
 
 def _seed(key: list) -> bytes:
@@ -302,11 +481,11 @@ def sample_encode(rows: DataFrame, keys: list[str], path: str, k: int = 2, text_
             count = np.array([len(f) for f in found])
             flat = [x for f in found for x in f]
             lengths = np.array([len(x[0]) for x in flat])
-            values = pa.array(np.concatenate([x[0] for x in flat]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+            begin, values = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([x[0] for x in flat]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values))
             number = np.concatenate([np.arange(1, c + 1) for c in count]).astype(np.int32)
             chosen = part.take(pa.array(np.repeat(np.arange(part.num_rows), count))).columns[:m]
-            texts = [pa.array([decode_ids(x[0].tolist(), lattices) for x in flat], pa.string())] if decoded else []
+            texts = [pa.array(decode_ids(values, begin, lattices), pa.string())] if decoded else []
             return pa.RecordBatch.from_arrays([*chosen, pa.array(number), ids, pa.array([x[1] for x in flat]), pa.array([x[2] for x in flat]), *texts], names=schema.names)
 
         for batch in batches:
@@ -326,7 +505,11 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(path)
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, lattices) for ids in batch.column(ids_col).to_pylist()]
+            ids = batch.column(ids_col)
+            count = np.array(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
+            flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)  # the library refuses -1
+            found = decode_ids(flat, np.concatenate([[0], np.cumsum(count)]), lattices)
+            texts = [t if there else None for t, there in zip(found, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(releasing(run), schema)

@@ -774,3 +774,107 @@ def test_pipeline_stages(spark):
         assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own] == [r.ids_crc32 for r in own]
         assert sum(r.length for r in own) == len(ids)
     assert not packed
+
+
+def piece_texts(lattices, rng, count, words):
+    """Texts of words that are made of pieces."""
+    parts = [p.strip(sentencepieces.MARK) for p in list(lattices.pieces)[:3000]]
+    return [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(words)) for _ in range(count)]
+
+
+def test_sampling_two_segmentations_costs_a_few_times_an_encoding():
+    import time
+
+    import public_tokenizers
+
+    lattices = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = piece_texts(lattices, random.Random(5), 40, 500)
+    seeds = [i.to_bytes(8, "little") for i in range(len(texts))]
+
+    def cpu(run):
+        times = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            times.append(time.process_time() - begun)
+        return min(times)
+
+    once = cpu(lambda: [lattices.sp.encode(t) for t in texts])
+    sampled = cpu(lambda: sentencepieces.sample_batch([sentencepieces.words_of(t, lattices.sp) for t in texts], lattices, 2, seeds))
+    assert sampled < 3 * once  # 1.8 times; 4.9 times when lattices were dense and every place was looked at
+
+
+def test_lattices_take_memory_for_edges_alone():
+    import tracemalloc
+
+    import public_tokenizers
+
+    lattices = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    words = list({w for t in piece_texts(lattices, random.Random(6), 20, 500) for w in sentencepieces.words_of(t, lattices.sp)})
+    tracemalloc.start()
+    try:
+        sentencepieces.build_words(words, lattices)
+        assert tracemalloc.get_traced_memory()[1] < 350 * sum(map(len, words))
+    finally:
+        tracemalloc.stop()
+
+
+def test_shares_of_edges_equal_plain_sums_in_long_words_and_rare_characters():
+    import public_tokenizers
+
+    lattices = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model"))
+    # the fourth and the last would leave the range of a double
+    words = ["a", "then", "x漢\U0001f600then", "\U0001f9ff" * 40, "the" * 16, "the" * 16 + "n", "therandother" * 60, "\U0001f9ff漢a" * 100]
+    built = sentencepieces.build_words(words, lattices)
+    for w, rank in zip(words, built.rank.tolist()):
+        sums = [0.0]
+        for z in range(1, len(w) + 1):
+            parts = {}
+            for n in range(1, min(z, lattices.longest) + 1):
+                if w[z - n : z] in lattices.pieces:
+                    parts[n] = sums[z - n] + lattices.pieces[w[z - n : z]][1]
+                elif n == 1:
+                    parts[n] = sums[z - 1] + len(w[z - 1].encode()) * lattices.byte_weight
+            sums.append(float(np.logaddexp.reduce(list(parts.values()))))
+            got = built.shares(int(built.place[z - 1]) + rank)
+            assert len(got) == len(parts)
+            assert np.allclose(got, [np.exp(p - sums[-1]) for _, p in sorted(parts.items())], rtol=1e-9, atol=1e-300), (w, z)
+
+
+def test_samples_do_not_depend_on_the_other_rows():
+    import public_tokenizers
+
+    lattices, rng = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model")), random.Random(7)
+    texts = [*piece_texts(lattices, rng, 6, 300), "", "a", "\U0001f9ff" * 300, "therandother" * 60, *piece_texts(lattices, rng, 2, 3)]
+    words, seeds = [sentencepieces.words_of(t, lattices.sp) for t in texts], [i.to_bytes(8, "little") for i in range(len(texts))]
+    together = sentencepieces.sample_batch(words, lattices, 3, seeds)
+    for w, seed, found in zip(words, seeds, together):
+        ((alone),) = sentencepieces.sample_batch([w], lattices, 3, [seed])
+        assert [(i.tolist(), p, x) for i, p, x in alone] == [(i.tolist(), p, x) for i, p, x in found]
+    assert sentencepieces.sample_batch([], lattices, 2, []) == []
+
+
+def test_decoding_equals_the_library():
+    import public_tokenizers
+
+    lattices, rng = sentencepieces.lattices_of(public_tokenizers.path("piece_bpe_32k.model")), random.Random(8)
+    mark, byte = lattices.pieces[sentencepieces.MARK][0], list(lattices.bytes.values())
+    size = lattices.sp.get_piece_size()
+    lists = [[], [mark], [mark, mark], [mark, 500], [lattices.bytes[0x20], 500], [500, mark], [0], [1, mark, 500], [mark, 0, 500]]
+    lists += [[lattices.bytes[b] for b in "漢a\U0001f600".encode()], [lattices.bytes[0xE6], 500], [byte[200], byte[100], 700]]
+    lists += [rng.choices(range(size), k=rng.randrange(40)) for _ in range(300)] + [rng.choices(byte, k=5) for _ in range(50)]
+    lists += [lattices.sp.encode(t) for t in (" then  again", "\U0001f9ff x", prose(9, 50))] + [[]]
+    begin = np.cumsum([0, *map(len, lists)])
+    got = sentencepieces.decode_ids(np.array([i for ids in lists for i in ids], np.int32), begin, lattices)
+    assert got == [lattices.sp.decode(ids) for ids in lists]
+
+
+def test_decode_takes_null_and_empty_lists(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lattices = sentencepieces.lattices_of(path)
+    lists = [None, [], lattices.sp.encode("then again"), None, lattices.sp.encode("a漢\U0001f9ff"), []]
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>").coalesce(1)
+    got = {r.k: r.decoded for r in sentencepieces.decode(df, path).collect()}
+    assert got == {k: None if ids is None else lattices.sp.decode(ids) for k, ids in enumerate(lists)}
