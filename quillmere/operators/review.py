@@ -1,14 +1,19 @@
 """Review rules parsed from checklists, and the safety gate that reads them.
 
-A rule's terms meet texts by an equi-join on their first characters, so neither side is broadcast and any number of rules works.
+Texts meet the rules' terms in a narrow map: each text is one pass of an automaton over a bounded block of terms, and only
+the numbers of the terms found leave a task. No text is shuffled, and any number of rules is that many blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams
+from ..functions.storage import materialize
 
 #: The forms of issues, headings and pending items, what parts terms, the heading of pending items, its
 #: issue, marks of blocking issues, and what makes a question one of high risk.
@@ -19,8 +24,8 @@ TERM_MARKS = r"\s*(?:、|，|,|/|\s+或\s+)\s*"
 PENDING_SECTION, PENDING_ISSUE = "仍需人工确认", "人工确认"
 BLOCKING = ["转写错误", "待核", "信息缺失", "疾病名", "机制表述"]
 HIGH_RISK = "剂量|用药|停药|加药|处方|诊断|确诊|治疗|手术|急救|胸痛|呼吸困难|大出血|昏迷|怀孕|妊娠|儿童|婴儿|HIV|艾滋|梅毒|淋病|癌|肿瘤|脑梗|心梗"
-#: Characters that lead from a term to the texts to look at.
-GRAM_MOST = 4
+#: Terms of an automaton; texts are read once for each block of so many.
+BLOCK_TERMS = 65_536
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 UNREVIEWED, AMBIGUOUS, PENDING_SUMMARY = "medical evidence has not been human reviewed", "retrieved evidence contains ambiguous terminology", "retrieved summary is pending review"
 PENDING_TERMS, SUMMARY_ONLY, NO_SOURCE = "retrieved evidence contains terminology pending human review", "derived summary requires raw evidence for high-risk answers", "high-risk medical answer lacks raw or human-reviewed evidence"
@@ -56,25 +61,56 @@ def rule_counts(rules: DataFrame) -> DataFrame:
     return rules.groupBy("doc_id").agg(F.count("*").alias("rule_count"), F.count_if(F.col("severity") == "block").alias("blocking_rule_count"), F.count_if(F.col("severity") == "warn").alias("warning_rule_count"))
 
 
-def matched_terms(texts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def term_finder(terms: list[str]):
+    """Batches of (_key, low) to (_key, term), distinct within each batch: which of the terms the texts of a key hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for term in terms:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for batch in batches:
+            keys, found = batch.column(0).dictionary_encode("encode"), {}
+            for code, low in zip(keys.indices.to_pylist(), batch.column(1)):
+                found.setdefault(code, set()).update(term for _, term in automaton.iter(low.as_py()))
+            rows = [(code, term) for code, own in found.items() for term in own]
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string())], ["_key", "low"])
+
+    return run
+
+
+def matched_terms(texts: DataFrame, rules: DataFrame, key: str, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(key, severity, terms): the rules' terms of two characters or more that some text of the key holds, case aside, in
     the order of the rules and once each.
 
-    texts: key, text. A term meets the texts that hold its first four characters (or all of it), and is then looked for."""
+    texts: key, text. The distinct lower-case terms come to the driver, a block at a time, and go out with the tasks."""
     wanted = rules.select("severity", "line_number", "pos", F.posexplode("terms").alias("k", "term")).where(F.char_length("term") >= 2)
-    wanted = wanted.groupBy("severity", "term").agg(F.min(F.struct("line_number", "pos", "k")).alias("place")).withColumn("gram", F.substring(F.lower("term"), 1, GRAM_MOST))
+    wanted = materialize(wanted.groupBy("severity", "term").agg(F.min(F.struct("line_number", "pos", "k")).alias("place")).withColumn("low", F.lower("term")), "terms")
     low = texts.select(F.col(key).alias("_key"), F.lower("text").alias("low")).where(F.char_length("low") >= 2)
-    grams = char_grams(F.col("low"), list(range(2, GRAM_MOST + 1)))
-    found = low.withColumn("gram", F.explode(grams)).join(wanted, "gram").where(F.contains("low", F.lower("term"))).select("_key", "severity", "term", "place").distinct()
-    listed = found.groupBy("_key", "severity").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    schema, found = f"_key {low.schema['_key'].dataType.simpleString()}, low string", low.limit(0)
+    for terms in _blocks(wanted.select("low").distinct(), block_terms):
+        found = found.unionByName(low.mapInArrow(term_finder(terms), schema).distinct())
+    listed = found.join(wanted, "low").groupBy("_key", "severity").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
     return listed.select(F.col("_key").alias(key), "severity", F.transform("t", lambda x: x["term"]).alias("terms"))
 
 
-def safety_gate(questions: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
+def _blocks(terms: DataFrame, each: int) -> Iterator[list[str]]:
+    block: list[str] = []
+    for row in terms.toLocalIterator():
+        block.append(row[0])
+        if len(block) == each:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def safety_gate(questions: DataFrame, results: DataFrame, rules: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(qid, action, risk_level, reasons, matched_terms) of each question with the results retrieved for it.
 
     questions: qid, question; results: qid, text, domain, risk_level, chunk_type, quality, answer_policy, source_of_truth,
-    nulls as not set; rules: severity, terms and their order. Questions outside the domain and without risk pass; terms
+    nulls as not set; rules: severity, terms and their order; texts: qid, text of the results, where these have none, so
+    that texts needn't go through the joins that fields come from. Questions outside the domain and without risk pass; terms
     under a blocking rule block; answers of high risk need raw or reviewed evidence; the rest may warn.
     """
     is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
@@ -86,7 +122,7 @@ def safety_gate(questions: DataFrame, results: DataFrame, rules: DataFrame) -> D
         F.bool_or(is_("answer_policy", "summary_requires_raw_evidence") & ~F.coalesce(F.col("source_of_truth"), F.lit(False))).alias("summary"),
         F.bool_or(is_("quality", "derived_pending_review")).alias("pending"),
     )
-    texts = questions.select("qid", F.col("question").alias("text")).unionByName(results.select("qid", "text"))
+    texts = questions.select("qid", F.col("question").alias("text")).unionByName((results if texts is None else texts).select("qid", "text"))
     terms = matched_terms(texts, rules, "qid").groupBy("qid").agg(*(F.first(F.when(F.col("severity") == s, F.col("terms")), ignorenulls=True).alias(s) for s in ("block", "warn")))
     flags = ["domain", "risk", "reviewed", "raw", "summary", "pending"]
     rows = questions.join(per, "qid", "left").join(terms, "qid", "left").withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})

@@ -144,8 +144,11 @@ def alias_annotation(spark, d):
 
 
 def checklists(spark, d):
-    first = table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", "source", "lang", words(F.col("text")).alias("w")).where(F.size("w") >= 12)
-    rows = first.groupBy("source").agg(F.min_by(F.struct("doc_id", "lang", "w"), "doc_id").alias("f")).select("source", "f.*")
+    # the first twelve words are all that is looked at; structs without arrays are aggregated without a sort of all rows
+    head = F.regexp_extract(F.lower("text"), r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){12}", 0)
+    first = table(spark, d, "documents").where("text is not null and source is not null and doc_id is not null").select("doc_id", "source", "lang", head.alias("head")).where("head <> ''")
+    ids = first.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    rows = first.join(ids, ["source", "doc_id"]).groupBy("source").agg(F.min(F.struct("doc_id", "lang", "head")).alias("f")).select("source", "f.doc_id", "f.lang", words(F.col("f.head")).alias("w"))
     w = lambda i: F.element_at("w", i)
     text = F.concat(
         F.lit("## "), "source", F.lit("\n- `〔疑似转写错误："), w(3), F.lit("、 "), w(5), F.lit("〕`：later\n### Part "), "lang", F.lit("\n〔术语边界不清："), w(9), F.lit(" / "), w(10), F.lit("〕 and 〔 药名待核 ："), w(11),
@@ -181,14 +184,17 @@ def review_rule_counts(spark, d):
 
 
 def judged_results(spark, d):
-    """Each question with the documents whose number it has, modulo the number of questions; fields from labels."""
-    n = questions(spark, d).count()
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select(
-        F.pmod("doc_id", F.lit(max(n, 1))).alias("qid"), "text", F.when(F.col("source").isin("src1", "src2"), "medical").alias("domain"), F.when(F.col("toxic") == 1, "high").otherwise("low").alias("risk_level"),
+    """(fields, texts) of each question's results, the documents whose number it has, modulo the number of questions;
+    fields from labels."""
+    qid = F.pmod("doc_id", F.lit(max(questions(spark, d).count(), 1))).alias("qid")
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    fields = rows.select(
+        qid, F.when(F.col("source").isin("src1", "src2"), "medical").alias("domain"), F.when(F.col("toxic") == 1, "high").otherwise("low").alias("risk_level"),
         F.when(F.col("lang") == "de", "raw_transcript").otherwise("structured_summary").alias("chunk_type"), F.when(F.col("quality") == 1, "human_reviewed").when(F.col("quality") == 0, "derived_pending_review").alias("quality"),
         F.when(F.col("lang") == "fr", "summary_requires_raw_evidence").alias("answer_policy"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 1).alias("source_of_truth"),
     )
+    return fields, docs.select(qid, "text")
 
 
 _HIGH = rv.HIGH_RISK
@@ -212,7 +218,8 @@ select qid, case k when 0 then 'allow' when 4 then 'warn' when 5 then 'allow' el
        case k when 1 then blk when 4 then wrn else '' end as matched_terms from dc""")
 def medical_safety(spark, d):
     asked = questions(spark, d).select("qid", F.concat(F.when(F.col("qid") % 4 == 0, "剂量 ").otherwise(""), "text").alias("question"))
-    found = rv.safety_gate(asked, judged_results(spark, d), rv.review_rules(checklists(spark, d)))
+    fields, texts = judged_results(spark, d)
+    found = rv.safety_gate(asked, fields, rv.review_rules(checklists(spark, d)), texts)
     return found.select("qid", "action", "risk_level", F.array_join("reasons", "|").alias("reasons"), F.array_join("matched_terms", ",").alias("matched_terms"))
 
 

@@ -191,6 +191,25 @@ def test_terms_meet_all_texts(spark):
     assert got == {i: found for i, t in enumerate(texts) if (found := [x for x in terms if len(x) > 1 and t and x.lower() in t.lower()])}
 
 
+def shuffled_bytes(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_not_shuffled_to_meet_terms(spark):
+    rng = random.Random(8)
+    texts = [(i % 7, "".join(rng.choice("abcdefghijklmnop ") for _ in range(2000))) for i in range(200)]
+    terms = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 5))) for _ in range(50)})
+    rules = spark.createDataFrame([("block", i, 0, [t.upper()]) for i, t in enumerate(terms)], "severity string, line_number long, pos long, terms array<string>")
+    before = shuffled_bytes(spark)
+    got = {r["k"]: r["terms"] for r in review.matched_terms(spark.createDataFrame(texts, "k long, text string"), rules, "k", block_terms=9).collect()}
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in texts)
+    assert got == {k: [t.upper() for t in terms if any(t in x for i, x in texts if i == k)] for k in range(7)}
+
+
 # matches and the stored index
 
 
