@@ -11,6 +11,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def word_count(text: Column) -> Column:
+    """The number of words(text), without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")).cast("long")
+
+
 def trim_all(text: Column) -> Column:
     """text without blanks, tabs and line breaks at its ends."""
     return F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")

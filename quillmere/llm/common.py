@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import SparkSession
 
-from ..functions.storage import materialize, materialize_last, new_path, shared_dir
+from ..functions.storage import BATCH_BYTES, BATCH_CONF, SPARK_BYTES, bound_batches, materialize, materialize_last, new_path, shared_dir
 
-__all__ = ["materialize", "materialize_last", "new_path", "shared_dir"]
+__all__ = ["BATCH_BYTES", "BATCH_CONF", "SPARK_BYTES", "bound_batches", "materialize", "materialize_last", "new_path", "shared_dir"]
 #: Fixed odd multipliers for the hashes below.
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -27,20 +26,6 @@ def release_memory() -> None:
         pass
 
 
-#: Bytes of an Arrow batch between an executor and its Python workers, and Spark's own limit.
-BATCH_BYTES, BATCH_CONF, SPARK_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on the session sends whole texts to Python in batches of about BATCH_BYTES, unless it has a limit of its own.
-
-    By Spark's limit a batch is all that a task reads; the executor holds it beside its heap while the worker holds it
-    and what it makes of it.
-    """
-    if spark.conf.get(BATCH_CONF) == SPARK_BYTES:
-        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
-
-
 def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f over batches, which gives memory back at the end of a task."""
 

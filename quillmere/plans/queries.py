@@ -76,7 +76,7 @@ def dense_topk(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 12)
+    found = rt.best_bm25(serving(spark, d), questions(spark, d), 12)
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -88,7 +88,7 @@ def bm25_match_all(spark, d):
 
 def legs(spark, d, k: int = 20) -> tuple[DataFrame, DataFrame]:
     index = serving(spark, d)
-    return rt.dense_search(index.vectors, asked_vectors(spark, d), k), rt.ranked(rt.bm25(index, questions(spark, d)), k)
+    return rt.dense_search(index.vectors, asked_vectors(spark, d), k), rt.best_bm25(index, questions(spark, d), k)
 
 
 @query
@@ -120,14 +120,14 @@ def batch_questions(spark, d):
     """Parts of every question searched on their own and merged by the best score."""
     parts = rt.split_question(questions(spark, d)).select("qid", "pos", F.col("part").alias("text"))
     numbered = parts.withColumn("part_id", F.col("qid") * 1000 + F.col("pos"))
-    found = rt.ranked(rt.bm25(serving(spark, d), numbered.select(F.col("part_id").alias("qid"), "text")), 5)
+    found = rt.best_bm25(serving(spark, d), numbered.select(F.col("part_id").alias("qid"), "text"), 5)
     best = found.select(F.floor(F.col("qid") / 1000).cast("long").alias("qid"), "doc_id", F.round("score", 6).alias("score")).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     return rt.ranked(best, 5)
 
 
 @query
 def rerank_overlap(spark, d):
-    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 20)
+    found = rt.best_bm25(serving(spark, d), questions(spark, d), 20)
     return rt.rerank(found, questions(spark, d), table(spark, d, "documents"), 5)
 
 
@@ -364,7 +364,7 @@ def coverage_rollup(spark, d):
 
 @query
 def context_budget(spark, d):
-    found = rt.ranked(rt.bm25(serving(spark, d), questions(spark, d)), 10).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    found = rt.best_bm25(serving(spark, d), questions(spark, d), 10).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return ed.within_budget(found, "qid", ["rank"], "n_chars", 2800).select("qid", "doc_id", "rank", "used")
 
 
@@ -382,7 +382,7 @@ def judged(spark, d) -> DataFrame:
     """The ten best documents of each question, relevant where the question's text stands in them, and how many of all
     documents are."""
     index, asked = serving(spark, d), questions(spark, d)
-    found = rt.ranked(rt.bm25(index, asked), 10).join(index.documents.select("doc_id", "source", "lang"), "doc_id")
+    found = rt.best_bm25(index, asked, 10).join(index.documents.select("doc_id", "source", "lang"), "doc_id")
     holds = rt.containing(index, table(spark, d, "documents"), asked)
     expected = holds.groupBy("qid").agg(F.count("*").alias("n_expected"))
     rows = found.join(holds.withColumn("relevant", F.lit(True)), ["qid", "doc_id"], "left").join(expected, "qid", "left")

@@ -2,16 +2,19 @@
 
 import difflib
 import json
+import math
 import random
 import re
 import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quillmere.functions.text import char_grams
 from quillmere.operators import cases, glossary, matches, payloads, planning, retrieval, review, runstate, segments
 from quillmere.operators import chunking, contentmap
-from quillmere.plans import knowledge
+from quillmere.plans import knowledge, queries
 from quillmere.sources import audits, index_store
 from pyspark.sql import functions as F
 
@@ -304,6 +307,47 @@ def test_filtered_fusion_equals_full_ranking(spark, tmp_path):
         assert key(got) == key(full)
 
 
+def test_posting_lists_are_merged(monkeypatch):
+    rng = random.Random(12)
+    docs = [(rng.choice([-20_000, -3, 5, 16_383, 16_384, 40_000, *range(100, 140)]), [rng.choice("abcdefgh") for _ in range(rng.choice([0, 2, 5, 9]))]) for _ in range(120)]
+    monkeypatch.setattr(index_store, "LISTED_WORDS", 40)
+    batch = lambda rows, names, kinds: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    cut = lambda rows, n: [rows[i : i + n] for i in range(0, len(rows), n)]
+    listed = pa.Table.from_batches(index_store.list_words(batch(part, ["doc_id", "w"], [pa.int64(), pa.list_(pa.string())]) for part in cut(docs, 7)))
+    rows = sorted(([tuple(r.values()) for r in listed.to_pylist()]), key=lambda r: r[:3])
+    assert len(rows) > len({r[:2] for r in rows})
+    merged = [r for b in index_store.merge_lists(batch(part, listed.schema.names, listed.schema.types) for part in cut(rows, 3)) for r in b.to_pylist()]
+    want = Counter((t, i // index_store.BLOCK_IDS, i, len(w)) for i, w in docs for t in w)
+    got = [(r["term"], r["block"], *p) for r in merged for p in zip(r["doc_ids"], r["lens"], r["tfs"])]
+    assert got == sorted((t, b, i, n, tf) for (t, b, i, n), tf in want.items())
+    assert len(merged) == len({r[:2] for r in want})
+
+
+def test_only_the_best_are_shuffled(spark, tmp_path):
+    rng = random.Random(13)
+    docs = [(i * 9, " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(1, 12)))) for i in range(4000)] + [(9, "beta beta w3 w3 w0")]
+    asked = [(q, f"alpha beta gamma w{q % 30}") for q in range(60)] + [(70, "alpha nothing"), (71, "?")]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries.bm25_topk(spark, str(tmp_path)).collect()  # builds the index
+    before = shuffled_bytes(spark)
+    got = [(r["qid"], r["rank"], r["doc_id"], r["score"]) for r in queries.bm25_topk(spark, str(tmp_path)).collect()]
+    assert shuffled_bytes(spark) - before < 600_000  # 60 times 4000 scores are more
+    counted, n = [(i, Counter(t.split())) for i, t in docs], len(docs)
+    df, average = Counter(t for _, c in counted for t in c), sum(c.total() for _, c in counted) / n
+    want = []
+    for q, text in asked:
+        scores = Counter()
+        for i, c in counted:
+            for t in set(text.split()) & set(c):
+                scores[i] += (math.log(n / (df[t] + 1)) + 1) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / average))
+        best = sorted((-round(s, 6), i) for i, s in scores.items())[:12]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(sorted(got), want))
+
+
 def test_containing_documents(spark, tmp_path):
     _, docs, _, _, index = served(spark, tmp_path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
