@@ -348,6 +348,20 @@ def test_only_the_best_are_shuffled(spark, tmp_path):
     assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(sorted(got), want))
 
 
+def test_filtered_fusion_shuffles_no_pairs(spark, tmp_path):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(30)}"]) for _ in range(8)), rng.choice(["en", "fr"])) for i in range(4000)], "doc_id long, text string, lang string")
+    _, vectors = vectors_of(spark, 300, "doc_id", 15)
+    _, asked = vectors_of(spark, 40, "qid", 16)
+    questions = spark.createDataFrame([(q, f"alpha beta gamma w{q % 30}") for q in range(40)], "qid long, text string")
+    index_store.build(docs, vectors, str(tmp_path), "m", ["lang"])
+    index = index_store.open_index(spark, str(tmp_path), "m")
+    before = shuffled_bytes(spark)
+    found = retrieval.filtered_fusion(index, asked, questions, docs.where("lang = 'en'"), 5)
+    assert found.count() == 200
+    assert shuffled_bytes(spark) - before < 2_000_000  # 40 times 4000 scores, again and again, are more
+
+
 def test_containing_documents(spark, tmp_path):
     _, docs, _, _, index = served(spark, tmp_path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
