@@ -189,6 +189,21 @@ def near_copies(seed, n, words, edits):
     return out
 
 
+def test_sets_are_sorted_and_not_hashed(monkeypatch):
+    from quillmere.llm import ngram_join
+    from quillmere.llm.common import distinct
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        x = rng.integers(0, 90, n).astype(np.uint64)
+        assert distinct(np.sort(x)).tolist() == sorted(set(x.tolist()))
+    texts = [" ".join(rng.choice(list("abc"), n)) for n in (0, 3, 5, 40, 900)]
+    monkeypatch.setattr(np, "unique", None)  # takes several times as long as a sort
+    sets = ngram_join.shingle_sets(texts)
+    assert [len(s) for s in sets] == [0, 1, *(len({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for t in texts[2:])]
+    assert all((s[1:] > s[:-1]).all() for s in sets)
+
+
 def test_ngram_join_equals_brute_force(spark):
     texts = edge_texts() + near_copies(11, 60, 90, 6) + near_copies(12, 30, 40, 3) + [prose(1, 120) + " " + prose(50 + i, 40) for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs_of(spark, texts).repartition(3)).collect()}
